@@ -77,15 +77,14 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "pollers": (
         ["targets"],
-        """SELECT namespace, name AS target, e.name AS name, description, protocol,
+        """SELECT namespace, name AS target, poller_name AS name, description, protocol,
                   CASE WHEN custkey % 50 <> 1 THEN '1.3.6.1.2.1.1.3.0' ELSE '' END AS oid,
                   CASE WHEN custkey % 6 = 0 THEN 1000 WHEN custkey % 6 = 1 THEN 0 END AS p_interval_ms,
                   CASE WHEN custkey % 8 = 0 THEN 600 END AS p_buffer_size,
                   CASE WHEN custkey % 4 = 0 THEN 'disabled' ELSE 'enabled' END AS admin_state,
                   CASE WHEN custkey % 4 = 0 OR custkey % 13 = 0 THEN 'stopped' ELSE 'running' END AS oper_state,
                   custkey
-           FROM (SELECT * EXCLUDE (name), name FROM targets) AS t
-                CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS e(name)""",
+           FROM (SELECT *, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS poller_name FROM targets)""",
     ),
     "nodes": (
         ["cust"],

@@ -267,10 +267,9 @@ def pollers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 8 == 0, F.lit(600)).cast("int").alias("buffer_size"),
     )
     oid = F.when(key % 50 != 1, F.lit("1.3.6.1.2.1.1.3.0")).otherwise(F.lit(""))
-    return targets(spark, sf_dir).select(
+    owners = targets(spark, sf_dir).select(
         "namespace",
         F.col("name").alias("target"),
-        F.explode(F.array(*[F.lit(e) for e in EVENT_TYPES])).alias("name"),
         F.col("description"),
         F.col("protocol"),
         F.to_json(F.struct(oid.alias("oid"))).alias("protocol_config"),
@@ -282,6 +281,7 @@ def pollers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "version",
         "custkey",
     )
+    return owners.withColumn("name", F.explode(F.array(*[F.lit(e) for e in EVENT_TYPES])))
 
 
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
