@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlake.functions.labels import label, label_filter
-from tierlake.functions.paths import glob_match, link_poller, link_target, link_type
+from tierlake.functions.paths import glob_match, link_target
 from tierlake.operators.tags import has_tags
 from tierlake.schemas import SERIES
 
@@ -192,13 +192,29 @@ def delete_preview(
     return single.unionByName(whole)
 
 
-def link_columns(ref: Column) -> dict[str, Column]:
-    return {"link_type": link_type(ref), "link_target": link_target(ref), "link_poller": link_poller(ref)}
-
-
 def relation_count(parents: DataFrame, children: DataFrame, where: Column | None = None) -> DataFrame:
     """Related pollers of every target, optionally only those that pass a filter."""
     kept = children if where is None else children.where(where)
     counts = kept.groupBy("namespace", "target").agg(F.count("*").alias("related"))
     names = parents.select("namespace", F.col("name").alias("target"))
     return names.join(counts, ["namespace", "target"], "left").na.fill(0)
+
+
+def metric_requests(entities: DataFrame, poller: str, start_ms: int, end_ms: int) -> DataFrame:
+    """One span request per entity (namespace, target), as query_many takes them."""
+    return entities.select(
+        F.concat_ws("/", "namespace", "target").alias("request_id"),
+        "namespace",
+        "target",
+        F.lit(poller).alias("poller"),
+        F.lit(start_ms).cast("bigint").alias("start_ms"),
+        F.lit(end_ms).cast("bigint").alias("end_ms"),
+    )
+
+
+def metric_column(entities: DataFrame, answers: DataFrame) -> DataFrame:
+    """Mean and peak of a metric for every entity; NULL where nothing was measured."""
+    measured = answers.groupBy("namespace", "target").agg(
+        (F.sum("sum") / F.sum("count")).alias("metric"), F.max("max").alias("peak")
+    )
+    return entities.join(measured, ["namespace", "target"], "left")
