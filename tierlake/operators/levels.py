@@ -35,9 +35,9 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
     """Add _eval: samples taken in order, each at least cooldown_ms after the one taken before.
 
     Which samples of a chunk are taken depends only on the first one taken,
-    and that is one of the samples of the first cooldown of the chunk.  Each
-    chunk reports where every such start would end; walking these reports per
-    series gives the true start of each chunk.
+    and that lies within a cooldown of the first sample of the chunk, or is
+    the next one after it.  Each chunk reports where every such start would
+    end; walking these reports per series gives the true start of each chunk.
     """
     group = [*keys, chunks.CHUNK]
     types = dict(rows.dtypes)
@@ -56,7 +56,7 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
             if np.array_equal(further, end):
                 break
             end = further
-        starts = int(np.searchsorted(times, pdf[chunks.CHUNK].iloc[0] + cooldown_ms, side="left")) + 1
+        starts = int(np.searchsorted(times, times[0] + cooldown_ms, side="left")) + 1
         out = {c: [pdf[c].iloc[0]] for c in group}
         return pd.DataFrame({**out, "starts": [times[:starts]], "ends": [times[end[:starts]]]})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tierlake.operators.rollup import merge_aggregates, rollup_samples
-from tierlake.plans import inventory, reconciliation, status, timeseries, trees  # noqa: F401
+from tierlake.plans import inventory, reconciliation, status, streams, timeseries, trees  # noqa: F401
 from tierlake.plans.registry import QUERIES
 from tierlake.sources import demo
 from tierlake.sources.polls import normalise_poll_results

@@ -53,7 +53,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "arrivals": (
         ["samples"],
-        "SELECT *, timestamp_ms + CASE WHEN seq % 50 = 0 THEN 900000 ELSE 0 END AS arrival_ms FROM samples",
+        "SELECT *, timestamp_ms + CASE WHEN seq % 50 = 0 THEN 93600000 ELSE 0 END AS arrival_ms FROM samples",
     ),
     "ns": (
         [],

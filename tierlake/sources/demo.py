@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from tierlake.functions.buckets import ntz_millis
 from tierlake.functions.paths import ancestors
 from tierlake.operators.views import SmartFolder, View
-from tierlake.schemas import COUNTER_TYPE
+from tierlake.schemas import COUNTER_TYPE, HOUR_MS
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # 2024-01-31 00:00 UTC, just past the newest event.
 NOW_MS = 1_706_659_200_000
+LATE_MS = 26 * HOUR_MS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,8 +190,8 @@ def samples_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with an arrival time; every fiftieth comes 15 minutes late."""
-    late = F.when(F.col("seq") % 50 == 0, 900_000).otherwise(0)
+    """Samples with an arrival time; every fiftieth comes 26 hours late."""
+    late = F.when(F.col("seq") % 50 == 0, LATE_MS).otherwise(0)
     return samples(spark, sf_dir, "nation").withColumn("arrival_ms", F.col("timestamp_ms") + late)
 
 
