@@ -37,16 +37,9 @@ def utc_date(ms) -> Column:
     return F.date_from_unix_date(F.floor(_column(ms) / DAY_MS).cast("int"))
 
 
-def ntz_millis(ts) -> Column:
+def ntz_millis(ts: str) -> Column:
     """Epoch milliseconds of a zone-less timestamp read as UTC, whatever the session time zone."""
-    ts = _column(ts)
-    seconds = F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("bigint")
-    return (
-        F.unix_date(ts.cast("date")).cast("bigint") * DAY_MS
-        + F.hour(ts).cast("bigint") * 3_600_000
-        + F.minute(ts).cast("bigint") * 60_000
-        + seconds
-    )
+    return F.expr(f"({ts} - timestamp_ntz'1970-01-01 00:00:00') div interval '0.001' second")
 
 
 def tier_for_span(span_ms: int) -> str:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlake.functions.sketch import ALPHA, bin_code, sketch_quantile
+from tierlake.functions.sketch import ALPHA, bin_code, bin_value, sketch_quantile
 
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -69,12 +69,7 @@ def percentiles_exact(
             )
         ).alias("r"),
     )
-    return found.groupBy(*keys).agg(
-        *[
-            _interpolated(name).alias(name)
-            for name in quantiles
-        ]
-    )
+    return found.groupBy(*keys).agg(*[_interpolated(name).alias(name) for name in quantiles])
 
 
 def _interpolated(name: str):
@@ -96,8 +91,37 @@ def percentiles_approx(
     return found.select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(quantiles)])
 
 
+def finish_bins(
+    bins: DataFrame,
+    keys: list[str],
+    measures: list[Column] = (),
+    quantiles: dict[str, float] = QUANTILES,
+    alpha: float = ALPHA,
+) -> DataFrame:
+    """One row per group from rows (keys, _bin, _n) with distinct bins: sketch, quantiles and measures.
+
+    A quantile is the first bin whose running count passes the rank.  A group
+    has one row per bin here, a number bounded by the value range and alpha.
+    """
+    in_order = Window.partitionBy(*keys).orderBy("_bin")
+    counted = bins.withColumns(
+        {"_upto": F.sum("_n").over(in_order), "_total": F.sum("_n").over(Window.partitionBy(*keys))}
+    )
+    found = {
+        name: F.min(F.when(F.col("_upto") > F.floor((F.col("_total") - 1) * F.lit(float(q))), F.col("_bin")))
+        for name, q in quantiles.items()
+    }
+    entries = F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_n")))
+    grouped = counted.groupBy(*keys).agg(
+        *measures,
+        F.map_from_entries(entries).alias("sketch"),
+        *[column.alias(name) for name, column in found.items()],
+    )
+    return grouped.withColumns({name: bin_value(F.col(name), alpha) for name in quantiles})
+
+
 def relative_sketch(df: DataFrame, keys: list[str], col: str, alpha: float = ALPHA) -> DataFrame:
-    """Mergeable sketch per group: a map from relative-error bin to count.
+    """Mergeable sketch per group, a map from relative-error bin to count, and its quantiles.
 
     Bins are counted first, so a group reaches the second step as one row per
     bin, never as its raw values.
@@ -107,35 +131,28 @@ def relative_sketch(df: DataFrame, keys: list[str], col: str, alpha: float = ALP
         .groupBy(*keys, bin_code(F.col(col).cast("double"), alpha).alias("_bin"))
         .agg(F.count("*").alias("_n"))
     )
-    return collect_bins(bins, keys)
-
-
-def collect_bins(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """One map per group from rows (keys, _bin, _n) with distinct bins."""
-    return bins.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("sketch")
-    )
+    return finish_bins(bins, keys, alpha=alpha)
 
 
-def merge_sketches(df: DataFrame, keys: list[str], col: str = "sketch") -> DataFrame:
+def merge_sketches(df: DataFrame, keys: list[str], col: str = "sketch", alpha: float = ALPHA) -> DataFrame:
     """Sum sketches bin by bin into coarser groups."""
     bins = (
         df.select(*keys, F.explode(col).alias("_bin", "_count"))
         .groupBy(*keys, "_bin")
         .agg(F.sum("_count").alias("_n"))
     )
-    return collect_bins(bins, keys)
+    return finish_bins(bins, keys, alpha=alpha)
 
 
 def sketch_quantiles(
-    df: DataFrame, quantiles: dict[str, float] = QUANTILES, alpha: float = ALPHA, col: str = "sketch"
+    df: DataFrame, quantiles: dict[str, float], alpha: float = ALPHA, col: str = "sketch"
 ) -> DataFrame:
-    """Add one column per quantile, within alpha of the exact order statistic."""
+    """Add any quantiles of stored sketches, each within alpha of the exact order statistic."""
     return df.withColumns({name: sketch_quantile(F.col(col), q, alpha) for name, q in quantiles.items()})
 
 
 def percentiles_relative(df: DataFrame, keys: list[str], col: str, alpha: float = ALPHA) -> DataFrame:
-    return sketch_quantiles(relative_sketch(df, keys, col, alpha), alpha=alpha)
+    return relative_sketch(df, keys, col, alpha)
 
 
 def kll_sketch(df: DataFrame, keys: list[str], col: str, k: int = 400) -> DataFrame:

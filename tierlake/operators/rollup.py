@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierlake.functions.buckets import tier_bucket
 from tierlake.functions.sketch import ALPHA, bin_code
-from tierlake.operators.quantiles import QUANTILES, collect_bins, percentiles_exact, sketch_quantiles
+from tierlake.operators.quantiles import QUANTILES, finish_bins, percentiles_exact
 from tierlake.schemas import DAY_MS, FIRST_MONDAY_MS, SERIES, TIER_ORDER, TIERS, WEEK_MS
 from tierlake.sources.polls import sample_value
 from tierlake.sources.tiers import scan_samples, scan_tier, write_tier
@@ -48,10 +48,7 @@ def rollup_values(rows: DataFrame, tier: str, percentiles: bool | str = False, a
     # Aggregate by bin first: a hot bucket is spread over its bins, and the
     # second step sees one row per bin.
     bins = bucketed.groupBy(*keys, bin_code(F.col("value"), alpha).alias("_bin")).agg(*measures())
-    merged = bins.groupBy(*keys).agg(
-        *_merged(), F.map_from_entries(F.collect_list(F.struct("_bin", "count"))).alias("sketch")
-    )
-    return sketch_quantiles(merged, alpha=alpha)
+    return finish_bins(bins.withColumn("_n", F.col("count")), keys, merged_measures(), alpha=alpha)
 
 
 def rollup_samples(samples: DataFrame, tier: str = "5min", percentiles: bool | str = False, alpha: float = ALPHA) -> DataFrame:
@@ -63,7 +60,7 @@ def rollup_samples(samples: DataFrame, tier: str = "5min", percentiles: bool | s
     return rollup_values(numeric(samples), tier, percentiles, alpha)
 
 
-def _merged() -> list:
+def merged_measures() -> list:
     return [
         F.sum("count").alias("count"),
         F.sum("sum").alias("sum"),
@@ -81,15 +78,15 @@ def merge_aggregates(aggs: DataFrame, tier: str, percentiles: bool = False, alph
     start, end = tier_bucket("bucket_start", tier)
     keys = [*SERIES, *BUCKET]
     moved = aggs.withColumns({"bucket_start": start, "bucket_end": end})
-    merged = moved.groupBy(*keys).agg(*_merged())
     if not percentiles:
-        return merged
-    bins = (
-        moved.select(*keys, F.explode("sketch").alias("_bin", "_count"))
-        .groupBy(*keys, "_bin")
-        .agg(F.sum("_count").alias("_n"))
-    )
-    return sketch_quantiles(merged.join(collect_bins(bins, keys), keys, "left"), alpha=alpha)
+        return moved.groupBy(*keys).agg(*merged_measures())
+    # One row per bin of the sketch; the measures ride on the first of them.
+    numbers = ["count", "sum", "min", "max", "first_ts", "last_ts"]
+    spread = moved.select(*keys, *numbers, F.posexplode_outer("sketch").alias("_pos", "_bin", "_n"))
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    spread = spread.withColumns({c: F.when(first, F.col(c)) for c in numbers})
+    bins = spread.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"), *merged_measures())
+    return finish_bins(bins, keys, merged_measures(), alpha=alpha)
 
 
 def aggregate_span(samples: DataFrame, start_ms: int, end_ms: int, percentiles: bool = False) -> DataFrame:

@@ -71,9 +71,9 @@ ALL_POLICIES = " UNION ALL ".join(f"SELECT '{p}' AS policy, * FROM ({diff_sql(p)
 
 @query("inventory_diff", checked(ALL_POLICIES))
 def inventory_diff(spark, sf):
-    out = None
+    new, old, out = declared(spark, sf), stored(spark, sf), None
     for policy in rec.POLICIES:
-        part = rec.inventory_diff(declared(spark, sf), stored(spark, sf), KEYS, policy).withColumn("policy", F.lit(policy))
+        part = rec.inventory_diff(new, old, KEYS, policy).withColumn("policy", F.lit(policy))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tierlake.functions.buckets import ntz_millis
 from tierlake.functions.paths import ancestors
@@ -21,8 +22,15 @@ NOW_MS = 1_706_659_200_000
 LATE_MS = 26 * HOUR_MS
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _millis(df: DataFrame, column: str):
@@ -48,8 +56,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    c = customers(spark, sf_dir).select("c_custkey", "c_name", "n_name", "r_name")
-    return e.select(
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    rows = e.select(
         "event_id",
         _millis(e, "ts").alias("timestamp_ms"),
         "user_id",
@@ -57,7 +65,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         "props",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-    ).join(c, F.col("user_id") == F.col("c_custkey"))
+    )
+    # Customers are joined before the place names: their size is then known
+    # to the planner, which broadcasts them only when they are small.
+    named = rows.join(c, F.col("user_id") == F.col("c_custkey"))
+    return named.join(_places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 def _target(grain: str):
