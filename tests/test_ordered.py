@@ -8,7 +8,7 @@ from data import KEY, sample, samples
 from pyspark.sql import functions as F
 
 from tierlake.operators import chunks, health, levels, live, rates
-from tierlake.schemas import DAY_MS, HOUR_MS, LEVELS
+from tierlake.schemas import HOUR_MS, LEVELS
 
 WIDTHS = [None, 7_000, 60_000, HOUR_MS]
 
@@ -250,7 +250,7 @@ def test_chunk_width_follows_the_largest_series(spark):
         (F.col("id") * 30_000).alias("timestamp_ms"),
     )
     both = hot.unionByName(cold)
-    assert chunks.fit_chunk_ms(both) == 7 * DAY_MS
+    assert chunks.fit_chunk_ms(both) == chunks.WHOLE
     width = chunks.fit_chunk_ms(both, max_rows=2_000)
     assert width < HOUR_MS
     slot = F.floor(F.col("timestamp_ms") / width)

@@ -30,9 +30,8 @@ def health_timeline(
     degraded, and down from the down_after-th in a row.  carry holds the
     state of earlier days or batches as health_current returns it.
     """
-    rows = chunks.with_chunk(
-        samples.select(*SERIES, "timestamp_ms", "seq", "valid", "error"), SERIES, "timestamp_ms", chunk_ms
-    )
+    polls = samples.select(*SERIES, "timestamp_ms", "seq", "valid", "error")
+    rows, needed = chunks.with_chunk(polls, SERIES, "timestamp_ms", chunk_ms, carry)
     ordered = chunks.inside(SERIES, "timestamp_ms", "seq")
     so_far = chunks.running(ordered)
     fails = F.sum(F.when(F.col("valid"), 0).otherwise(1)).over(so_far)
@@ -76,7 +75,7 @@ def health_timeline(
             F.max("_f").over(past).alias("_cf"),
         )
     )
-    joined = chunks.with_carry(local, carried, SERIES)
+    joined = chunks.with_carry(local, carried, SERIES, needed)
     open_run = F.coalesce("_open", F.lit(0))
     run = F.when(F.col("_mark").isNotNull(), F.col("_fails") - F.col("_mark")).otherwise(F.col("_fails") + open_run)
     before = (

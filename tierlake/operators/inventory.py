@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlake.functions.labels import label, label_filter
@@ -37,12 +37,16 @@ def page(df: DataFrame, order_col: str, cursor: str | None = None, limit: int =
     """
     limit = min(limit, MAX_PAGE) if limit > 0 else DEFAULT_PAGE
     rows = df.where(F.col(order_col) > cursor) if cursor else df
-    head = rows.orderBy(order_col).limit(limit + 1)
-    # These few rows, counted once more: at most one page and one row.
-    size = head.agg(F.count("*").alias("n")).scalar()
-    kept = head.orderBy(order_col).limit(limit)
-    last = kept.agg(F.max(order_col).alias("last")).scalar()
-    return kept.withColumn("next_cursor", F.when(size > limit, last))
+    # One row more than the page tells whether another page follows; the
+    # windows see only these few rows.
+    head = rows.orderBy(order_col).limit(limit + 1).withColumn("_all", F.lit(1))
+    every = Window.partitionBy("_all")
+    placed = head.withColumns(
+        {"_place": F.row_number().over(every.orderBy(order_col)), "_size": F.count("*").over(every)}
+    ).where(F.col("_place") <= limit)
+    last = F.max(order_col).over(every)
+    paged = placed.withColumn("next_cursor", F.when(F.col("_size") > limit, last))
+    return paged.drop("_all", "_place", "_size")
 
 
 def page_targets(

@@ -31,7 +31,7 @@ def _name(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in LEVELS]), code + 1)
 
 
-def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None) -> DataFrame:
+def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None, needed: bool) -> DataFrame:
     """Add _eval: samples taken in order, each at least cooldown_ms after the one taken before.
 
     Which samples of a chunk are taken depends only on the first one taken,
@@ -96,7 +96,7 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
     entries = reports.groupBy(*keys).applyInPandas(walk, f"{head}, _entry bigint")
     row_schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     return (
-        chunks.with_carry(rows, entries, keys)
+        chunks.with_carry(rows, entries, keys, needed)
         .select(*rows.columns, "_entry")
         .groupBy(*group)
         .applyInPandas(mark, f"{row_schema}, _eval boolean")
@@ -129,11 +129,10 @@ def level_hysteresis(
     that to the last evaluated one leave the level as it is.  carry holds the
     level (and last_check_ms) at the end of earlier days or batches.
     """
-    rows = chunks.with_chunk(
-        df.select(*keys, "timestamp_ms", "seq", F.col(ratio).cast("double").alias("ratio")), keys, "timestamp_ms", chunk_ms
-    )
+    points = df.select(*keys, "timestamp_ms", "seq", F.col(ratio).cast("double").alias("ratio"))
+    rows, needed = chunks.with_chunk(points, keys, "timestamp_ms", chunk_ms, carry)
     if cooldown_ms > 0:
-        rows = _spaced(rows, keys, cooldown_ms, carry)
+        rows = _spaced(rows, keys, cooldown_ms, carry, needed)
     else:
         rows = rows.withColumn("_eval", F.lit(True))
     u = F.col("ratio")
@@ -149,24 +148,30 @@ def level_hysteresis(
     so_far = chunks.running(ordered)
     rows = rows.withColumns(
         {"_a": fell(rule.emergency), "_b": fell(rule.critical), "_c": fell(rule.warning), "_forced": forced}
-    ).withColumns(
-        {"_group": F.count("_forced").over(so_far), "_from": F.last("_forced", ignorenulls=True).over(so_far)}
-    )
-    run = chunks.running(
-        chunks.Window.partitionBy(*keys, chunks.CHUNK, "_group").orderBy("timestamp_ms", "seq")
-    )
-
-    def count(flag: Column) -> Column:
-        return F.sum(flag).over(run)
+    ).withColumn("_from", F.last("_forced", ignorenulls=True).over(so_far))
+
+    def counted(rows: DataFrame, **flags: str) -> DataFrame:
+        """Count flags since the latest forced sample, in the one order that all windows here share."""
+        rows = rows.withColumns({f"{name}_all": F.sum(flag).over(so_far) for name, flag in flags.items()})
+        start = F.col("_forced").isNotNull()
+        rows = rows.withColumns(
+            {
+                f"{name}_base": F.last(F.when(start, F.col(f"{name}_all")), ignorenulls=True).over(so_far)
+                for name in flags
+            }
+        )
+        return rows.withColumns(
+            {name: F.col(f"{name}_all") - F.coalesce(f"{name}_base", F.lit(0)) for name in flags}
+        )
 
     def after(flag: str, made: str, step: str) -> Column:
         """A step that counts only on samples after the step before it."""
         return F.when(F.col(made) - F.col(step) >= 1, F.col(flag)).otherwise(0)
 
-    rows = rows.withColumns({"_a3": count(F.col("_a")), "_b2": count(F.col("_b")), "_c1": count(F.col("_c"))})
+    rows = counted(rows, _a3="_a", _b2="_b", _c1="_c")
     rows = rows.withColumns({"_sb3": after("_b", "_a3", "_a"), "_sc2": after("_c", "_b2", "_b")})
-    rows = rows.withColumns({"_b3": count(F.col("_sb3")), "_c2": count(F.col("_sc2"))})
-    rows = rows.withColumn("_sc3", after("_c", "_b3", "_sb3")).withColumn("_c3", count(F.col("_sc3")))
+    rows = counted(rows, _b3="_sb3", _c2="_sc2")
+    rows = counted(rows.withColumn("_sc3", after("_c", "_b3", "_sb3")), _c3="_sc3")
     reached = {
         0: F.lit(0),
         1: _from_level(1, [F.col("_c1")]),
@@ -177,7 +182,9 @@ def level_hysteresis(
     def level_from(start: Column) -> Column:
         return F.when(start == 1, reached[1]).when(start == 2, reached[2]).when(start == 3, reached[3]).otherwise(0)
 
-    rows = rows.withColumns({f"_x{s}": F.coalesce(F.when(F.col("_from").isNotNull(), level_from(F.col("_from"))), x) for s, x in reached.items()})
+    # Level of each row for each level the chunk might begin with.
+    known = F.when(F.col("_from").isNotNull(), level_from(F.col("_from")))
+    rows = rows.withColumns({f"_x{s}": F.coalesce(known, x) for s, x in reached.items()})
     exits = F.array(*[F.col(f"_x{s}") for s in range(4)])
     summary = rows.groupBy(*keys, chunks.CHUNK).agg(
         F.max_by(exits, F.struct("timestamp_ms", "seq")).alias("_exits")
@@ -190,9 +197,10 @@ def level_hysteresis(
             )
         )
     entry = _entry_levels(summary, keys)
-    joined = chunks.with_carry(rows, entry, keys).withColumn(
-        "_level", F.element_at(F.array(*[F.col(f"_x{s}") for s in range(4)]), F.col("_entry_level") + 1)
+    joined = chunks.with_carry(rows, entry, keys, needed).withColumn(
+        "_entry_level", F.coalesce("_entry_level", F.lit(0))
     )
+    joined = joined.withColumn("_level", F.element_at(exits, F.col("_entry_level") + 1))
     return joined.select(
         *keys,
         "timestamp_ms",

@@ -19,9 +19,8 @@ def arrival_lateness(
     arrivals carries arrival_ms; samples are taken in order of arrival_ms and
     seq.  carry holds newest_bucket per series of earlier batches.
     """
-    rows = chunks.with_chunk(arrivals, SERIES, "arrival_ms", chunk_ms).withColumn(
-        "bucket_start", bucket_start("timestamp_ms", tier)
-    )
+    rows, needed = chunks.with_chunk(arrivals, SERIES, "arrival_ms", chunk_ms, carry)
+    rows = rows.withColumn("bucket_start", bucket_start("timestamp_ms", tier))
     before = chunks.inside(SERIES, "arrival_ms", "seq").rowsBetween(chunks.Window.unboundedPreceding, -1)
     summary = rows.groupBy(*SERIES, chunks.CHUNK).agg(F.max("bucket_start").alias("_newest"))
     if carry is not None:
@@ -33,7 +32,7 @@ def arrival_lateness(
     carried = summary.select(
         *SERIES, chunks.CHUNK, F.max("_newest").over(chunks.earlier_chunks(SERIES)).alias("_carry")
     )
-    joined = chunks.with_carry(rows.withColumn("_here", F.max("bucket_start").over(before)), carried, SERIES)
+    joined = chunks.with_carry(rows.withColumn("_here", F.max("bucket_start").over(before)), carried, SERIES, needed)
     newest = F.greatest("_here", "_carry")
     return joined.withColumn("newest_before", newest).drop("_here", "_carry", chunks.CHUNK)
 

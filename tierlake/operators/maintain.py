@@ -39,23 +39,23 @@ def hot_window(samples: DataFrame, duration_ms: int = 300_000) -> DataFrame:
 def trim_latest(samples: DataFrame, keep: int, salts: int = 32) -> DataFrame:
     """Keep the newest samples of each series; rows tied with the last kept time stay.
 
-    The time to keep from is found in salted parts, so that only the first
-    rows of each part of a series are put in order.
+    Each series is first cut to the newest rows of several salted parts, ties
+    included, which also happens before the shuffle.  The time to keep from is
+    then found among these few rows.
     """
-    salted = samples.select(
-        *SERIES, "timestamp_ms", F.pmod(F.xxhash64("timestamp_ms", "seq"), F.lit(salts)).alias("_salt")
-    )
+    salted = samples.withColumn("_salt", F.pmod(F.xxhash64("timestamp_ms", "seq"), F.lit(salts)))
     part = Window.partitionBy(*SERIES, "_salt").orderBy(F.desc("timestamp_ms"))
     whole = Window.partitionBy(*SERIES).orderBy(F.desc("timestamp_ms"))
+    newest = salted.withColumn("_place", F.rank().over(part)).where(F.col("_place") <= keep).drop("_place", "_salt")
     cutoff = (
-        salted.withColumn("_place", F.row_number().over(part))
+        salted.select(*SERIES, "timestamp_ms", "_salt", F.row_number().over(part).alias("_place"))
         .where(F.col("_place") <= keep)
-        .withColumn("_place", F.row_number().over(whole))
+        .select(*SERIES, "timestamp_ms", F.row_number().over(whole).alias("_place"))
         .where(F.col("_place") <= keep)
         .groupBy(*SERIES)
         .agg(F.min("timestamp_ms").alias("_cutoff"))
     )
-    return samples.join(cutoff, SERIES).where(F.col("timestamp_ms") >= F.col("_cutoff")).drop("_cutoff")
+    return newest.join(cutoff, SERIES).where(F.col("timestamp_ms") >= F.col("_cutoff")).drop("_cutoff")
 
 
 def retain_samples(samples: DataFrame, now_ms: int, max_age_ms: int) -> DataFrame:

@@ -24,9 +24,8 @@ def counter_rate(
     if wrap_bits not in (32, 64):
         raise ValueError("wrap_bits must be 32 or 64")
     counters = valid_only(samples).where((F.col("value_type") == "counter") & F.col("value_counter").isNotNull())
-    rows = chunks.with_chunk(
-        counters.select(*SERIES, "timestamp_ms", "seq", "value_counter"), SERIES, "timestamp_ms", chunk_ms
-    )
+    points = counters.select(*SERIES, "timestamp_ms", "seq", "value_counter")
+    rows, needed = chunks.with_chunk(points, SERIES, "timestamp_ms", chunk_ms)
     point = F.struct("timestamp_ms", "seq", "value_counter")
     within = chunks.inside(SERIES, "timestamp_ms", "seq")
     before = F.lag(point).over(within)
@@ -36,7 +35,7 @@ def counter_rate(
         chunks.CHUNK,
         F.last("_last").over(chunks.earlier_chunks(SERIES)).alias("_carry"),
     )
-    joined = chunks.with_carry(rows.withColumn("_before", before), carry, SERIES).withColumn(
+    joined = chunks.with_carry(rows.withColumn("_before", before), carry, SERIES, needed).withColumn(
         "_prev", F.coalesce("_before", "_carry")
     )
     change = F.col("value_counter") - F.col("_prev.value_counter")

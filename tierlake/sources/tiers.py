@@ -22,14 +22,19 @@ def utc_day(ms: int) -> dt.date:
     return dt.date(1970, 1, 1) + dt.timedelta(days=ms // DAY_MS)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A Parquet dataset; only a missing path reads as no rows."""
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet dataset; only a missing path reads as no rows."""
+    df = read_if_there(spark, path, schema)
+    return spark.createDataFrame([], schema) if df is None else df
 
 
 def scan_tier(
@@ -105,8 +110,8 @@ def tier_stats(spark: SparkSession, root: str) -> DataFrame:
     """Rows, series, oldest and newest bucket, files and bytes per tier and date."""
     parts = []
     for tier in TIER_ORDER:
-        rows = scan_tier(spark, root, tier)
-        if "bucket_date" not in rows.columns or not rows.inputFiles():
+        rows = read_if_there(spark, f"{root}/{tier}", AGGREGATES)
+        if rows is None:
             continue
         # First per file and series, then per date: both distinct counts become sums.
         per_file = rows.groupBy("bucket_date", "_metadata.file_path", *SERIES).agg(
