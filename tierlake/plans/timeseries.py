@@ -74,15 +74,18 @@ def write_samples(spark, sf):
     sql(
         f"""SELECT tier, CAST(bucket_start // {DAY_MS} AS INTEGER) AS bucket_day, count(*) AS rows,
                    count(DISTINCT (namespace, target, poller)) AS series, min(bucket_start) AS oldest,
-                   max(bucket_end) AS newest
+                   max(bucket_end) AS newest, true AS on_disk
             FROM ({TIERS_SQL}) GROUP BY ALL""",
         "numeric",
     ),
 )
 def tier_stats(spark, sf):
-    # Files and bytes depend on the writer and are tested on their own.
+    # How many files and bytes depends on the writer; that there are some does not.
     found = tiers.tier_stats(spark, store.tier_root(spark, sf))
-    return found.select("tier", F.unix_date("bucket_date").alias("bucket_day"), "rows", "series", "oldest", "newest")
+    on_disk = (F.col("files") >= 1) & (F.col("bytes") > 0)
+    return found.select(
+        "tier", F.unix_date("bucket_date").alias("bucket_day"), "rows", "series", "oldest", "newest", on_disk.alias("on_disk")
+    )
 
 
 @query("tier_files")
@@ -253,7 +256,16 @@ def percentiles_exact(spark, sf):
     return rounded(quantiles.percentiles_exact(rollup.numeric(nation(spark, sf)), SERIES, "value"), *PS)
 
 
-@query("percentiles_approx")
+DISC_SQL = (
+    "SELECT namespace, target, poller, "
+    + ", ".join(f"round(quantile_disc(v, {v}), 6) AS {n}" for n, v in quantiles.QUANTILES.items())
+    + " FROM numeric GROUP BY ALL"
+)
+
+
+# The groups are smaller than the summaries, which therefore hold every value
+# and give the exact order statistic.
+@query("percentiles_approx", sql(DISC_SQL, "numeric"))
 def percentiles_approx(spark, sf):
     return rounded(quantiles.percentiles_approx(rollup.numeric(nation(spark, sf)), SERIES, "value"), *PS)
 
@@ -282,9 +294,9 @@ def percentiles_relative(spark, sf):
     return rounded(found.drop("sketch"), *PS)
 
 
-@query("percentiles_kll")
+@query("percentiles_kll", sql(DISC_SQL, "numeric"))
 def percentiles_kll(spark, sf):
-    return rounded(quantiles.percentiles_kll(rollup.numeric(nation(spark, sf)), SERIES, "value"), *PS)
+    return rounded(quantiles.percentiles_kll(rollup.numeric(nation(spark, sf)), SERIES, "value", k=8000), *PS)
 
 
 @query("rollup_merge", sql(rollup_sql("hourly"), "numeric"))
