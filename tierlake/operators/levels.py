@@ -57,8 +57,11 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
                 break
             end = further
         starts = int(np.searchsorted(times, times[0] + cooldown_ms, side="left")) + 1
+        begin, end = times[:starts], times[end[:starts]]
+        # Ends rise with the starts: of the starts with one end, the last says it all.
+        last = np.append(end[1:] != end[:-1], True)
         out = {c: [pdf[c].iloc[0]] for c in group}
-        return pd.DataFrame({**out, "starts": [times[:starts]], "ends": [times[end[:starts]]]})
+        return pd.DataFrame({**out, "starts": [begin[last]], "ends": [end[last]]})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(chunks.CHUNK)

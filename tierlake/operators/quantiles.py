@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,73 +15,79 @@ from tierlake.functions.sketch import ALPHA, bin_code, bin_value, sketch_quantil
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
+@dataclass(frozen=True)
+class Measure:
+    """An aggregate that rides along: over the rows first, then combined step by step."""
+
+    name: str
+    of_rows: Column
+    combine: Callable[[str], Column]
+
+
 def percentiles_exact(
-    df: DataFrame, keys: list[str], col: str, quantiles: dict[str, float] = QUANTILES
+    df: DataFrame,
+    keys: list[str],
+    col: str,
+    quantiles: dict[str, float] = QUANTILES,
+    measures: Sequence[Measure] = (),
 ) -> DataFrame:
-    """Interpolated quantiles of each group, for groups of any size.
+    """Interpolated quantiles of each group, for groups of any size, and other measures of it.
 
     Equal values are counted before the shuffle.  The counts are summed by
     relative-error bin, of which a group has a bounded number; the running
     count over the bins tells which bins hold the wanted ranks, and only the
     values of those bins are put in order.
     """
+    names = [m.name for m in measures]
     counts = (
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, F.col(col).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n"), *[m.of_rows.alias(m.name) for m in measures])
         .withColumn("_bin", bin_code(F.col("_v"), 0.001))
     )
-    per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    per_bin = counts.groupBy(*keys, "_bin").agg(
+        F.sum("_n").alias("_bn"), *[m.combine(m.name).alias(m.name) for m in measures]
+    )
+    by_bin, whole = Window.partitionBy(*keys).orderBy("_bin"), Window.partitionBy(*keys)
     placed = per_bin.select(
         *keys,
         "_bin",
         (F.sum("_bn").over(by_bin) - F.col("_bn")).alias("_before"),
         F.sum("_bn").over(by_bin).alias("_upto"),
-        F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                ((F.col("_total") - 1) * F.lit(q)).alias("pos"),
-                side((F.col("_total") - 1) * F.lit(q)).cast("bigint").alias("rank"),
-                F.lit(label).alias("side"),
-            )
-            for name, q in quantiles.items()
-            for side, label in ((F.floor, "lo"), (F.ceil, "hi"))
-        ]
+        F.sum("_bn").over(whole).alias("_total"),
+        *[m.combine(m.name).over(whole).alias(m.name) for m in measures],
     )
-    wanted = placed.select(
-        *keys,
-        "_bin",
-        "_before",
-        F.filter(ranks, lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_upto"))).alias("_ranks"),
-    ).where(F.size("_ranks") > 0)
+    ends = {q: (F.floor(_position(q)), F.ceil(_position(q))) for q in quantiles.values()}
+    held = [(rank >= F.col("_before")) & (rank < F.col("_upto")) for pair in ends.values() for rank in pair]
+    wanted = placed.where(reduce(lambda x, y: x | y, held)).drop("_upto")
     by_value = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ordered = counts.join(wanted, [*keys, "_bin"]).withColumn(
+    ordered = counts.drop(*names).join(wanted, [*keys, "_bin"]).withColumn(
         "_last", F.col("_before") + F.sum("_n").over(by_value)
     )
-    found = ordered.select(
+
+    def value_at(rank: Column) -> Column:
+        inside = (rank >= F.col("_last") - F.col("_n")) & (rank < F.col("_last"))
+        return F.max(F.when(inside, F.col("_v")))
+
+    # Total and measures are the same on every row of a group by now.
+    found = ordered.groupBy(*keys).agg(
+        F.max("_total").alias("_total"),
+        *[F.max(n).alias(n) for n in names],
+        *[value_at(rank).alias(f"_{name}_{i}") for name, q in quantiles.items() for i, rank in enumerate(ends[q])],
+    )
+    return found.select(
         *keys,
-        "_v",
-        F.explode(
-            F.filter(
-                "_ranks",
-                lambda r: (r["rank"] >= F.col("_last") - F.col("_n")) & (r["rank"] < F.col("_last")),
-            )
-        ).alias("r"),
+        *names,
+        *[
+            (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * (_position(q) - F.floor(_position(q)))).alias(n)
+            for n, q in quantiles.items()
+        ],
     )
-    return found.groupBy(*keys).agg(*[_interpolated(name).alias(name) for name in quantiles])
-
 
-def _interpolated(name: str):
-    def pick(side):
-        return F.max(F.when((F.col("r.name") == name) & (F.col("r.side") == side), F.col("_v")))
 
-    pos = F.max(F.when(F.col("r.name") == name, F.col("r.pos")))
-    low, high = pick("lo"), pick("hi")
-    return low + (high - low) * (pos - F.floor(pos))
+def _position(q: float) -> Column:
+    """Place of a quantile among the ordered values, counted from zero."""
+    return (F.col("_total") - 1) * F.lit(float(q))
 
 
 def percentiles_approx(
@@ -94,7 +103,7 @@ def percentiles_approx(
 def finish_bins(
     bins: DataFrame,
     keys: list[str],
-    measures: list[Column] = (),
+    measures: Sequence[Column] = (),
     quantiles: dict[str, float] = QUANTILES,
     alpha: float = ALPHA,
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierlake.functions.buckets import tier_bucket
 from tierlake.functions.sketch import ALPHA, bin_code
-from tierlake.operators.quantiles import QUANTILES, finish_bins, percentiles_exact
+from tierlake.operators.quantiles import QUANTILES, Measure, finish_bins, percentiles_exact
 from tierlake.schemas import DAY_MS, FIRST_MONDAY_MS, SERIES, TIER_ORDER, TIERS, WEEK_MS
 from tierlake.sources.polls import sample_value
 from tierlake.sources.tiers import scan_samples, scan_tier, write_tier
@@ -44,13 +44,25 @@ def rollup_values(rows: DataFrame, tier: str, percentiles: bool | str = False, a
     if not percentiles:
         return bucketed.groupBy(*keys).agg(*measures())
     if percentiles == "exact":
-        return bucketed.groupBy(*keys).agg(*measures()).join(percentiles_exact(bucketed, keys, "value"), keys)
+        return _with_exact_percentiles(bucketed, keys)
     # Aggregate by bin first: a hot bucket is spread over its bins, and the
     # second step sees one row per bin.
     bins = bucketed.groupBy(*keys, bin_code(F.col("value"), alpha).alias("_bin")).agg(*measures())
     return finish_bins(bins.withColumn("_n", F.col("count")), keys, merged_measures(), alpha=alpha)
 
 
+def _with_exact_percentiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    riding = [
+        Measure("count", F.count("*"), F.sum),
+        Measure("sum", F.sum("value"), F.sum),
+        Measure("min", F.min("value"), F.min),
+        Measure("max", F.max("value"), F.max),
+        Measure("first_ts", F.min("timestamp_ms"), F.min),
+        Measure("last_ts", F.max("timestamp_ms"), F.max),
+    ]
+    return percentiles_exact(rows, keys, "value", QUANTILES, riding).withColumn("avg", F.col("sum") / F.col("count"))
+
+
 def rollup_samples(samples: DataFrame, tier: str = "5min", percentiles: bool | str = False, alpha: float = ALPHA) -> DataFrame:
     """Aggregates per series and tier bucket over valid numeric samples.
 
@@ -92,9 +104,7 @@ def merge_aggregates(aggs: DataFrame, tier: str, percentiles: bool = False, alph
 def aggregate_span(samples: DataFrame, start_ms: int, end_ms: int, percentiles: bool = False) -> DataFrame:
     """One row per series over a whole span, both ends included."""
     rows = numeric(samples).where(F.col("timestamp_ms").between(start_ms, end_ms))
-    out = rows.groupBy(*SERIES).agg(*measures())
-    if percentiles:
-        out = out.join(percentiles_exact(rows, SERIES, "value", QUANTILES), SERIES)
+    out = _with_exact_percentiles(rows, SERIES) if percentiles else rows.groupBy(*SERIES).agg(*measures())
     return out.withColumns(
         {"bucket_start": F.lit(start_ms).cast("bigint"), "bucket_end": F.lit(end_ms).cast("bigint")}
     )
