@@ -34,17 +34,26 @@ def health_timeline(
     rows, needed = chunks.with_chunk(polls, SERIES, "timestamp_ms", chunk_ms, carry)
     ordered = chunks.inside(SERIES, "timestamp_ms", "seq")
     so_far = chunks.running(ordered)
-    fails = F.sum(F.when(F.col("valid"), 0).otherwise(1)).over(so_far)
-    local = rows.withColumn("_fails", fails).withColumns(
+    before = ordered.rowsBetween(chunks.Window.unboundedPreceding, -1)
+    good = F.col("valid")
+    local = rows.withColumns(
         {
-            # Failures counted when the latest success came; NULL before the first.
-            "_mark": F.max(F.when(F.col("valid"), F.col("_fails"))).over(so_far),
-            "_success": F.max(F.when(F.col("valid"), F.col("timestamp_ms"))).over(so_far),
-            "_failure": F.max(F.when(~F.col("valid"), F.col("timestamp_ms"))).over(so_far),
+            "_fails": F.sum(F.when(good, 0).otherwise(1)).over(so_far),
+            "_first": F.row_number().over(ordered) == 1,
+        }
+    ).withColumns(
+        {
+            # Failures counted when the latest success before this poll came; NULL if there was none.
+            "_prev_mark": F.max(F.when(good, F.col("_fails"))).over(before),
+            "_success": F.max(F.when(good, F.col("timestamp_ms"))).over(so_far),
+            "_failure": F.max(F.when(~good, F.col("timestamp_ms"))).over(so_far),
         }
     )
     local = local.withColumns(
-        {"_prev_fails": F.lag("_fails").over(ordered), "_prev_mark": F.lag("_mark").over(ordered)}
+        {
+            "_mark": F.when(good, F.col("_fails")).otherwise(F.col("_prev_mark")),
+            "_prev_fails": F.when(~F.col("_first"), F.col("_fails") - F.when(good, 0).otherwise(1)),
+        }
     )
     summary = local.groupBy(*SERIES, chunks.CHUNK).agg(
         F.max("_fails").alias("_n"),
@@ -78,7 +87,7 @@ def health_timeline(
     joined = chunks.with_carry(local, carried, SERIES, needed)
     open_run = F.coalesce("_open", F.lit(0))
     run = F.when(F.col("_mark").isNotNull(), F.col("_fails") - F.col("_mark")).otherwise(F.col("_fails") + open_run)
-    before = (
+    run_before = (
         F.when(F.col("_prev_mark").isNotNull(), F.col("_prev_fails") - F.col("_prev_mark"))
         .when(F.col("_prev_fails").isNotNull(), F.col("_prev_fails") + open_run)
         .otherwise(F.col("_open"))
@@ -88,7 +97,7 @@ def health_timeline(
         "timestamp_ms",
         "seq",
         "valid",
-        health_of(before, down_after).alias("previous"),
+        health_of(run_before, down_after).alias("previous"),
         health_of(run, down_after).alias("health"),
         run.alias("consecutive_failures"),
         F.when(F.col("valid"), "").otherwise(F.coalesce("error", F.lit(""))).alias("last_error"),
