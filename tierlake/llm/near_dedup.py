@@ -197,8 +197,8 @@ def pairs_across(spark: SparkSession, sets: DataFrame, nodes: DataFrame, setting
     held = materialise(spark, sets.join(nodes, "node").select("shingles", "node", "n", "component"), "held")
     counted = held.select("shingles").mapInArrow(_slot_counts, "slot long, total long").groupBy("slot").agg(F.sum("total"))
     counts = np.zeros(SLOTS, dtype=np.int64)
-    for slot, total in counted.collect():  # SLOTS rows at most
-        counts[slot] = total
+    rows = counted.toDF("slot", "total").toArrow()  # SLOTS rows at most
+    counts[rows["slot"].to_numpy()] = rows["total"].to_numpy()
     firsts = held.mapInArrow(
         functools.partial(_prefixes, settings.percent, spark.sparkContext.broadcast(counts)),
         "node long, n long, component long, place long, shingle long",
