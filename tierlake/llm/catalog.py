@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import near_dedup, packing, quality_classifier
+from tierlake.llm import forest, near_dedup, packing, quality_classifier
 from tierlake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op9_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))

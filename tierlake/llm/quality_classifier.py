@@ -130,20 +130,23 @@ def train(
         for batch in batches:
             made = [_bag(t, settings) for t in batch["_text"]]
             yield pd.DataFrame(
-                {"id": batch["_id"], "label": batch["_label"], "buckets": [m[0] for m in made], "counts": [m[1] for m in made]}
+                {"id": batch["_id"], "label": batch["_label"], "buckets": [m[0].tobytes() for m in made], "counts": [m[1].tobytes() for m in made]}
             )
 
     # The sample has at most train_rows rows of two numbers.
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
     rows = (
         texts.join(F.broadcast(sample), "_id")
-        .mapInPandas(bags, "id long, label int, buckets array<int>, counts array<int>")
+        .mapInPandas(bags, "id long, label int, buckets binary, counts binary")
         .orderBy("id", "label", F.xxhash64("buckets"))
         .limit(settings.train_rows)
-        .toPandas()
+        .toArrow()
     )
-    found = [(np.asarray(b), np.asarray(c)) for b, c in zip(rows["buckets"], rows["counts"])]
-    return fit(found, rows["label"].to_numpy(dtype=np.int64), settings)
+    found = [
+        (np.frombuffer(b.as_py(), dtype=np.int32), np.frombuffer(c.as_py(), dtype=np.int32))
+        for b, c in zip(rows["buckets"], rows["counts"])
+    ]
+    return fit(found, rows["label"].to_numpy().astype(np.int64), settings)
 
 
 class _Words(dict):
