@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import forest, near_dedup, packing, quality_classifier
+from tierlake.llm import forest, mixing, near_dedup, packing, quality_classifier, quality_rules, ring, url_rules
 from tierlake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,45 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokens(table(spark, sf_dir, "documents"))).drop("ids")
 
 
+@query("op3_ring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(table(spark, sf_dir, "documents"))
+
+
+# The rules of the query.
+URL_RULES = """VALUES
+  ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+  ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')"""
+
+OP4_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    row_number() OVER () AS r
+  FROM pages),
+rules(h, p, v) AS ({rules}),
+won AS (
+  SELECT r, arg_max(h || p, 1000 * length(h) + length(p)) AS rule, arg_max(v, 1000 * length(h) + length(p)) AS v
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN won USING (r)
+""".replace("{rules}", URL_RULES)
+
+
+@query("op4_url_rules", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM {URL_RULES} AS rules(host, path, verdict)")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), labels)
+
+
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -40,6 +79,46 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS hash, row_number() OVER () AS r
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n
+  FROM docs GROUP BY source),
+weighted AS (SELECT *, [3, 1, 2][(n % 3 + 1)::INTEGER] AS w, 2 * source_size AS most FROM sources),
+-- Rounds: whoever is above the limit stops there, and the rest is shared anew.
+rounds AS (
+  SELECT 0 AS k, source, source_size, n, w, most, false AS full,
+    1.5 * sum(source_size) OVER () * w / sum(w) OVER () AS target
+  FROM weighted
+  UNION ALL
+  SELECT k + 1, source, source_size, n, w, most, target >= most,
+    CASE WHEN target >= most THEN most
+    ELSE (1.5 * sum(source_size) OVER () - sum(CASE WHEN target >= most THEN most ELSE 0 END) OVER ()) * w
+      / sum(CASE WHEN target >= most THEN 0 ELSE w END) OVER () END
+  FROM rounds WHERE k < 1 + (SELECT count(*) FROM sources)),
+aims AS (
+  SELECT source, source_size::BIGINT AS source_size, target::DOUBLE AS target, round(target)::BIGINT AS words
+  FROM rounds WHERE k = (SELECT max(k) FROM rounds)),
+line AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY hash, doc_id, size, r
+    ROWS UNBOUNDED PRECEDING) - size AS b
+  FROM docs)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+  (greatest(0, least(b + size, words) - b)
+    + greatest(0, least(b + size + source_size, words) - b - source_size))::BIGINT AS taken
+FROM line JOIN aims ON line.source IS NOT DISTINCT FROM aims.source
+"""
+
+
+@query("op8_mixing", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+
+
 @query("op9_forest")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")

@@ -28,7 +28,7 @@ class Settings:
 
     trees: int = 12
     leaf: int = 256
-    share: float = 1.2
+    share: float = 1.5
     sample: int = 20_000
     sample_leaf: int = 16
     block: int = 256

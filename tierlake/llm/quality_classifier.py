@@ -26,7 +26,7 @@ class Settings:
     bits: int = 16
     dim: int = 16
     char_sizes: tuple[int, ...] = (3, 4)
-    train_rows: int = 6000
+    train_rows: int = 2500
     epochs: int = 6
     rate: float = 1.0
     seed: int = 7
