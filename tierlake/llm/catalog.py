@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import forest, mixing, near_dedup, packing, quality_classifier, quality_rules, ring, url_rules
+from tierlake.llm import forest, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, ring, url_rules
 from tierlake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
