@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import forest, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, ring, url_rules
+from tierlake.llm import forest, license_scan, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, ring, url_rules
 from tierlake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokens(table(spark, sf_dir, "documents"))).drop("ids")
