@@ -119,8 +119,27 @@ def mix(
     )
 
 
-def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: str) -> DataFrame:
-    """The documents with their size and place in the shuffled order, written once: the text is read no more."""
+def mixed_documents(
+    docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
+    """The mix itself, with the columns of `docs`: a row for each time that words of a document are taken.
+
+    Documents that are not taken go, and of those taken in part the first words stay, joined by single spaces.
+    """
+    carried = tuple(F.col(c).alias(f"_doc{k}") for k, c in enumerate(docs.columns))
+    rows = _line(docs, settings, doc_id, text, source, carried)
+    taken = _mixed(rows, settings).where("taken > 0").select("row", "taken")
+    left = F.col("taken") - F.col("pass") * F.col("size")
+    rows = rows.select("row", "size", *(f"_doc{k}" for k in range(len(carried)))).join(taken, "row")
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(settings.passes - 1)))).where(left > 0)
+    content = F.col(f"_doc{docs.columns.index(text)}")
+    first = F.array_join(F.slice(F.filter(F.split(content, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, left.cast("int")), " ")
+    cut = F.when(left < F.col("size"), first).otherwise(content)
+    return rows.select(*((cut if c == text else F.col(f"_doc{k}")).alias(c) for k, c in enumerate(docs.columns)))
+
+
+def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: str, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """The documents with their size and place in the shuffled order, written once: no other step reads the texts."""
     number = F.col(doc_id).cast("long")
     rows = docs.select(
         number.alias("doc_id"),
@@ -128,6 +147,7 @@ def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: s
         words(F.col(text)).alias("size"),
         F.md5(F.concat(F.lit(settings.seed + ":"), F.coalesce(number.cast("string"), F.lit("")))).alias("hash"),
         F.monotonically_increasing_id().alias("row"),
+        *carried,
     )
     return materialise(docs.sparkSession, rows, "line")
 
