@@ -30,9 +30,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; of repeated rows one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key")).distinct()
+    keys = F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.coalesce("content", F.lit(b"")).alias("_content")
+    kept = near_dedup.near_duplicates(docs).where("kept").select(*keys).distinct()
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
+    keyed = keyed.withColumn("_content", F.coalesce(near_dedup.content(F.col("text")), F.lit(b"")))
+    # Texts without words are alike to nothing: of them only repeated rows are one.
+    apart = F.when(F.col("_content") == F.lit(b""), F.coalesce("text", F.lit("")))
+    one = keyed.join(kept, ["_key", "_content"], "left_semi").withColumn("_apart", apart)
+    return one.dropDuplicates(["_key", "_content", "_apart"]).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack(packing.tokens(docs)).drop("ids")
+    return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -46,7 +46,7 @@ def brute(rows):
 
 
 def got(df):
-    return Counter(tuple(r) for r in df.collect())
+    return Counter(tuple(r) for r in df.drop("content").collect())
 
 
 def test_whole_table(documents):

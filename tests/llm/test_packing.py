@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -37,6 +37,8 @@ def check(df):
             if len(set(same)) == 1:
                 for start, ids, n in pieces[doc]:
                     assert n != size or same[0][4 * start : 4 * start + len(ids)] == ids
+    lean = Counter(tuple(r) for r in packing.pack_documents(df).collect())
+    assert lean == Counter(tuple(r) for r in packing.pack(packing.tokens(df)).drop("ids").collect())
     used = 0
     for place in places.values():
         at = 0

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from tierlake.llm import catalog, mixing, near_dedup, pii, quality_classifier
-from llm_tools import ODD
-from test_near_dedup import brute
+from tierlake.llm import catalog, mixing, pii, quality_classifier
+from llm_tools import ASCII_LOWER, ODD, words
+from test_near_dedup import brute, sets_of
 from test_packing import check as check_packing
 
 
@@ -37,8 +37,8 @@ def test_stages(spark, sf, documents, tmp_path):
     assert sum(len(r.base) for r in pii.find(kept[2]).collect()) > 0
     assert sum(len(r.base) for r in pii.find(kept[3]).collect()) == 0
     # The mix takes as many words as the operator says.
-    words = lambda df: df.agg(F.sum(mixing.words(F.col("text")))).first()[0]
-    assert words(kept[4]) == mixing.mix(kept[3]).agg(F.sum("taken")).first()[0]
+    total = lambda df: df.agg(F.sum(mixing.words(F.col("text")))).first()[0]
+    assert total(kept[4]) == mixing.mix(kept[3]).agg(F.sum("taken")).first()[0]
     check_packing(kept[4])
     whole = pipeline.run(spark, sf)
     assert Counter(tuple(r)[:5] for r in whole.collect())[None] == 0 and whole.count() == docs.count()
@@ -50,19 +50,18 @@ def test_odd_rows(spark, sf, odd, empty, stage):
     rows = out.collect()
     assert stage == 4 or out.columns == odd.columns
     if stage == 1:
-        want = {(d, t) for (d, t, *_), keep in zip(ODD, [r.kept for r in _in_order(odd)]) if keep}
-        assert Counter((r.doc_id, r.text) for r in rows) == Counter(want)
+        assert Counter((r.doc_id, r.text) for r in rows) == _kept_of_odd()
     if stage == 2:
         assert len(rows) == len(ODD)
     assert pipeline.STAGES[stage][1](spark, empty, sf).count() == 0
 
 
-def _in_order(odd):
-    """The operator's rows beside the documents: both are looked up by what identifies them."""
-    by = {}
-    for r in near_dedup.near_duplicates(odd.withColumn("doc_id", F.col("doc_id"))).collect():
-        by.setdefault((r.doc_id, r.n_shingles), r)
-    from test_near_dedup import sets_of
-
+def _kept_of_odd():
+    """The kept rows by brute force, of equal rows one; equal means the same id and words, or, without words, the same text."""
     sets = sets_of([(d, t) for d, t, *_ in ODD])
-    return [by[d, len(sets[i])] for i, (d, *_) in enumerate(ODD)]
+    kept, first = brute([(d, t) for d, t, *_ in ODD]), {}
+    for k, (d, t, *_) in enumerate(ODD):
+        group = [c for i, n, c, keep in kept if i == d and n == len(sets[k]) and keep]
+        if group:
+            first.setdefault((d, " ".join(words(t)).translate(ASCII_LOWER) or (t or "")), (d, t))
+    return Counter(first.values())

@@ -45,7 +45,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.tokens(table(spark, sf_dir, "documents"))).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 @query("op3_ring")
@@ -147,4 +147,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("content")

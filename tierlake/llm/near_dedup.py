@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.llm.graph import components
@@ -78,6 +79,16 @@ def content_key(words: list[bytes]) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+def content(text: Column) -> Column:
+    """The key that `near_duplicates` has for a text's word sequence; null without words."""
+
+    @F.pandas_udf("binary")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([content_key(_words(t)) for t in texts], dtype=object)
+
+    return keys(text.cast("binary"))
+
+
 def _words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
@@ -233,7 +244,7 @@ def _may_link(n: str, m: str, percent: int):
 def near_duplicates(
     docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """`doc_id, n_shingles, component_id, kept` for every row of `docs`.
+    """`doc_id, n_shingles, component_id, kept` for every row of `docs`, and `content`, the key of its word sequence.
 
     Equal word sequences form one class, and the classes are the nodes. Classes that share a bucket are linked in three
     steps: every class is held against the hub of each of its buckets (the member with most neighbours); the links
@@ -289,5 +300,6 @@ def near_duplicates(
         "doc_id",
         "n_shingles",
         F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "content",
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

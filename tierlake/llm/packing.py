@@ -15,9 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that are tokenised and handed on together.
+ROWS = 512
 #: White-space-free chunks of text, and parts of them, whose ids each Python worker remembers.
-CACHED_CHUNKS = 300_000
-CACHED_PARTS = 250_000
+CACHED_CHUNKS = 150_000
+CACHED_PARTS = 150_000
 
 # How the vocabulary cuts lower-cased text, for ASCII and Latin letters with marks (U+00C0 to U+017F).
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-ſ]+")
@@ -88,16 +90,20 @@ def tokens(
     be of the kind of `word_bpe_49k.json` (see `Encoder`). Null and empty texts have the end id alone.
     """
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path or _public_vocabulary())
-        last = end_id.to_bytes(4, "little")
-        for batch in batches:
-            ids = [encoder.ids(t.as_py()) + last for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
+    encoded = functools.partial(_encoded, path, end_id)
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(encoded, "doc_id long, ids binary")
 
 
+def _encoded(path: str | None, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path or _public_vocabulary())
+    last = end_id.to_bytes(4, "little")
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            ids = [encoder.ids(t.as_py()) + last for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
 def _public_vocabulary() -> str:
     import public_tokenizers
 
@@ -136,7 +142,7 @@ def balance(lengths: list[int], settings: Settings) -> list[tuple[int, int, int,
     return found
 
 
-def _pack(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(settings: Settings, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = iter(range(TaskContext.get().partitionId() << 40, 1 << 62))
     width = 4 * settings.length
     held: list[tuple[int | None, int, bytes, int]] = []  # document, start, ids, ids of the document
@@ -149,7 +155,7 @@ def _pack(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             doc, first, ids, total = held[k]
             out.append((doc, first + start, ids[4 * start : 4 * (start + n)], total, names[sequence], offset))
         held.clear()
-        return _batch(out)
+        return _batch(out, with_ids)
 
     size = 0
     for batch in batches:
@@ -167,18 +173,20 @@ def _pack(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 yield flush()
                 size = 0
         if full:
-            yield _batch(full)
+            yield _batch(full, with_ids)
     if held:
         yield flush()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     doc, start, ids, total, sequence, offset = zip(*rows)
     columns = [doc, start, [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], total, sequence, offset]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pa.RecordBatch.from_arrays(
-        [*(pa.array(c, pa.int64()) for c in columns), pa.array(ids, pa.binary())], names=[*names, "ids"]
-    )
+    arrays = [pa.array(c, pa.int64()) for c in columns] + ([pa.array(ids, pa.binary())] if with_ids else [])
+    names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def pack(ids: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -190,9 +198,26 @@ def pack(ids: DataFrame, settings: Settings = Settings()) -> DataFrame:
     only the last ids of a round leave padding: less than one sequence.
 
     Sequence numbers begin with the partition's, so they are unique, and a repeated task gives the same numbers. Rows
-    that repeat are packed each; rows without ids (null or empty) give no piece; an empty table gives no rows.
+    that repeat are packed each; rows without ids give no piece; an empty table gives no rows.
     """
-    return ids.where("length(ids) > 0").select("doc_id", "ids").mapInArrow(
-        functools.partial(_pack, settings),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
-    )
+    rows = ids.where("length(ids) > 0").select("doc_id", "ids")
+    return rows.mapInArrow(functools.partial(_pack, settings, True), PIECES + ", ids binary")
+
+
+def pack_documents(
+    docs: DataFrame,
+    settings: Settings = Settings(),
+    path: str | None = None,
+    end_id: int = 1,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """`tokens` and `pack` in one pass of one Python worker for each task, without the ids themselves.
+
+    Null and empty texts are one piece of the end id. Columns of `docs` other than the id and the text are ignored.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack(settings, False, _encoded(path, end_id, batches))
+
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(both, PIECES)

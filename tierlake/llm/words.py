@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash is remembered per Python worker; further words are hashed each time they come.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
