@@ -8,37 +8,28 @@ from tierlake.operators import inventory as inv, tags
 from tierlake.operators.config import config_violations, effective_config
 from tierlake.sources import demo
 
-FILTERS = [
-    ("label:site", {"site": "dc1"}, True),
-    ("label:site", {"rack": "A1"}, False),
-    ("label:site", None, False),
-    ("", {"site": "dc1"}, True),
-    ("", None, True),
-    ("label:priority = critical", {"priority": "critical"}, True),
-    ("label:priority = critical", {"priority": "low"}, False),
-    ("label:priority = critical", {"site": "dc1"}, False),
-    ("label:type in [router, switch, firewall]", {"type": "switch"}, True),
-    ("label:type in [router, switch, firewall]", {"type": "server"}, False),
-    ("label:type in [router, switch]", {"type": "router"}, True),
-    ("label:site AND label:rack", {"site": "dc1", "rack": "A1"}, True),
-    ("label:site AND label:rack", {"rack": "A1"}, False),
-    ("label:site AND label:rack", {"site": "dc1"}, False),
-    ("label:site OR label:rack", {"site": "dc1"}, True),
-    ("label:site OR label:rack", {"rack": "A1"}, True),
-    ("label:site OR label:rack", {"vendor": "cisco"}, False),
-    # AND splits first, so this reads (site OR rack) AND vendor.
-    ("label:site OR label:rack AND label:vendor", {"site": "dc1"}, False),
-    ("label:site OR label:rack AND label:vendor", {"site": "dc1", "vendor": "x"}, True),
-    ("something else", {"site": "dc1"}, False),
-]
+LABELS = [None, {}, {"zone": "north"}, {"zone": "south", "os": "bsd"}, {"os": "linux"}, {"zone": "", "os": "bsd"}]
+# Which of the label sets each filter keeps.
+KEPT = {
+    "": [0, 1, 2, 3, 4, 5],
+    "label:zone": [2, 3, 5],
+    "label:os = bsd": [3, 5],
+    "label:os = BSD": [],
+    "label:os in [plan9, bsd]": [3, 5],
+    "label:zone in [north]": [2],
+    "label:zone AND label:os": [3, 5],
+    "label:zone = south OR label:os = linux": [3, 4],
+    # AND splits first, so this reads (os = linux OR zone) AND os.
+    "label:os = linux OR label:zone AND label:os": [3, 4, 5],
+    "label:zone AND label:os AND label:cpu": [],
+    "zone is north": [],
+}
 
 
 def test_label_filter(spark):
-    df = spark.createDataFrame([(i, labels) for i, (_, labels, _) in enumerate(FILTERS)], "i int, labels map<string,string>")
-    tests = [label_filter(text).alias(f"f{i}") for i, (text, _, _) in enumerate(FILTERS)]
-    got = {r["i"]: r for r in df.select("i", *tests).collect()}
-    for i, (text, labels, want) in enumerate(FILTERS):
-        assert got[i][f"f{i}"] is want, (text, labels)
+    df = spark.createDataFrame(list(enumerate(LABELS)), "i int, labels map<string,string>")
+    for text, want in KEPT.items():
+        assert sorted(r["i"] for r in df.where(label_filter(text)).collect()) == want, text
 
 
 def test_saved_query_selects_all_when_it_is_no_label_test(spark):
@@ -50,23 +41,23 @@ def test_saved_query_selects_all_when_it_is_no_label_test(spark):
 @pytest.mark.parametrize(
     "template,labels,want",
     [
-        ("/by-site/{label:site}/{name}", {"site": "dc1"}, "/by-site/dc1/router-1"),
-        ("/dc/{label:site}/rack-{label:rack}/{name}", {"site": "dc1", "rack": "A1"}, "/dc/dc1/rack-A1/router-1"),
-        ("/by-site/{label:site}/{name}", {"rack": "A1"}, None),
-        ("/by-site/{label:site}/{name}", {"site": ""}, None),
-        ("/all/{name}", None, "/all/router-1"),
+        ("/z/{label:zone}/{name}", {"zone": "north"}, "/z/north/gw7"),
+        ("/{label:os}-{label:zone}/{name}", {"zone": "n", "os": "bsd"}, "/bsd-n/gw7"),
+        ("/z/{label:zone}/{name}", {"os": "bsd"}, None),
+        ("/z/{label:zone}", {"zone": ""}, None),
+        ("/fixed", None, "/fixed"),
     ],
 )
 def test_target_template(spark, template, labels, want):
-    df = spark.createDataFrame([("router-1", labels)], "name string, labels map<string,string>")
+    df = spark.createDataFrame([("gw7", labels)], "name string, labels map<string,string>")
     assert df.select(template_path(template, F.col("name"), F.col("labels"))).first()[0] == want
 
 
-@pytest.mark.parametrize("labels,want", [({"site": "dc1"}, "/by-site/dc1/router-1/cpu"), ({}, None)])
+@pytest.mark.parametrize("labels,want", [({"zone": "north"}, "/z/north/gw7/temp"), ({}, None)])
 def test_poller_template(spark, labels, want):
-    df = spark.createDataFrame([("cpu", "router-1", labels)], "name string, target string, labels map<string,string>")
-    path = template_path("/by-site/{target:site}/{target}/{name}", F.col("name"), F.col("labels"), F.col("target"))
-    label_in_poller = template_path("/x/{label:site}/{name}", F.col("name"), F.col("labels"), F.col("target"))
+    df = spark.createDataFrame([("temp", "gw7", labels)], "name string, target string, labels map<string,string>")
+    path = template_path("/z/{target:zone}/{target}/{name}", F.col("name"), F.col("labels"), F.col("target"))
+    label_in_poller = template_path("/x/{label:zone}/{name}", F.col("name"), F.col("labels"), F.col("target"))
     assert tuple(df.select(path, label_in_poller).first()) == (want, None)
 
 
@@ -82,8 +73,19 @@ def test_globs(spark):
     assert glob_regex("a+b(c)*") == "^a\\+b\\(c\\)[^/]*$"
 
 
+def test_glob_escapes(spark):
+    texts = ["a*b", "axb", "a]b", "a-b", "a\\b", "ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "host string")
+    want = {
+        "a\\*?": ["a*b"], "a[*x]b*": ["a*b", "axb"], "a[\\]]b*": ["a]b"], "a[]]b*": ["a]b"], "a[x*": [], "a*\\": [],
+        "a[^x*-]b*": ["a\\b", "a]b"], "a\\\\b*": ["a\\b"], "a[+--]b*": ["a-b"],
+    }
+    for pattern, hits in want.items():
+        assert sorted(r[0] for r in inv.host_glob(df, pattern).collect()) == sorted(hits), pattern
+
+
 def test_paths(spark):
-    cases = {"": "/", "/": "/", "/path": "/path", "path": "/path", "/path/": "/path", "/a/b/c": "/a/b/c", "/a//b": "/a/b"}
+    cases = {"//": "/", "x/y/": "/x/y", "/x///y//z": "/x/y/z", "q": "/q", "/q r/": "/q r", "": "/"}
     df = spark.createDataFrame(list(cases.items()), "path string, want string")
     assert df.where(normalise_path(F.col("path")) != F.col("want")).count() == 0
 
@@ -183,6 +185,27 @@ def test_pages(spark, sf):
     assert seen == [r["name"] for r in inv.list_targets(targets, "ASIA").collect()]
 
 
+def test_a_page_is_as_long_as_wished(spark):
+    df = spark.range(1500).select(F.lit("n").alias("namespace"), F.format_string("t%05d", "id").alias("name"))
+    page = inv.page_targets(df.withColumn("labels", F.lit(None).cast("map<string,string>")), "n", None, 1200)
+    got = page.collect()
+    assert len(got) == 1200 and got[0]["next_cursor"] == "t01199"
+
+
+def test_two_updates_of_one_target(spark):
+    df = spark.createDataFrame([("n", "a", {"x": "1"}, ["t"]), ("n", "b", None, None)], "namespace string, name string, labels map<string,string>, tags array<string>")
+    updates = spark.createDataFrame(
+        [("n", "a", {"x": "2"}, ["u"], None, None, 1), ("n", "a", {"x": "3"}, ["v"], None, None, 2)],
+        "namespace string, name string, labels map<string,string>, add array<string>, remove array<string>, set array<string>, at int",
+    )
+    got = {r["name"]: r["labels"] for r in inv.set_labels(df, updates, order="at").collect()}
+    assert got == {"a": {"x": "3"}, "b": None}
+    assert [r["tags"] for r in tags.update_tags(df, updates, order="at").orderBy("name").collect()] == [["t", "v"], None]
+    for run in (inv.set_labels, tags.update_tags):
+        with pytest.raises(Exception, match="several updates"):
+            run(df, updates).collect()
+
+
 def test_set_labels(spark):
     df = spark.createDataFrame(
         [("n", "a", {"x": "1", "y": "2"}), ("n", "b", None), ("n", "c", {"x": "1"})],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tierlake.operators import chunks, health, levels, live, rates
 from tierlake.schemas import HOUR_MS, LEVELS
 
-WIDTHS = [None, 7_000, 60_000, HOUR_MS]
+WIDTHS = [chunks.CHUNK_MS, 7_000, 60_000, HOUR_MS]
 
 
 def fleet(spark, seed=1, n=400, fail=0.45):
@@ -66,7 +66,7 @@ def test_health_carried_over_days(spark):
     for low, high in ((0, 5_000_000), (5_000_000, 5_600_000), (5_600_000, 10**12)):
         part = samples(spark, [r for r in rows if low <= r[3] < high])
         got.update(timeline_rows(health.health_timeline(part, carry=carry, chunk_ms=60_000)))
-        carry = health.health_current(part, carry=carry, chunk_ms=60_000)
+        carry = health.health_current(part, carry=carry)
     assert got == want
     last = {polls[-1][:3]: want[polls[-1][11]] for polls in by_series(rows).values()}
     for r in carry.collect():
@@ -145,7 +145,7 @@ RULES = [levels.LevelRule(), levels.LevelRule(0.3, 0.5, 0.6, 0.35), levels.Level
 
 
 @pytest.mark.parametrize("rule", RULES)
-@pytest.mark.parametrize("chunk_ms", [None, 50_000])
+@pytest.mark.parametrize("chunk_ms", [chunks.CHUNK_MS, 50_000])
 def test_levels(spark, rule, chunk_ms):
     rows = ratios(spark, 4)
     got = level_rows(levels.level_hysteresis(spark.createDataFrame(rows, SCHEMA), rule=rule, chunk_ms=chunk_ms))
@@ -157,7 +157,7 @@ def test_levels_with_cooldown(spark, cooldown):
     rows = ratios(spark, 5)
     df = spark.createDataFrame(rows, SCHEMA)
     want = expected_levels(rows, RULES[0], cooldown)
-    for chunk_ms in (None, 20_000, 600_000):
+    for chunk_ms in (chunks.CHUNK_MS, 20_000, 600_000):
         assert level_rows(levels.level_hysteresis(df, cooldown_ms=cooldown, chunk_ms=chunk_ms)) == want
 
 
@@ -176,7 +176,7 @@ def test_documented_levels(spark):
 
 
 @pytest.mark.parametrize("bits", [32, 64])
-@pytest.mark.parametrize("chunk_ms", [None, 40_000])
+@pytest.mark.parametrize("chunk_ms", [chunks.CHUNK_MS, 40_000])
 def test_counter_rate(spark, bits, chunk_ms):
     rng = random.Random(6)
     modulus, at, value, rows = 2**bits, 0, 2**bits - 5_000, []
@@ -220,7 +220,7 @@ def test_counters_above_signed_range(spark):
     assert got == [("first", None), ("step", Decimal(6)), ("wrap", Decimal(10))]
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 100_000, HOUR_MS])
+@pytest.mark.parametrize("chunk_ms", [chunks.CHUNK_MS, 100_000, HOUR_MS])
 def test_lateness(spark, chunk_ms):
     rng = random.Random(8)
     rows = [
@@ -241,21 +241,42 @@ def test_lateness(spark, chunk_ms):
     assert got == want and len(want) > 20
 
 
-def test_chunk_width_follows_the_largest_series(spark):
-    hot = spark.range(50_000).select(
-        F.lit("n").alias("namespace"), F.lit("hot").alias("target"), F.lit("p").alias("poller"), (F.col("id") * 20).alias("timestamp_ms")
-    )
-    cold = spark.range(1_000).select(
-        F.lit("n").alias("namespace"), F.concat(F.lit("t"), F.col("id") % 50).alias("target"), F.lit("p").alias("poller"),
-        (F.col("id") * 30_000).alias("timestamp_ms"),
-    )
-    both = hot.unionByName(cold)
-    assert chunks.fit_chunk_ms(both) == chunks.WHOLE
-    width = chunks.fit_chunk_ms(both, max_rows=2_000)
-    assert width < HOUR_MS
-    slot = F.floor(F.col("timestamp_ms") / width)
-    largest = both.groupBy("namespace", "target", "poller", slot).count().agg(F.max("count")).first()[0]
-    assert largest <= 2_000
+def test_current_state_needs_no_order(spark):
+    rows = fleet(spark, 11)
+    found = health.health_current(samples(spark, rows))
+    want = {polls[-1][:3]: expected_health(rows)[polls[-1][11]] for polls in by_series(rows).values()}
+    names = ["health", "consecutive_failures", "last_error", "last_success_at", "last_failure_at"]
+    assert {tuple(r[c] for c in ("namespace", "target", "poller")): tuple(r[n] for n in names) for r in found.collect()} == {
+        k: w[1:] for k, w in want.items()
+    }
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_job_runs_while_an_operator_is_built(spark):
+    df = samples(spark, fleet(spark, 1, 20))
+    ratio = df.withColumn("ratio", F.col("poll_ms") / 100)
+    arrivals = df.withColumn("arrival_ms", F.col("timestamp_ms"))
+    spark.sparkContext.setJobGroup("building", "operators")
+    try:
+        health.health_timeline(df)
+        health.health_current(df)
+        rates.counter_rate(df)
+        live.late_audit(arrivals)
+        levels.level_hysteresis(ratio, cooldown_ms=5_000)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_levels_over_very_many_chunks(spark):
+    """One series of 30 000 chunks, each with one sample: more than FAN runs of chunks are walked."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.lit("n").alias("namespace"), F.lit("t").alias("target"), F.lit("p").alias("poller"),
+        (F.col("id") * 1_000).alias("timestamp_ms"), F.col("id").alias("seq"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("ratio"),
+    )
+    rows = [tuple(r) for r in df.collect()]
+    assert level_rows(levels.level_hysteresis(df, chunk_ms=1_000)) == expected_levels(rows, RULES[0])
 
 
 def test_no_window_without_a_chunk(spark):

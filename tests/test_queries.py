@@ -1,12 +1,15 @@
 """The registered queries: all operators are there, and a few of each family against their SQL."""
 
+import importlib.util
+
 import duckdb
 import pytest
-from conftest import SF
 
 import __spark_entry__ as entry
 import check
+from tierlake.plans import catalog
 
+SF = "/root/testdata/sf0.001"
 # The operators of the blueprint, family by family.
 OPERATORS = """
 scan_tier write_tier write_samples tier_stats normalise_poll_results ingest_summary adhoc_sql
@@ -32,8 +35,14 @@ hierarchy_rollup board_counts relation_count metric_column entity_changes
 
 def test_every_operator_is_registered():
     assert set(OPERATORS) <= set(entry.queries())
-    # Files and bytes of stored tiers have no counterpart in SQL.
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"tier_files"}
+    assert all(q.sql for q in catalog.QUERIES.values())
+
+
+def test_the_rest_works_without_the_training_data_operators(monkeypatch):
+    """As where their package and the pipeline are not installed."""
+    real = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None if name in ("tierlake.llm", "corpus_pipeline") else real(name))
+    assert set(entry.queries()) == set(catalog.QUERIES)
 
 
 def test_flagship(spark):

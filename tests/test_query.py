@@ -1,7 +1,7 @@
 from data import KEY, rows, sample, samples
 
 from tierlake.operators import maintain, query, rollup
-from tierlake.schemas import DAY_MS, HOUR_MS, SERIES
+from tierlake.schemas import DAY_MS, HOUR_MS, SERIES, TIER_ORDER
 from tierlake.session import scratch_path
 from tierlake.sources import polls, tiers
 
@@ -74,12 +74,47 @@ def test_tier_query_prunes_partitions_and_orders(spark):
 def test_hot_rows_are_not_counted_twice(spark):
     df = samples(spark, [sample(m * 60_000, 1, seq=m) for m in range(10)])
     cold = rollup.rollup_samples(samples(spark, [sample(m * 60_000, 1, seq=m) for m in range(5)]))
-    merged = query.merge_hot(cold, df, 0, 600_000)
+    merged = query.merge_hot(cold, df, 0, 600_000, "5min")
     assert sorted((r["part"], r["count"]) for r in merged.collect()) == [("cold", 5), ("hot", 5)]
-    doubled = query.merge_hot(cold, df, 0, 600_000, dedupe=False)
+    doubled = query.merge_hot(cold, df, 0, 600_000, "5min", dedupe=False)
     assert sorted((r["part"], r["count"]) for r in doubled.collect()) == [("cold", 5), ("hot", 10)]
 
 
+def test_hot_rows_fill_holes_and_broken_ends(spark):
+    """Three hours of samples, no cold bucket for the second one, and a span that begins and ends within an hour."""
+    df = samples(spark, [sample(m * 60_000, 1, seq=m) for m in range(180)])
+    cold = rollup.rollup_samples(df, "hourly").where(f"bucket_start <> {HOUR_MS}")
+    whole = query.merge_hot(cold, df, 0, 3 * HOUR_MS, "hourly").collect()
+    assert sorted((r["part"], r["count"]) for r in whole) == [("cold", 60), ("cold", 60), ("hot", 60)]
+    cut = query.merge_hot(cold, df, 20 * 60_000, 160 * 60_000 - 1, "hourly").collect()
+    assert sorted((r["part"], r["count"]) for r in cut) == [("hot", 140)]
+
+
+def test_a_series_counts_each_sample_once(spark):
+    root = scratch_path(spark, "test-series")
+    df = samples(spark, [sample(h * HOUR_MS, 1, seq=h) for h in range(60)])
+    tiers.write_tier(rollup.rollup_samples(df, "daily"), root, "daily")
+    got = query.query_series(spark, root, *KEY, 0, 60 * HOUR_MS - 1, hot=df, tier="daily").collect()
+    assert [r["count"] for r in got] == [24, 24, 12]
+
+
+def test_many_requests_prune_partitions(spark):
+    root = scratch_path(spark, "test-many")
+    df = samples(spark, [sample(h * HOUR_MS, h, seq=h) for h in range(24 * 9)])
+    tiers.write_samples(df, root)
+    rollup.run_cascade(spark, root, 0, 9 * DAY_MS)
+    requests = spark.createDataFrame(
+        [(1, *KEY, 3 * DAY_MS, 4 * DAY_MS), (2, *KEY, 5 * DAY_MS, 8 * DAY_MS)],
+        "request_id bigint, namespace string, target string, poller string, start_ms bigint, end_ms bigint",
+    )
+    found = query.query_many({t: tiers.scan_tier(spark, root, t) for t in TIER_ORDER}, requests)
+    assert sorted((r["request_id"], r["tier"]) for r in found.select("request_id", "tier").distinct().collect()) == [(1, "raw"), (2, "5min")]
+    assert found.groupBy("request_id").count().orderBy("request_id").collect() == [(1, 24), (2, 72)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert len(filters) >= len(TIER_ORDER) and all("bucket_date" in line.split("PartitionFilters")[1].split("]")[0] for line in filters)
+
+
 def test_pages_cover_everything_once(spark):
     root = scratch_path(spark, "test-pages")
     keys = [("n", "t", p) for p in ("a", "b", "c")]
@@ -123,26 +158,29 @@ def test_poll_kinds_and_outcomes(spark):
             (*KEY, 5, "Opaque", "x", None, 5, 5),
             (*KEY, 6, "Integer", None, "get: request timeout", 5, 6),
             (*KEY, 7, "Integer", None, "connect: refused", 5, 7),
+            (*KEY, 8, "Gauge32", "Infinity", None, 5, 8),
+            (*KEY, 9, "Integer", "NaN", None, 5, 9),
         ],
         "namespace string, target string, poller string, timestamp_ms bigint, kind string, raw string, error string, "
         "poll_ms int, seq bigint",
     )
     got = polls.normalise_poll_results(raw).withColumn("outcome", polls.poll_outcome()).orderBy("seq").collect()
-    assert [r["value_type"] for r in got] == ["counter", "gauge", "text", "gauge", "gauge", "gauge", "gauge"]
+    assert [r["value_type"] for r in got] == ["counter", "gauge", "text", "gauge", "gauge", "gauge", "gauge", "gauge", "gauge"]
     assert int(got[0]["value_counter"]) == 2**64 - 1 and got[1]["value_gauge"] == 12.0 and got[2]["value_text"] == "up"
-    assert [r["valid"] for r in got] == [True, True, True, False, False, False, False]
+    assert [r["valid"] for r in got] == [True] * 3 + [False] * 6
     assert [r["error"] for r in got[3:]] == [
         "OID not found", "unsupported type: Opaque", "get: request timeout", "connect: refused",
+        "value is not finite", "value is not finite",
     ]
-    assert [r["outcome"] for r in got] == ["success"] * 3 + ["failed", "failed", "timeout", "failed"]
+    assert [r["outcome"] for r in got] == ["success"] * 3 + ["failed", "failed", "timeout", "failed", "failed", "failed"]
     summary = polls.ingest_summary(polls.normalise_poll_results(raw), 1000).first()
-    assert (summary["received"], summary["ingested"], summary["invalid"], summary["text"], summary["series"]) == (7, 3, 4, 1, 1)
+    assert (summary["received"], summary["ingested"], summary["invalid"], summary["text"], summary["series"]) == (9, 3, 6, 1, 1)
 
 
 def test_adhoc_sql(spark):
     root = scratch_path(spark, "test-sql")
     tiers.write_samples(samples(spark, [sample(1, 2), sample(2, 4)]), root)
     rollup.ingest_range(spark, root, 0, 10)
-    got = tiers.adhoc_sql(spark, root, "SELECT poller, avg FROM agg_5min UNION ALL SELECT poller, value_gauge FROM samples")
+    got = tiers.adhoc_sql(spark, root, "SELECT poller, avg FROM agg_5min UNION ALL SELECT poller, value_gauge FROM agg_samples")
     assert rows(got, "avg") == [(2.0,), (3.0,), (4.0,)]
     assert SERIES == ["namespace", "target", "poller"]

@@ -95,3 +95,15 @@ def test_orphans_and_changes(spark):
     declared, stored = both(spark)
     got = {r["name"]: (r["event"], r["changed_fields"]) for r in rec.entity_changes(stored, declared, KEYS, ["description", "labels"]).collect()}
     assert got == {"t0": ("create", []), "t1": ("create", []), "t2": ("update", ["description"]), "old": ("delete", [])}
+
+
+def test_apply_keeps_columns_that_only_the_store_has(spark):
+    declared, stored = both(spark)
+    stored = stored.withColumn("health", F.lit("up"))
+    diff = rec.inventory_diff(declared, stored, KEYS, "full-sync")
+    new = rec.inventory_apply(diff, declared, stored, KEYS)
+    assert new.columns == stored.columns
+    created = {r["name"] for r in diff.where("action = 'create'").collect()}
+    assert created and {r["name"]: r["health"] for r in new.collect()} == {
+        r["name"]: None if r["name"] in created else "up" for r in new.collect()
+    }

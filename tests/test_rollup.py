@@ -4,8 +4,8 @@ import pytest
 from data import KEY, rows, sample, samples
 from pyspark.sql import functions as F
 
-from tierlake.operators import quantiles, rollup
-from tierlake.schemas import AGGREGATES, DAY_MS, HOUR_MS, SERIES
+from tierlake.operators import maintain, quantiles, rollup
+from tierlake.schemas import AGGREGATES, DAY_MS, HOUR_MS, SERIES, TIER_ORDER
 from tierlake.session import scratch_path
 from tierlake.sources import tiers
 
@@ -50,16 +50,18 @@ def test_merge(spark):
     other = ("prod", "router-01", "memory")
     df = spark.createDataFrame(
         [
-            agg(KEY, 0, 10, 100, 5, 15, 0, 9),
-            agg(KEY, 300_000, 10, 200, 10, 30, 300_001, 300_009),
-            agg(other, 0, 1, 7, 7, 7, 3, 3),
+            agg(KEY, 600_000, 4, -6, -3, 2, 600_002, 600_090),
+            agg(KEY, 3_300_000, 3, 81, 1, 64, 3_300_000, 3_599_999),
+            agg(KEY, 3_600_000, 2, 5, 2, 3, 3_600_000, 3_600_001),
+            agg(other, 900_000, 1, 0.5, 0.5, 0.5, 900_017, 900_017),
         ],
         AGGREGATES,
     )
     got = rows(rollup.merge_aggregates(df, "hourly"), "poller", "count", "sum", "min", "max", "avg", "first_ts", "last_ts")
     assert got == [
-        ("cpu", 20, 300.0, 5.0, 30.0, 15.0, 300_001, 300_009),
-        ("memory", 1, 7.0, 7.0, 7.0, 7.0, 3, 3),
+        ("cpu", 2, 5.0, 2.0, 3.0, 2.5, 3_600_000, 3_600_001),
+        ("cpu", 7, 75.0, -3.0, 64.0, 75 / 7, 600_002, 3_599_999),
+        ("memory", 1, 0.5, 0.5, 0.5, 0.5, 900_017, 900_017),
     ]
     # Sums are the same when sketches are merged along, also where there are none.
     with_sketch = rows(rollup.merge_aggregates(df, "hourly", True), "poller", "count", "sum", "min", "max", "avg", "first_ts", "last_ts")
@@ -152,6 +154,73 @@ def test_cascade_is_repeatable_and_complete(spark):
         assert rows(tiers.scan_tier(spark, root, tier), *EXACT, "p95") == want, tier
 
 
+def test_compaction_after_retention_keeps_what_was_made(spark):
+    root = scratch_path(spark, "test-lifecycle")
+    df = samples(spark, [sample(h * HOUR_MS, h, seq=h) for h in range(24 * 20)])
+    tiers.write_samples(df, root)
+    rollup.run_cascade(spark, root, 0, 20 * DAY_MS)
+    want = {t: rows(tiers.scan_tier(spark, root, t), *EXACT) for t in ("hourly", "daily", "weekly")}
+    now = 20 * DAY_MS
+    # The edges lie within a day and within a week.
+    policy = {"raw": DAY_MS, "5min": 3 * DAY_MS + 7 * HOUR_MS, "hourly": 8 * DAY_MS + HOUR_MS}
+    maintain.retention_apply(spark, root, now, policy, exact=True, samples_age_ms=2 * DAY_MS + 5 * HOUR_MS)
+    assert tiers.scan_samples(spark, root).count() == 53
+    left = {t: rows(tiers.scan_tier(spark, root, t), *EXACT) for t in TIER_ORDER}
+    for _ in range(2):
+        rollup.run_cascade(spark, root, 0, 20 * DAY_MS)
+    for tier in ("daily", "weekly"):
+        assert rows(tiers.scan_tier(spark, root, tier), *EXACT) == want[tier], tier
+    for tier in ("raw", "5min", "hourly"):
+        assert set(left[tier]) <= set(rows(tiers.scan_tier(spark, root, tier), *EXACT)), tier
+    assert set(rows(tiers.scan_tier(spark, root, "hourly"), *EXACT)) <= set(want["hourly"])
+
+
+def test_buckets_without_samples_go(spark):
+    root = scratch_path(spark, "test-stale")
+    df = samples(spark, [sample(h * HOUR_MS, h, seq=h) for h in range(48)])
+    tiers.write_samples(df, root)
+    rollup.run_cascade(spark, root, 0, 2 * DAY_MS)
+    invalid = tiers.scan_samples(spark, root).withColumn("valid", F.col("timestamp_ms") >= DAY_MS)
+    tiers.rewrite_dates(spark, root, "samples", invalid, [tiers.utc_day(0), tiers.utc_day(DAY_MS)])
+    rollup.run_cascade(spark, root, 0, 2 * DAY_MS)
+    assert {t: tiers.scan_tier(spark, root, t).count() for t in TIER_ORDER} == {"raw": 24, "5min": 24, "hourly": 24, "daily": 1, "weekly": 1}
+    none = tiers.scan_samples(spark, root).withColumn("valid", F.lit(False))
+    tiers.rewrite_dates(spark, root, "samples", none, [tiers.utc_day(0), tiers.utc_day(DAY_MS)])
+    rollup.run_cascade(spark, root, 0, 2 * DAY_MS)
+    assert all(tiers.scan_tier(spark, root, t).count() == 0 for t in TIER_ORDER)
+
+
+def test_stored_series_are_deleted(spark):
+    root = scratch_path(spark, "test-delete")
+    keys = [("n", "t", p) for p in "ab"]
+    df = samples(spark, [sample(h * DAY_MS, h, key=k, seq=h) for k in keys for h in range(5)])
+    df = df.union(samples(spark, [sample(9 * DAY_MS, 1, key=keys[0])]))
+    tiers.write_samples(df, root)
+    rollup.run_cascade(spark, root, 0, 10 * DAY_MS)
+    maintain.delete_series_stored(spark, root, spark.createDataFrame(keys[:1], "namespace string, target string, poller string"))
+    assert rows(tiers.scan_samples(spark, root).select("poller").distinct(), "poller") == [("b",)]
+    for tier in TIER_ORDER:
+        got = tiers.scan_tier(spark, root, tier)
+        assert rows(got.select("poller").distinct(), "poller") == [("b",)] and got.agg(F.sum("count")).first()[0] == 5
+
+
+@pytest.mark.parametrize("odd", [float("inf"), float("-inf"), float("nan")])
+def test_values_that_are_not_finite(spark, odd):
+    """They neither abort a cascade nor move a percentile."""
+    values = [float(i) for i in range(1, 101)]
+    df = samples(spark, [sample(i, v, seq=i) for i, v in enumerate([*values, odd])])
+    for percentiles in (True, "exact"):
+        row = rollup.rollup_samples(df, "5min", percentiles).first()
+        assert (row["count"], row["max"]) == (100, 100.0) and abs(row["p50"] - 50.5) < 1
+    raw = spark.createDataFrame([(v,) for v in [*values, odd, None]], "v double").withColumn("k", F.lit("k"))
+    for found in (quantiles.percentiles_exact(raw, ["k"], "v"), quantiles.percentiles_relative(raw, ["k"], "v")):
+        assert abs(found.first()["p50"] - 50.5) < 1
+    root = scratch_path(spark, "test-finite")
+    tiers.write_samples(df, root)
+    rollup.run_cascade(spark, root, 0, 1)
+    assert tiers.scan_tier(spark, root, "weekly").first()["count"] == 100
+
+
 def test_tier_io(spark):
     root = scratch_path(spark, "test-io")
     assert tiers.scan_tier(spark, root, "daily").count() == 0

@@ -23,6 +23,15 @@ def test_rollup_emits_closed_buckets_only(spark, sf):
     assert rows(drained, *columns) == every
 
 
+def test_markers_close_the_last_bucket(spark, sf):
+    """The sink alone holds every bucket; a sink that a stream never wrote to fails the comparison."""
+    columns = [*SERIES, "bucket_start", "count"]
+    want = rows(rollup.rollup_samples(demo.samples(spark, sf, "nation")), *columns)
+    got = plans.stream_rollup_5min(spark, sf)
+    assert rows(got, *columns) == want
+    assert rows(got.limit(0), *columns) != want
+
+
 def test_weekly_windows_begin_on_monday(spark, sf):
     out = plans.drain(spark, sf, "nation", lambda s, o, c: streams.stream_rollup(s, o, c, "weekly"))
     whole = rollup.rollup_samples(demo.samples(spark, sf, "nation"), "weekly")

@@ -72,28 +72,67 @@ def link_poller(ref: Column) -> Column:
     return F.when(link_type(ref) == "poller", F.regexp_replace(ref, "^poller:[^/]+/", ""))
 
 
+# A regular expression that matches no text.
+NOTHING = "(?!)"
+
+
 def glob_regex(pattern: str) -> str:
-    """Anchored regular expression of a shell glob; wildcards stop at a slash."""
+    """Anchored regular expression of a shell glob; wildcards stop at a slash.
+
+    A backslash makes the next character a plain one, also inside brackets.
+    A pattern with an open bracket, or a backslash at its end, matches nothing.
+    """
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
+        i += 1
         if c == "*":
             out.append("[^/]*")
         elif c == "?":
             out.append("[^/]")
-        elif c == "[" and "]" in pattern[i + 2 :]:
-            end = pattern.index("]", i + 2)
-            body = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
-            out.append("[" + body + "]")
-            i = end
-        elif c.isalnum() or c in "_/ ":
-            out.append(c)
+        elif c == "[":
+            found = _glob_class(pattern, i)
+            if found is None:
+                return NOTHING
+            text, i = found
+            out.append(text)
+        elif c == "\\":
+            if i == len(pattern):
+                return NOTHING
+            out.append(_plain(pattern[i]))
+            i += 1
         else:
-            out.append("\\" + c)
-        i += 1
+            out.append(_plain(c))
     return "^" + "".join(out) + "$"
 
 
+def _plain(c: str) -> str:
+    return c if c.isalnum() or c in "_/ " else "\\" + c
+
+
+def _glob_class(pattern: str, i: int) -> tuple[str, int] | None:
+    """The bracket that opened before place i as a character class, and the place after it; None if it stays open."""
+    out = ["["]
+    if pattern[i : i + 1] == "^":
+        out.append("^")
+        i += 1
+    first = i
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "]" and i > first:
+            return "".join(out) + "]", i + 1
+        if c == "\\":
+            i += 1
+            c = pattern[i : i + 1]
+            if not c:
+                return None
+            out.append(_plain(c))
+        else:
+            out.append(c if c == "-" else _plain(c))
+        i += 1
+    return None
+
+
 def glob_match(value: Column, pattern: str) -> Column:
     """Glob match; a pattern without * or ? is plain equality."""
     if "*" not in pattern and "?" not in pattern:

@@ -23,7 +23,13 @@ def gamma(alpha: float) -> float:
     return (1 + alpha) / (1 - alpha)
 
 
+def finite(value: Column) -> Column:
+    """Whether a number is neither null nor infinite nor NaN, which sorts above infinity."""
+    return F.coalesce(F.abs(value) < F.lit(math.inf), F.lit(False))
+
+
 def bin_code(value: Column, alpha: float = ALPHA) -> Column:
+    """Code of a finite value; the callers leave out all others."""
     index = F.ceil(F.log(F.abs(value)) / F.lit(math.log(gamma(alpha)))).cast("int")
     return (
         F.when(value > 0, index + F.lit(SHIFT))

@@ -2,74 +2,27 @@
 
 A window over a whole series would put a series that holds a third of all
 rows into one task.  The ordered operators cut each series into time chunks
-instead, work inside the chunks, and carry the little that passes from one
-chunk to the next: one row per series and chunk, combined by a window over
-those rows only.  The chunk width is measured, so that no chunk holds more
-than ``max_rows`` rows.
+of a fixed width instead, work inside the chunks, and carry the little that
+passes from one chunk to the next: one row per series and chunk, combined by
+a window over those rows only.  The width is an argument of the operators;
+the rows do not depend on it.  A day suits series with up to some millions
+of samples a day.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 from tierlake.functions.buckets import floor_to
-from tierlake.schemas import DAY_MS, HOUR_MS, SERIES, WEEK_MS
+from tierlake.schemas import DAY_MS
 
-MAX_CHUNK_ROWS = 1_000_000
+CHUNK_MS = DAY_MS
 CHUNK = "_chunk"
 
 
-# Chunk width that leaves every series whole.
-WHOLE = 0
-
-
-def _slot(column: str, width: int) -> Column:
-    return floor_to(column, width) if width else F.lit(0).cast("bigint")
-
-
-def _largest(df: DataFrame, keys: list[str], ts: str, widths: list[int]) -> list[int]:
-    """Most rows of one series in one slice, for each width, narrowest first.
-
-    Counts are combined before each shuffle; each width starts from the
-    counts of the one before it.
-    """
-    counts = df.groupBy(*keys, _slot(ts, widths[0]).alias("slot")).agg(F.count("*").alias("n"))
-    known: list[str] = []
-    for before, width in zip(widths, widths[1:]):
-        largest = [F.max(c).alias(c) for c in known] + [F.max("n").alias(f"w{before}")]
-        counts = counts.groupBy(*keys, _slot("slot", width).alias("slot")).agg(F.sum("n").alias("n"), *largest)
-        known.append(f"w{before}")
-    row = counts.agg(*[F.max(c).alias(c) for c in known], F.max("n").alias(f"w{widths[-1]}")).first()
-    return [row[f"w{w}"] or 0 for w in widths]
-
-
-def fit_chunk_ms(
-    df: DataFrame, keys: list[str] = SERIES, ts: str = "timestamp_ms", max_rows: int = MAX_CHUNK_ROWS
-) -> int:
-    """Widest chunk in which no series has more than max_rows rows; WHOLE when no series has.
-
-    One aggregation over the key and time columns; below one hour the width
-    shrinks by the measured excess until it fits or reaches a millisecond.
-    """
-    ladder = [HOUR_MS, DAY_MS, WEEK_MS, WHOLE]
-    sizes = dict(zip(ladder, _largest(df, keys, ts, ladder)))
-    for width in reversed(ladder):
-        if sizes[width] <= max_rows:
-            return width
-    width, size = HOUR_MS, sizes[HOUR_MS]
-    while size > max_rows and width > 1:
-        width = max(1, min(width // 2, width * max_rows // size))
-        size = _largest(df, keys, ts, [width])[0]
-    return width
-
-
-def with_chunk(
-    df: DataFrame, keys: list[str], ts: str, chunk_ms: int | None, carry: DataFrame | None = None
-) -> tuple[DataFrame, bool]:
-    """Add the chunk of each row, and tell whether chunks have anything to hand on."""
-    width = fit_chunk_ms(df, keys, ts) if chunk_ms is None else chunk_ms
-    return df.withColumn(CHUNK, _slot(ts, width)), width != WHOLE or carry is not None
+def with_chunk(df: DataFrame, ts: str, chunk_ms: int) -> DataFrame:
+    """Add the chunk of each row: the start of its time slice."""
+    return df.withColumn(CHUNK, floor_to(ts, chunk_ms))
 
 
 def inside(keys: list[str], *order: Column | str) -> Window:
@@ -86,12 +39,6 @@ def earlier_chunks(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def with_carry(rows: DataFrame, carry: DataFrame, keys: list[str], needed: bool) -> DataFrame:
-    """Attach the carried state of each chunk; both sides are keyed by series and chunk.
-
-    Where every series is one chunk nothing is carried, and the join is left out.
-    """
-    if needed:
-        return rows.join(carry, [*keys, CHUNK], "left")
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in carry.schema.fields if f.name not in (*keys, CHUNK)}
-    return rows.withColumns(empty)
+def with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach the carried state of each chunk; both sides are keyed by series and chunk."""
+    return rows.join(carry, [*keys, CHUNK], "left")

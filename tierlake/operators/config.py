@@ -99,6 +99,7 @@ def config_violations(config: DataFrame) -> DataFrame:
     def blank(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit("")) == ""
 
+    # The texts of the reasons.
     reasons = [
         F.when(blank("host"), "host is required"),
         F.when(blank("oid"), "OID is required"),

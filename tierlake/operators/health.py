@@ -22,7 +22,7 @@ def health_of(failures: Column, down_after: int = 3) -> Column:
 
 
 def health_timeline(
-    samples: DataFrame, down_after: int = 3, carry: DataFrame | None = None, chunk_ms: int | None = None
+    samples: DataFrame, down_after: int = 3, carry: DataFrame | None = None, chunk_ms: int = chunks.CHUNK_MS
 ) -> DataFrame:
     """State of each series after every poll, and before it.
 
@@ -31,7 +31,7 @@ def health_timeline(
     state of earlier days or batches as health_current returns it.
     """
     polls = samples.select(*SERIES, "timestamp_ms", "seq", "valid", "error")
-    rows, needed = chunks.with_chunk(polls, SERIES, "timestamp_ms", chunk_ms, carry)
+    rows = chunks.with_chunk(polls, "timestamp_ms", chunk_ms)
     ordered = chunks.inside(SERIES, "timestamp_ms", "seq")
     so_far = chunks.running(ordered)
     before = ordered.rowsBetween(chunks.Window.unboundedPreceding, -1)
@@ -84,7 +84,7 @@ def health_timeline(
             F.max("_f").over(past).alias("_cf"),
         )
     )
-    joined = chunks.with_carry(local, carried, SERIES, needed)
+    joined = chunks.with_carry(local, carried, SERIES)
     open_run = F.coalesce("_open", F.lit(0))
     run = F.when(F.col("_mark").isNotNull(), F.col("_fails") - F.col("_mark")).otherwise(F.col("_fails") + open_run)
     run_before = (
@@ -125,12 +125,16 @@ def health_current(
     pollers: DataFrame | None = None,
     down_after: int = 3,
     carry: DataFrame | None = None,
-    chunk_ms: int | None = None,
 ) -> DataFrame:
-    """Final state per series; listed pollers that were never polled are unknown."""
-    state = final_state(health_timeline(samples, down_after, carry, chunk_ms))
+    """Final state per series; listed pollers that were never polled are unknown.
+
+    The end of a series needs no order: its newest poll, success and failure
+    are aggregates, and the failures after the newest success are counted in
+    a second one.
+    """
+    state = _end_state(samples, down_after, carry)
     if carry is not None:
-        state = _keep_unseen(state, carry, down_after)
+        state = keep_unseen(state, carry, down_after)
     if pollers is None:
         return state
     names = pollers.select("namespace", "target", F.col("name").alias("poller"))
@@ -143,7 +147,55 @@ def health_current(
     )
 
 
-def _keep_unseen(state: DataFrame, carry: DataFrame, down_after: int) -> DataFrame:
+def _end_state(samples: DataFrame, down_after: int, carry: DataFrame | None) -> DataFrame:
+    at, good = F.struct("timestamp_ms", "seq"), F.col("valid")
+    text = F.when(good, "").otherwise(F.coalesce("error", F.lit("")))
+    newest = samples.groupBy(*SERIES).agg(
+        F.max_by(text, at).alias("last_error"),
+        F.max("timestamp_ms").alias("last_poll_at"),
+        F.max(F.when(good, at)).alias("_success"),
+        F.max(F.when(~good, F.col("timestamp_ms"))).alias("_failure"),
+    )
+    ends = newest.select(*SERIES, "_success")
+    run = (
+        samples.where(~good)
+        .select(*SERIES, at.alias("_at"))
+        .join(ends, SERIES)
+        .where(F.col("_success").isNull() | (F.col("_at") > F.col("_success")))
+        .groupBy(*SERIES)
+        .agg(F.count("*").alias("_run"))
+    )
+    joined = newest.join(run, SERIES, "left")
+    before = {"_open": "bigint", "_last_success": "bigint", "_last_failure": "bigint"}
+    if carry is None:
+        joined = joined.withColumns({c: F.lit(None).cast(t) for c, t in before.items()})
+    else:
+        known = carry.where(F.col("last_poll_at").isNotNull())
+        joined = joined.join(
+            known.select(
+                *SERIES,
+                F.col("consecutive_failures").alias("_open"),
+                F.col("last_success_at").alias("_last_success"),
+                F.col("last_failure_at").alias("_last_failure"),
+            ),
+            SERIES,
+            "left",
+        )
+    # A run without a success in it goes on from the one before.
+    failures = F.coalesce("_run", F.lit(0)) + F.when(F.col("_success").isNull(), F.coalesce("_open", F.lit(0))).otherwise(0)
+    return joined.select(
+        *SERIES,
+        health_of(failures, down_after).alias("health"),
+        failures.alias("consecutive_failures"),
+        "last_error",
+        "last_poll_at",
+        F.coalesce("_success.timestamp_ms", "_last_success").alias("last_success_at"),
+        F.coalesce("_failure", "_last_failure").alias("last_failure_at"),
+    )
+
+
+def keep_unseen(state: DataFrame, carry: DataFrame, down_after: int) -> DataFrame:
+    """The states of a batch, and those carried of series that it had no poll of."""
     unseen = carry.join(state.select(*SERIES), SERIES, "left_anti")
     if "health" not in carry.columns:
         unseen = unseen.withColumn("health", health_of(F.col("consecutive_failures"), down_after))

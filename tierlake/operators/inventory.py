@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from tierlake.functions.labels import label, label_filter
 from tierlake.functions.paths import glob_match, link_target
-from tierlake.operators.tags import has_tags
+from tierlake.operators.tags import has_tags, one_update
 from tierlake.schemas import SERIES
 
-# Page size of a browse and the largest one allowed.
+# Fixed value: page size of a browse that names none.
 DEFAULT_PAGE = 100
-MAX_PAGE = 1000
 
 
 def list_namespaces(namespaces: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def page(df: DataFrame, order_col: str, cursor: str | None = None, limit: int =
 
     next_cursor repeats the last value kept and is NULL on the last page.
     """
-    limit = min(limit, MAX_PAGE) if limit > 0 else DEFAULT_PAGE
+    limit = limit if limit > 0 else DEFAULT_PAGE
     rows = df.where(F.col(order_col) > cursor) if cursor else df
     # One row more than the page tells whether another page follows; the
     # windows see only these few rows.
@@ -75,9 +74,13 @@ def label_histogram(targets: DataFrame) -> DataFrame:
     return pairs.groupBy("namespace", "key", "value").agg(F.count("*").alias("targets"))
 
 
-def set_labels(targets: DataFrame, updates: DataFrame, merge: bool = False) -> DataFrame:
-    """Replace the labels of the targets listed in updates (namespace, name, labels), or merge into them."""
-    given = updates.select("namespace", "name", F.col("labels").alias("_new"))
+def set_labels(targets: DataFrame, updates: DataFrame, merge: bool = False, order: str | None = None) -> DataFrame:
+    """Replace the labels of the targets listed in updates (namespace, name, labels), or merge into them.
+
+    Of several updates of one target the one that is last by the column order
+    counts; without order they are an error.
+    """
+    given = one_update(updates, order).select("namespace", "name", F.col("labels").alias("_new"))
     joined = targets.join(given, ["namespace", "name"], "left")
     if merge:
         now = F.coalesce("labels", F.create_map().cast("map<string,string>"))

@@ -31,7 +31,7 @@ def _name(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in LEVELS]), code + 1)
 
 
-def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None, needed: bool) -> DataFrame:
+def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None) -> DataFrame:
     """Add _eval: samples taken in order, each at least cooldown_ms after the one taken before.
 
     Which samples of a chunk are taken depends only on the first one taken,
@@ -74,7 +74,7 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
         return pdf[group].assign(_entry=pd.array(entries, dtype="Int64"))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_ms", "seq"], kind="stable")
+        pdf = pdf.drop_duplicates(["timestamp_ms", "seq"]).sort_values(["timestamp_ms", "seq"], kind="stable")
         times = pdf["timestamp_ms"].to_numpy()
         following = follow(times)
         entry = pdf["_entry"].iloc[0]
@@ -83,7 +83,7 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
         while place < len(times):
             taken[place] = True
             place = int(following[place])
-        return pdf.drop(columns="_entry").assign(_eval=taken)
+        return pdf[[*group, "timestamp_ms", "seq"]].assign(_eval=taken)
 
     reports = rows.select(*group, "timestamp_ms").groupBy(*group).applyInPandas(
         report, f"{head}, starts array<bigint>, ends array<bigint>"
@@ -97,13 +97,15 @@ def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame
         )
         reports = reports.unionByName(before)
     entries = reports.groupBy(*keys).applyInPandas(walk, f"{head}, _entry bigint")
-    row_schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return (
-        chunks.with_carry(rows, entries, keys, needed)
-        .select(*rows.columns, "_entry")
+    order = ["timestamp_ms", "seq"]
+    place = ", ".join(f"{c} {types[c]}" for c in [*group, *order])
+    # Only keys and order go to Python.
+    marked = (
+        chunks.with_carry(rows.select(*group, *order), entries, keys)
         .groupBy(*group)
-        .applyInPandas(mark, f"{row_schema}, _eval boolean")
+        .applyInPandas(mark, f"{place}, _eval boolean")
     )
+    return rows.join(marked, [*group, *order])
 
 
 def _from_level(start: int, steps: list[Column]) -> Column:
@@ -121,7 +123,7 @@ def level_hysteresis(
     rule: LevelRule = LevelRule(),
     cooldown_ms: int = 0,
     carry: DataFrame | None = None,
-    chunk_ms: int | None = None,
+    chunk_ms: int = chunks.CHUNK_MS,
 ) -> DataFrame:
     """Level of every sample (keys, timestamp_ms, seq, ratio), and the level before it.
 
@@ -133,9 +135,9 @@ def level_hysteresis(
     level (and last_check_ms) at the end of earlier days or batches.
     """
     points = df.select(*keys, "timestamp_ms", "seq", F.col(ratio).cast("double").alias("ratio"))
-    rows, needed = chunks.with_chunk(points, keys, "timestamp_ms", chunk_ms, carry)
+    rows = chunks.with_chunk(points, "timestamp_ms", chunk_ms)
     if cooldown_ms > 0:
-        rows = _spaced(rows, keys, cooldown_ms, carry, needed)
+        rows = _spaced(rows, keys, cooldown_ms, carry)
     else:
         rows = rows.withColumn("_eval", F.lit(True))
     u = F.col("ratio")
@@ -192,17 +194,12 @@ def level_hysteresis(
     summary = rows.groupBy(*keys, chunks.CHUNK).agg(
         F.max_by(exits, F.struct("timestamp_ms", "seq")).alias("_exits")
     )
+    first = None
     if carry is not None:
         level = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("level")).cast("int") - 1
-        summary = summary.unionByName(
-            carry.select(
-                *keys, F.lit(-1).cast("bigint").alias(chunks.CHUNK), F.array_repeat(level, 4).alias("_exits")
-            )
-        )
-    entry = _entry_levels(summary, keys)
-    joined = chunks.with_carry(rows, entry, keys, needed).withColumn(
-        "_entry_level", F.coalesce("_entry_level", F.lit(0))
-    )
+        first = carry.select(*keys, level.alias("_first"))
+    entry = _entry_levels(summary, keys, chunk_ms, first)
+    joined = chunks.with_carry(rows, entry, keys)
     joined = joined.withColumn("_level", F.element_at(exits, F.col("_entry_level") + 1))
     return joined.select(
         *keys,
@@ -215,17 +212,39 @@ def level_hysteresis(
     )
 
 
-def _entry_levels(summary: DataFrame, keys: list[str]) -> DataFrame:
+# Chunks whose exit tables are composed together.
+FAN = 512
+
+
+def _entry_levels(summary: DataFrame, keys: list[str], chunk_ms: int, first: DataFrame | None) -> DataFrame:
     """Level at the start of each chunk: the exit tables of the chunks before it, applied in order.
 
-    A series is here one row of four small numbers per chunk.
+    Exit tables, four small numbers each, compose: runs of FAN chunks become
+    one table each, the series walks over these, and every run is then walked
+    from its own entry level.  The work is linear in the chunks of a series.
+    first holds the level that a series begins with, 0 where it has none.
     """
-    listed = summary.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(chunks.CHUNK, "_exits"))).alias("_chunks")
+    numbered = summary.withColumn("_i", (F.col(chunks.CHUNK) / chunk_ms).cast("bigint"))
+    runs = (
+        numbered.groupBy(*keys, F.floor(F.col("_i") / FAN).alias("_run"))
+        .agg(F.array_sort(F.collect_list(F.struct("_i", "_exits"))).alias("_list"))
     )
-    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("entries"))
+    start = F.array(*[F.lit(level) for level in range(4)])
+    composed = F.aggregate("_list", start, lambda acc, c: F.transform(acc, lambda level: F.element_at(c["_exits"], level + 1)))
+    whole = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_run").alias("_i"), composed.alias("_exits")))).alias("_list"))
+    whole = whole.withColumn("_first", F.lit(0)) if first is None else whole.join(first, keys, "left")
+    entries = _walked(whole.withColumn("_first", F.coalesce("_first", F.lit(0))), keys)
+    begun = entries.withColumnsRenamed({"_i": "_run", "_entry": "_first"})
+    return _walked(runs.join(begun, [*keys, "_run"]), keys).select(
+        *keys, (F.col("_i") * chunk_ms).alias(chunks.CHUNK), F.col("_entry").alias("_entry_level")
+    )
+
+
+def _walked(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Level at the start of each element of a list of exit tables, beginning with _first."""
+    start = F.struct(F.col("_first").alias("level"), F.array().cast("array<int>").alias("entries"))
     entries = F.aggregate(
-        "_chunks",
+        "_list",
         start,
         lambda acc, c: F.struct(
             F.element_at(c["_exits"], acc["level"] + 1).alias("level"),
@@ -233,10 +252,8 @@ def _entry_levels(summary: DataFrame, keys: list[str]) -> DataFrame:
         ),
         lambda acc: acc["entries"],
     )
-    pairs = F.arrays_zip(F.col("_chunks").alias("c"), entries.alias("e"))
-    return listed.select(*keys, F.explode(pairs).alias("p")).select(
-        *keys, F.col(f"p.c.{chunks.CHUNK}").alias(chunks.CHUNK), F.col("p.e").alias("_entry_level")
-    )
+    pairs = F.arrays_zip(F.col("_list").alias("c"), entries.alias("e"))
+    return lists.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.c._i").alias("_i"), F.col("p.e").alias("_entry"))
 
 
 def level_final(levels: DataFrame, keys: list[str] = SERIES) -> DataFrame:

@@ -12,14 +12,14 @@ from tierlake.schemas import SERIES
 
 
 def arrival_lateness(
-    arrivals: DataFrame, tier: str = "5min", carry: DataFrame | None = None, chunk_ms: int | None = None
+    arrivals: DataFrame, tier: str = "5min", carry: DataFrame | None = None, chunk_ms: int = chunks.CHUNK_MS
 ) -> DataFrame:
     """For every sample, the newest bucket its series had reached when it arrived.
 
     arrivals carries arrival_ms; samples are taken in order of arrival_ms and
     seq.  carry holds newest_bucket per series of earlier batches.
     """
-    rows, needed = chunks.with_chunk(arrivals, SERIES, "arrival_ms", chunk_ms, carry)
+    rows = chunks.with_chunk(arrivals, "arrival_ms", chunk_ms)
     rows = rows.withColumn("bucket_start", bucket_start("timestamp_ms", tier))
     before = chunks.inside(SERIES, "arrival_ms", "seq").rowsBetween(chunks.Window.unboundedPreceding, -1)
     summary = rows.groupBy(*SERIES, chunks.CHUNK).agg(F.max("bucket_start").alias("_newest"))
@@ -32,7 +32,7 @@ def arrival_lateness(
     carried = summary.select(
         *SERIES, chunks.CHUNK, F.max("_newest").over(chunks.earlier_chunks(SERIES)).alias("_carry")
     )
-    joined = chunks.with_carry(rows.withColumn("_here", F.max("bucket_start").over(before)), carried, SERIES, needed)
+    joined = chunks.with_carry(rows.withColumn("_here", F.max("bucket_start").over(before)), carried, SERIES)
     newest = F.greatest("_here", "_carry")
     return joined.withColumn("newest_before", newest).drop("_here", "_carry", chunks.CHUNK)
 
@@ -41,7 +41,7 @@ def is_late():
     return F.coalesce(F.col("bucket_start") < F.col("newest_before"), F.lit(False))
 
 
-def late_audit(arrivals: DataFrame, tier: str = "5min", chunk_ms: int | None = None) -> DataFrame:
+def late_audit(arrivals: DataFrame, tier: str = "5min", chunk_ms: int = chunks.CHUNK_MS) -> DataFrame:
     """Samples that arrived for a bucket older than the newest one seen of their series."""
     return (
         arrival_lateness(arrivals, tier, chunk_ms=chunk_ms)

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierlake.schemas import DAY_MS, SERIES, TIER_ORDER, TIERS
-from tierlake.session import materialise, remove_path
-from tierlake.sources.tiers import scan_tier, write_tier
+from tierlake.sources.tiers import (
+    drop_dates,
+    record_edges,
+    rewrite_dates,
+    scan_samples,
+    scan_tier,
+    stored_dates,
+    utc_day,
+)
 
 
 def count_samples(samples: DataFrame) -> DataFrame:
@@ -72,6 +79,30 @@ def delete_series(samples: DataFrame, gone: DataFrame) -> DataFrame:
     return samples.join(gone.select(*SERIES).distinct(), SERIES, "left_anti")
 
 
+def retain_stored_samples(spark: SparkSession, root: str, now_ms: int, max_age_ms: int) -> None:
+    """Drop stored raw samples older than an age: whole dates by their folder, the date on the edge row by row."""
+    cutoff = now_ms - max_age_ms
+    record_edges(spark, root, {"samples": cutoff})
+    days = stored_dates(spark, f"{root}/samples")
+    drop_dates(spark, f"{root}/samples", "sample_date", [d for d in days if d < utc_day(cutoff)])
+    if cutoff % DAY_MS and utc_day(cutoff) in days:
+        edge = cutoff // DAY_MS * DAY_MS
+        rewrite_dates(spark, root, "samples", scan_samples(spark, root, cutoff, edge + DAY_MS - 1), [utc_day(cutoff)])
+
+
+def delete_series_stored(spark: SparkSession, root: str, gone: DataFrame) -> None:
+    """Drop the given series from the stored raw samples and from every tier; only dates that hold them are rewritten."""
+    gone = gone.select(*SERIES).distinct()
+    for name, date in [("samples", "sample_date"), *((tier, "bucket_date") for tier in TIER_ORDER)]:
+        stored = scan_samples(spark, root) if name == "samples" else scan_tier(spark, root, name)
+        # One row per date: a listing, not data.
+        held = stored.join(gone, SERIES, "left_semi").select(F.unix_date(date).alias("day")).distinct().collect()
+        if held:
+            days = [utc_day(r["day"] * DAY_MS) for r in held]
+            kept = stored.where(F.col(date).isin([F.lit(d) for d in days])).join(gone, SERIES, "left_anti")
+            rewrite_dates(spark, root, name, kept.select(stored.columns), days)
+
+
 def _cutoffs(now_ms: int, policy: dict[str, int] | None) -> dict[str, int]:
     given = policy or {}
     unknown = set(given) - set(TIERS)
@@ -87,10 +118,13 @@ def retention_report(
     cutoffs = _cutoffs(now_ms, policy)
     out = None
     for tier, df in tiers.items():
-        old = F.col("bucket_end") < cutoffs[tier]
+        # After the date of the cutoff every bucket stays; these rows are counted without reading a column.
+        edge, old = F.lit(utc_day(cutoffs[tier])), F.col("bucket_end") < cutoffs[tier]
+        counts = F.count_if(old).alias("drop"), F.count_if(~old).alias("keep")
+        early = df.where(F.col("bucket_date") <= edge).groupBy("bucket_date").agg(*counts)
+        late = df.where(F.col("bucket_date") > edge).groupBy("bucket_date").agg(F.lit(0).cast("bigint").alias("drop"), F.count("*").alias("keep"))
         # Per date first: the totals are then sums over few rows.
-        per_date = df.groupBy("bucket_date").agg(F.count_if(old).alias("drop"), F.count_if(~old).alias("keep"))
-        part = per_date.agg(
+        part = early.unionByName(late).agg(
             F.count_if((F.col("drop") > 0) & (F.col("keep") == 0)).alias("dates_to_drop"),
             F.count_if((F.col("drop") > 0) & (F.col("keep") > 0)).alias("dates_to_cut"),
             F.count_if(F.col("drop") == 0).alias("dates_to_keep"),
@@ -108,31 +142,37 @@ def retention_apply(
     policy: dict[str, int] | None = None,
     dry_run: bool = False,
     exact: bool = False,
+    samples_age_ms: int | None = None,
 ) -> DataFrame:
     """Apply retention to stored tiers and return the report made before it.
 
-    Dates whose buckets have all expired are dropped whole.  With exact, the
-    one date on the edge is rewritten with the rows that stay.
+    Dates whose buckets have all expired are dropped whole, most of them by
+    their folder alone.  With exact, the date on the edge is rewritten with
+    the rows that stay.  The cutoffs are recorded, so that later compactions
+    know from when on a tier is complete.  samples_age_ms drops raw samples.
     """
-    stored = {tier: scan_tier(spark, root, tier) for tier in TIER_ORDER}
-    report = materialise(spark, retention_report(stored, now_ms, policy).coalesce(1), "retention")
+    made = retention_report({tier: scan_tier(spark, root, tier) for tier in TIER_ORDER}, now_ms, policy)
+    report = spark.createDataFrame(made.collect(), made.schema)  # one row for each tier
     if dry_run:
         return report
-    for tier, cutoff in _cutoffs(now_ms, policy).items():
-        old = F.col("bucket_end") < cutoff
-        # One row per date: a listing of partitions, not data.
-        dates = (
-            stored[tier]
-            .groupBy(F.col("bucket_date").cast("string").alias("day"))
-            .agg(F.count_if(old).alias("drop"), F.count_if(~old).alias("keep"))
-            .where("drop > 0")
-            .collect()
-        )
-        edge = [d["day"] for d in dates if d["keep"]]
-        if exact and edge:
-            stays = stored[tier].where(F.col("bucket_date").isin([F.lit(d).cast("date") for d in edge])).where(~old)
-            write_tier(materialise(spark, stays, "edge"), root, tier)
-        for date in dates:
-            if not date["keep"]:
-                remove_path(spark, f"{root}/{tier}/bucket_date={date['day']}")
+    cutoffs = _cutoffs(now_ms, policy)
+    record_edges(spark, root, cutoffs)
+    for tier, cutoff in cutoffs.items():
+        width, path = TIERS[tier].width_ms, f"{root}/{tier}"
+        gone, edge = [], []
+        for day in stored_dates(spark, path):
+            begin = (day - utc_day(0)).days * DAY_MS
+            if begin + max(width, DAY_MS) < cutoff:
+                gone.append(day)
+            elif begin + width < cutoff:
+                edge.append(day)
+        drop_dates(spark, path, "bucket_date", gone)
+        if not edge:
+            continue
+        rows = scan_tier(spark, root, tier).where(F.col("bucket_date").isin([F.lit(d) for d in edge]))
+        stays = rows.where(F.col("bucket_end") >= cutoff)
+        if exact or stays.isEmpty():
+            rewrite_dates(spark, root, tier, stays, edge)
+    if samples_age_ms is not None:
+        retain_stored_samples(spark, root, now_ms, samples_age_ms)
     return report

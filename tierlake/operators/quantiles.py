@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlake.functions.sketch import ALPHA, bin_code, bin_value, sketch_quantile
+from tierlake.functions.sketch import ALPHA, bin_code, bin_value, finite, sketch_quantile
 
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -31,7 +31,7 @@ def percentiles_exact(
     quantiles: dict[str, float] = QUANTILES,
     measures: Sequence[Measure] = (),
 ) -> DataFrame:
-    """Interpolated quantiles of each group, for groups of any size, and other measures of it.
+    """Interpolated quantiles of the finite values of each group, and other measures of it.
 
     Equal values are counted before the shuffle.  The counts are summed by
     relative-error bin, of which a group has a bounded number; the running
@@ -40,7 +40,7 @@ def percentiles_exact(
     """
     names = [m.name for m in measures]
     counts = (
-        df.where(F.col(col).isNotNull())
+        df.where(finite(F.col(col).cast("double")))
         .groupBy(*keys, F.col(col).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"), *[m.of_rows.alias(m.name) for m in measures])
         .withColumn("_bin", bin_code(F.col("_v"), 0.001))
@@ -130,13 +130,13 @@ def finish_bins(
 
 
 def relative_sketch(df: DataFrame, keys: list[str], col: str, alpha: float = ALPHA) -> DataFrame:
-    """Mergeable sketch per group, a map from relative-error bin to count, and its quantiles.
+    """Mergeable sketch of the finite values of each group, a map from relative-error bin to count, and its quantiles.
 
     Bins are counted first, so a group reaches the second step as one row per
     bin, never as its raw values.
     """
     bins = (
-        df.where(F.col(col).isNotNull())
+        df.where(finite(F.col(col).cast("double")))
         .groupBy(*keys, bin_code(F.col(col).cast("double"), alpha).alias("_bin"))
         .agg(F.count("*").alias("_n"))
     )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierlake.functions.buckets import floor_to, select_tier, tier_for_span
+from tierlake.functions.buckets import bucket_start, floor_to, select_tier, tier_for_span
 from tierlake.operators.rollup import aggregate_span
 from tierlake.schemas import DAY_MS, SERIES, TIERS
 from tierlake.sources.tiers import scan_tier
@@ -42,15 +42,15 @@ def display_value() -> Column:
 
 
 def history(
-    samples: DataFrame, ns: str, target: str, poller: str, limit: int = 100, since_ms: int = 0, until_ms: int = 0
+    samples: DataFrame, ns: str, target: str, poller: str, limit: int | None = None, since_ms: int = 0, until_ms: int = 0
 ) -> DataFrame:
-    """Samples of one series, newest first."""
+    """Samples of one series, newest first; all of them unless a limit is given."""
     rows = filter_samples(samples, ns, target, poller, since_ms, until_ms)
     ordered = rows.withColumn("display", display_value()).orderBy(F.desc("timestamp_ms"), F.desc("seq"))
     return ordered.limit(limit) if limit else ordered
 
 
-def history_all(samples: DataFrame, limit: int = 100, newest_first: bool = True, salts: int = 32) -> DataFrame:
+def history_all(samples: DataFrame, limit: int, newest_first: bool = True, salts: int = 32) -> DataFrame:
     """The first rows of every series, with their place.
 
     Each series is cut to its first rows in several salted parts before the
@@ -89,14 +89,16 @@ def query_series(
 ) -> DataFrame:
     """Buckets of one series fully inside a span, in order, then the hot samples as one row.
 
-    The tier follows from the span unless it is given.
+    The tier follows from the span unless it is given.  Hot samples that one
+    of the buckets holds already are left out.
     """
     tier = tier or tier_for_span(end_ms - start_ms)
     cold = scan_tier(spark, root, tier, start_ms, end_ms).where(_contained(start_ms, end_ms))
     cold = cold.where((F.col("namespace") == ns) & (F.col("target") == target) & (F.col("poller") == poller))
     out = cold.drop("bucket_date", "sketch").withColumn("_part", F.lit(0))
     if hot is not None:
-        live = aggregate_span(filter_samples(hot, ns, target, poller), start_ms, end_ms)
+        newer = uncovered(filter_samples(hot, ns, target, poller), cold, tier)
+        live = aggregate_span(newer, start_ms, end_ms)
         out = out.unionByName(live.withColumn("_part", F.lit(1)), allowMissingColumns=True)
     out = out.withColumn("tier", F.lit(tier)).orderBy("_part", "bucket_start")
     return (out.limit(limit) if limit else out).drop("_part")
@@ -144,7 +146,14 @@ def query_many(tiers: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
             ),
         )
         wanted = wanted.withColumnRenamed("poller", "_poller")
-        rows = aggs.withColumn("_slot", floor_to("bucket_start", slot_ms))
+        # The requests' outer bounds reach the scan as a filter on its partitions.
+        bounds = routed.where(F.col("tier") == tier).agg(
+            *[F.date_from_unix_date(F.floor(c / DAY_MS).cast("int")).alias(n) for n, c in (("low", F.min("start_ms")), ("high", F.max("end_ms")))]
+        )
+        rows = aggs.where(F.col("bucket_date") >= bounds.select("low").scalar()).where(
+            F.col("bucket_date") <= bounds.select("high").scalar()
+        )
+        rows = rows.withColumn("_slot", floor_to("bucket_start", slot_ms))
         joined = rows.join(wanted, ["namespace", "target", "_slot"]).where(
             (F.col("bucket_start") >= F.col("start_ms"))
             & (F.col("bucket_end") <= F.col("end_ms"))
@@ -158,23 +167,23 @@ def query_many(tiers: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, answers)
 
 
+def uncovered(samples: DataFrame, buckets: DataFrame, tier: str) -> DataFrame:
+    """Samples whose tier bucket is not among the given buckets of their series."""
+    held = buckets.select(*SERIES, F.col("bucket_start").alias("_bucket")).distinct()
+    placed = samples.withColumn("_bucket", bucket_start("timestamp_ms", tier))
+    return placed.join(held, [*SERIES, "_bucket"], "left_anti").drop("_bucket").select(samples.columns)
+
+
 def merge_hot(
-    cold: DataFrame, hot_samples: DataFrame, start_ms: int, end_ms: int, dedupe: bool = True
+    cold: DataFrame, hot_samples: DataFrame, start_ms: int, end_ms: int, tier: str, dedupe: bool = True
 ) -> DataFrame:
-    """Cold buckets and one hot row per series.
+    """Cold buckets of a tier and one hot row per series.
 
     With dedupe, hot samples that a cold bucket of the series already holds
-    are left out; plain concatenation would count them twice.
+    are left out, bucket by bucket; plain concatenation would count them twice.
     """
     inside_span = cold.where(_contained(start_ms, end_ms))
-    hot = hot_samples
-    if dedupe:
-        edge = inside_span.groupBy(*SERIES).agg(F.max("bucket_end").alias("_edge"))
-        hot = (
-            hot.join(edge, SERIES, "left")
-            .where(F.col("_edge").isNull() | (F.col("timestamp_ms") >= F.col("_edge")))
-            .drop("_edge")
-        )
+    hot = uncovered(hot_samples, inside_span, tier) if dedupe else hot_samples
     live = aggregate_span(hot, start_ms, end_ms)
     return inside_span.withColumn("part", F.lit("cold")).unionByName(
         live.withColumn("part", F.lit("hot")), allowMissingColumns=True

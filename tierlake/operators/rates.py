@@ -14,7 +14,7 @@ MAX_RATE = 12_500_000_000.0
 
 
 def counter_rate(
-    samples: DataFrame, wrap_bits: int = 64, max_rate: float = MAX_RATE, chunk_ms: int | None = None
+    samples: DataFrame, wrap_bits: int = 64, max_rate: float = MAX_RATE, chunk_ms: int = chunks.CHUNK_MS
 ) -> DataFrame:
     """Rate of each counter sample against the one before it in its series.
 
@@ -25,7 +25,7 @@ def counter_rate(
         raise ValueError("wrap_bits must be 32 or 64")
     counters = valid_only(samples).where((F.col("value_type") == "counter") & F.col("value_counter").isNotNull())
     points = counters.select(*SERIES, "timestamp_ms", "seq", "value_counter")
-    rows, needed = chunks.with_chunk(points, SERIES, "timestamp_ms", chunk_ms)
+    rows = chunks.with_chunk(points, "timestamp_ms", chunk_ms)
     point = F.struct("timestamp_ms", "seq", "value_counter")
     within = chunks.inside(SERIES, "timestamp_ms", "seq")
     before = F.lag(point).over(within)
@@ -35,7 +35,7 @@ def counter_rate(
         chunks.CHUNK,
         F.last("_last").over(chunks.earlier_chunks(SERIES)).alias("_carry"),
     )
-    joined = chunks.with_carry(rows.withColumn("_before", before), carry, SERIES, needed).withColumn(
+    joined = chunks.with_carry(rows.withColumn("_before", before), carry, SERIES).withColumn(
         "_prev", F.coalesce("_before", "_carry")
     )
     change = F.col("value_counter") - F.col("_prev.value_counter")
@@ -75,7 +75,7 @@ def rate_rollup(
     wrap_bits: int = 64,
     max_rate: float = MAX_RATE,
     percentiles: bool | str = False,
-    chunk_ms: int | None = None,
+    chunk_ms: int = chunks.CHUNK_MS,
 ) -> DataFrame:
     """Aggregates of counter rates per tier bucket."""
     rates = counter_rate(samples, wrap_bits, max_rate, chunk_ms)

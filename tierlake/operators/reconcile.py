@@ -104,26 +104,24 @@ def inventory_apply(diff: DataFrame, declared: DataFrame, stored: DataFrame, key
     """The stored inventory after the differences are carried out.
 
     Created and updated entities take the declared content and the source
-    yaml; an update raises the version by one.
+    yaml; an update raises the version by one.  Stored columns that the
+    declared side lacks stay as they are, and are null in created entities.
     """
     actions = diff.select(*keys, "action")
-    columns = [c for c in stored.columns if c in declared.columns]
     kept = (
         stored.join(actions, keys, "left")
         .where(F.col("action").isNull() | (F.col("action") == "skip"))
-        .select(columns)
+        .select(stored.columns)
     )
-    versions = stored.select(*keys, F.col("version").alias("_version"))
+    own = [c for c in stored.columns if c not in keys]
+    old = stored.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in own])
+    new = {c: F.col(c) if c in declared.columns else F.col(f"_old_{c}") for c in own}
+    new["source"] = F.lit("yaml")
+    new["version"] = F.when(F.col("action") == "update", F.col("_old_version") + 1).otherwise(1)
     written = (
         declared.join(actions.where(F.col("action").isin("create", "update")), keys)
-        .join(versions, keys, "left")
-        .withColumns(
-            {
-                "source": F.lit("yaml"),
-                "version": F.when(F.col("action") == "update", F.col("_version") + 1).otherwise(1),
-            }
-        )
-        .select(columns)
+        .join(old, keys, "left")
+        .select(*keys, *[new[c].alias(c) for c in own])
     )
     return kept.unionByName(written)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.functions.buckets import tier_bucket
-from tierlake.functions.sketch import ALPHA, bin_code
+from tierlake.functions.sketch import ALPHA, bin_code, finite
 from tierlake.operators.quantiles import QUANTILES, Measure, finish_bins, percentiles_exact
-from tierlake.schemas import DAY_MS, FIRST_MONDAY_MS, SERIES, TIER_ORDER, TIERS, WEEK_MS
+from tierlake.schemas import AGGREGATES, DAY_MS, FIRST_MONDAY_MS, SERIES, TIER_ORDER, TIERS, WEEK_MS
+from tierlake.session import passing
 from tierlake.sources.polls import sample_value
-from tierlake.sources.tiers import scan_samples, scan_tier, write_tier
+from tierlake.sources.tiers import read_if_there, retention_edge, scan_samples, scan_tier, write_tier
 
 BUCKET = ["bucket_start", "bucket_end"]
 
@@ -20,8 +23,8 @@ def valid_only(samples: DataFrame) -> DataFrame:
 
 
 def numeric(samples: DataFrame) -> DataFrame:
-    """Valid samples with a number, as a column value; text does not aggregate."""
-    return valid_only(samples).withColumn("value", sample_value()).where(F.col("value").isNotNull())
+    """Valid samples with a finite number, as a column value; text does not aggregate."""
+    return valid_only(samples).withColumn("value", sample_value()).where(finite(F.col("value")))
 
 
 def measures() -> list:
@@ -122,20 +125,51 @@ def _whole_partitions(tier: str, start_ms: int, end_ms: int) -> tuple[int, int]:
 def compact(spark: SparkSession, root: str, src: str, dst: str, start_ms: int, end_ms: int) -> tuple[int, int]:
     """Recompute one tier from the tier below for [start_ms, end_ms); running it twice changes nothing.
 
-    Returns the range that was rewritten.
+    Buckets that no longer have a sample go.  Buckets that begin before the
+    source's retention edge stay as they are, since their source may be gone.
+    Returns the range that was asked for, in whole dates and buckets.
     """
     if TIER_ORDER.index(src) >= TIER_ORDER.index(dst):
         raise ValueError("the target tier must be coarser than the source tier")
     low, high = _whole_partitions(dst, start_ms, end_ms)
-    write_tier(merge_aggregates(scan_tier(spark, root, src, low, high - 1), dst, percentiles=True), root, dst)
+    if read_if_there(spark, f"{root}/{src}", AGGREGATES) is not None:
+        edge = retention_edge(spark, root, src)
+        _rebuild(
+            spark, root, dst, low, high, edge,
+            lambda first: merge_aggregates(scan_tier(spark, root, src, first, high - 1), dst, percentiles=True),
+        )
     return low, high
 
 
+def _rebuild(
+    spark: SparkSession, root: str, tier: str, low: int, high: int, edge: int | None, compute: Callable[[int], DataFrame]
+) -> None:
+    """Replace the buckets of [low, high) by what compute makes of the source from a time on.
+
+    The source is complete from edge on; buckets before it are kept, on the
+    date of the edge beside the computed ones.
+    """
+    if edge is None or edge <= low:
+        write_tier(compute(low), root, tier, replaces=(low, high))
+        return
+    if edge >= high:
+        return
+    first, _ = _whole_partitions(tier, edge, edge + 1)
+    kept = scan_tier(spark, root, tier, first, edge - 1).drop("bucket_date")
+    with passing(spark, kept, "kept") as earlier:
+        later = compute(edge).where(F.col("bucket_start") >= edge)
+        write_tier(later.unionByName(earlier, allowMissingColumns=True), root, tier, replaces=(first, high))
+
+
 def ingest_range(spark: SparkSession, root: str, start_ms: int, end_ms: int, tiers=("raw", "5min")) -> None:
     """Roll the raw samples of [start_ms, end_ms) up into the finest tiers."""
     for tier in tiers:
         low, high = _whole_partitions(tier, start_ms, end_ms)
-        write_tier(rollup_samples(scan_samples(spark, root, low, high - 1), tier, percentiles=True), root, tier)
+        edge = retention_edge(spark, root, "samples")
+        _rebuild(
+            spark, root, tier, low, high, edge,
+            lambda first: rollup_samples(scan_samples(spark, root, first, high - 1), tier, percentiles=True),
+        )
 
 
 def run_cascade(spark: SparkSession, root: str, start_ms: int, end_ms: int) -> None:

@@ -72,13 +72,25 @@ def tag_children(targets: DataFrame, prefix: str = "") -> DataFrame:
     return dirs.unionByName(here)
 
 
-def update_tags(targets: DataFrame, updates: DataFrame) -> DataFrame:
+def one_update(updates: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per target: the last by the column order, or an error where there are several and no order."""
+    rest = F.struct(*[c for c in updates.columns if c not in TARGET])
+    if order is not None:
+        return updates.groupBy(*TARGET).agg(F.max_by(rest, order).alias("_u")).select(*TARGET, "_u.*")
+    counted = updates.groupBy(*TARGET).agg(F.first(rest).alias("_u"), F.count("*").alias("_n"))
+    twice = F.raise_error(F.lit("several updates of one target; name the column that orders them"))
+    return counted.select(*TARGET, F.when(F.col("_n") == 1, F.col("_u")).otherwise(twice).alias("_u")).select(*TARGET, "_u.*")
+
+
+def update_tags(targets: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Apply updates (namespace, name, add, remove, set): set replaces, else remove and then add.
 
-    The result is sorted; empty tags are not added.
+    The result is sorted; empty tags are not added.  Of several updates of one
+    target the one that is last by the column order counts; without order they
+    are an error.
     """
     none = F.array().cast("array<string>")
-    joined = targets.join(updates, TARGET, "left")
+    joined = targets.join(one_update(updates, order).select(*TARGET, "add", "remove", "set"), TARGET, "left")
     now = F.coalesce("tags", none)
     change = F.array_union(
         F.array_except(now, F.coalesce("remove", none)),

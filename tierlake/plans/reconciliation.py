@@ -168,21 +168,20 @@ def policy_route(spark, sf):
     "orphan_entities",
     sql(
         """SELECT 'target' AS entity, namespace, '' AS target, name FROM targets
-           WHERE namespace NOT IN (SELECT name FROM ns WHERE name <> 'ASIA')
+           WHERE namespace NOT IN (SELECT name FROM left_ns)
            UNION ALL
            SELECT 'poller', p.namespace, p.target, p.name FROM pollers p
-           WHERE NOT EXISTS (SELECT 1 FROM targets t WHERE t.namespace = p.namespace AND t.name = p.target AND custkey % 40 <> 0)""",
+           WHERE NOT EXISTS (SELECT 1 FROM left_targets t WHERE t.namespace = p.namespace AND t.name = p.target)""",
         "pollers",
-        "ns",
+        "left_ns",
+        "left_targets",
     ),
 )
 def orphan_entities(spark, sf):
-    # One namespace and some targets have gone.
-    targets = demo.targets(spark, sf)
-    names = demo.namespaces(spark, sf).where(F.col("name") != "ASIA")
-    left = targets.where(F.col("custkey") % 40 != 0)
-    whole = rec.orphan_entities(names, targets, demo.pollers(spark, sf)).where(F.col("entity") == "target")
-    lost = rec.orphan_entities(names, left, demo.pollers(spark, sf)).where(F.col("entity") == "poller")
+    # One namespace has gone, and some targets have.
+    names, pollers = demo.remaining_namespaces(spark, sf), demo.pollers(spark, sf)
+    whole = rec.orphan_entities(names, demo.targets(spark, sf), pollers).where(F.col("entity") == "target")
+    lost = rec.orphan_entities(names, demo.remaining_targets(spark, sf), pollers).where(F.col("entity") == "poller")
     return whole.unionByName(lost)
 
 

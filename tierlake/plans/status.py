@@ -162,16 +162,15 @@ def namespace_counts(spark, sf):
     "target_counts",
     sql(
         f"""SELECT t.namespace, t.name AS target, coalesce(pollers, 0) AS pollers, coalesce(pollers_enabled, 0) AS pollers_enabled
-            FROM targets t LEFT JOIN (SELECT namespace, target, count(*) AS pollers, {ENABLED_SQL} FROM pollers
-                                      WHERE custkey % 21 <> 0 GROUP BY namespace, target) p
+            FROM targets t LEFT JOIN (SELECT namespace, target, count(*) AS pollers, {ENABLED_SQL} FROM owned
+                                      GROUP BY namespace, target) p
                  ON p.namespace = t.namespace AND p.target = t.name""",
-        "pollers",
+        "owned",
     ),
 )
 def target_counts(spark, sf):
     # Some targets own no poller and must still show, with zeros.
-    owned = demo.pollers(spark, sf).where(F.col("custkey") % 21 != 0)
-    return stats.target_counts(demo.targets(spark, sf), owned)
+    return stats.target_counts(demo.targets(spark, sf), demo.owned_pollers(spark, sf))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.operators.rollup import run_cascade
-from tierlake.schemas import TIER_ORDER
+from tierlake.schemas import DAY_MS, TIER_ORDER
 from tierlake.session import scratch_path
 from tierlake.sources import demo
 from tierlake.sources.tiers import scan_tier, write_samples
@@ -58,6 +58,8 @@ def tier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLICES = 3
+# Namespace of samples that only move a watermark.
+MARKER = "marker"
 
 
 def slices(spark: SparkSession, sf_dir: str, kind: str) -> str:
@@ -68,6 +70,7 @@ def slices(spark: SparkSession, sf_dir: str, kind: str) -> str:
         first, last = span(spark, sf_dir)
         rows, order = {
             "nation": lambda: (demo.samples(spark, sf_dir, "nation"), "timestamp_ms"),
+            "marked": lambda: (demo.samples(spark, sf_dir, "nation"), "timestamp_ms"),
             "customer": lambda: (demo.samples(spark, sf_dir, "customer"), "timestamp_ms"),
             "health": lambda: (demo.health_samples(spark, sf_dir), "timestamp_ms"),
             "arrivals": lambda: (demo.arrivals(spark, sf_dir), "arrival_ms"),
@@ -77,6 +80,11 @@ def slices(spark: SparkSession, sf_dir: str, kind: str) -> str:
         numbered = rows.withColumn("_slice", part.cast("int"))
         for i in range(SLICES):
             numbered.where(F.col("_slice") == i).drop("_slice").write.parquet(f"{root}/slice-{i}")
+        for i in range(SLICES, SLICES + 2 * (kind == "marked")):
+            marker = rows.where("valid and value_type = 'gauge'").limit(1).withColumns(
+                {"namespace": F.lit(MARKER), "timestamp_ms": F.lit(last + i * DAY_MS).cast("bigint")}
+            )
+            marker.write.parquet(f"{root}/slice-{i}")
         return root
 
     return _once(spark, sf_dir, f"slices-{kind}", build)

@@ -88,12 +88,6 @@ def tier_stats(spark, sf):
     )
 
 
-@query("tier_files")
-def tier_files(spark, sf):
-    found = tiers.tier_stats(spark, store.tier_root(spark, sf))
-    return found.select("tier", F.col("bucket_date").cast("string").alias("bucket_date"), "files", "bytes")
-
-
 POLL_SQL = """
   SELECT namespace, target, poller, timestamp_ms, value_type,
          CASE WHEN error IS NULL AND value_type = 'gauge' THEN TRY_CAST(raw AS DOUBLE) END AS value_gauge,
@@ -102,12 +96,15 @@ POLL_SQL = """
          error IS NULL AS valid, error, poll_ms, seq
   FROM (SELECT *, CASE WHEN kind = 'Counter64' THEN 'counter' WHEN kind = 'OctetString' THEN 'text' ELSE 'gauge' END AS value_type,
                CASE WHEN failed IS NOT NULL THEN failed WHEN kind = 'NoSuchObject' THEN 'OID not found'
-                    WHEN kind = 'Opaque' THEN 'unsupported type: Opaque' END AS error
+                    WHEN kind = 'Opaque' THEN 'unsupported type: Opaque'
+                    WHEN raw IN ('Infinity', 'NaN') THEN 'value is not finite' END AS error
         FROM (SELECT r_name AS namespace, n_name AS target, event_type AS poller, ms AS timestamp_ms,
                      CASE WHEN k = 7 THEN 'NoSuchObject' WHEN k = 13 THEN 'Opaque' WHEN event_type = 'signup' THEN 'Counter64'
                           WHEN event_type = 'error' THEN 'OctetString' WHEN event_type = 'click' THEN 'Gauge32'
                           ELSE 'Integer' END AS kind,
-                     CASE event_type WHEN 'signup' THEN CAST(event_id AS VARCHAR) WHEN 'error' THEN props
+                     CASE WHEN event_type IN ('click', 'view') AND k = 17 THEN 'Infinity'
+                          WHEN event_type IN ('click', 'view') AND k = 19 THEN 'NaN'
+                          WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) WHEN event_type = 'error' THEN props
                           ELSE CAST(k AS VARCHAR) END AS raw,
                      CASE WHEN k % 20 = 0 THEN 'get: request timeout' WHEN k % 10 = 0 THEN 'get: connection refused' END AS failed,
                      k AS poll_ms, event_id AS seq
@@ -204,7 +201,7 @@ DISPLAY_SQL = """CASE WHEN NOT valid THEN 'ERROR: ' || coalesce(error, '')
     ),
 )
 def history(spark, sf):
-    return plain(q.history(nation(spark, sf), NS, TARGET, POLLER, until_ms=DAY0 + 25 * DAY_MS))
+    return plain(q.history(nation(spark, sf), NS, TARGET, POLLER, limit=100, until_ms=DAY0 + 25 * DAY_MS))
 
 
 @query(
@@ -324,11 +321,7 @@ def rollup_cascade(spark, sf):
     first, last = store.span(spark, sf)
     tiers.write_samples(nation(spark, sf), root)
     rollup.run_cascade(spark, root, first, last + 1)
-    out = None
-    for tier in TIER_ORDER:
-        part = tiers.scan_tier(spark, root, tier).select(*AGG_COLUMNS).withColumn("tier", F.lit(tier))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, *AGG)
+    return tier_union(spark, root)
 
 
 @query("compact_range", sql(rollup_sql("daily"), "numeric"))
@@ -344,6 +337,47 @@ def compact_range(spark, sf):
     return aggs(tiers.scan_tier(spark, root, "daily")).drop(*PS)
 
 
+@query("compact_after_retention", sql(rollup_sql("daily"), "numeric"))
+def compact_after_retention(spark, sf):
+    # Days whose hours are gone keep what was made of them.
+    root = scratch_path(spark, "compact-retention")
+    first, last = store.span(spark, sf)
+    tiers.write_tier(rollup.rollup_samples(nation(spark, sf), "hourly", True), root, "hourly")
+    rollup.compact(spark, root, "hourly", "daily", first, last + 1)
+    maintain.retention_apply(spark, root, last, {"hourly": (last - first) // 2}, exact=True)
+    rollup.compact(spark, root, "hourly", "daily", first, last + 1)
+    return aggs(tiers.scan_tier(spark, root, "daily")).drop(*PS)
+
+
+INVALID_DAY = DAY0 + 10 * DAY_MS
+VALID_DAYS = f"(SELECT * FROM numeric WHERE timestamp_ms // {DAY_MS} <> {INVALID_DAY // DAY_MS})"
+
+
+@query(
+    "cascade_after_invalidation",
+    sql(" UNION ALL ".join(f"SELECT '{t}' AS tier, * FROM ({rollup_sql(t, VALID_DAYS)})" for t in TIER_ORDER), "numeric"),
+)
+def cascade_after_invalidation(spark, sf):
+    # The second cascade finds no valid sample on one of the days.
+    root = scratch_path(spark, "cascade-again")
+    first, last = store.span(spark, sf)
+    tiers.write_samples(nation(spark, sf), root)
+    rollup.run_cascade(spark, root, first, last + 1)
+    days = tiers.stored_dates(spark, f"{root}/samples")
+    changed = demo.invalidated(tiers.scan_samples(spark, root), INVALID_DAY)
+    tiers.rewrite_dates(spark, root, "samples", changed, days)
+    rollup.run_cascade(spark, root, first, last + 1)
+    return tier_union(spark, root)
+
+
+def tier_union(spark, root):
+    out = None
+    for tier in TIER_ORDER:
+        part = tiers.scan_tier(spark, root, tier).select(*AGG_COLUMNS).withColumn("tier", F.lit(tier))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, *AGG)
+
+
 SPAN = (DAY0 + 5 * DAY_MS + 1234, DAY0 + 27 * DAY_MS + 4321)
 
 
@@ -390,7 +424,9 @@ def target_sql(tier: str, where: str, start: int, end: int) -> str:
 
 ONE_SERIES = f"namespace = '{NS}' AND target = '{TARGET}' AND poller = '{POLLER}'"
 ONE_TARGET = f"namespace = '{NS}' AND target = '{TARGET}'"
-HOT_SQL = f"""SELECT namespace, target, poller, {SPAN[0]} AS bucket_start, {SPAN[1]} AS bucket_end, count(*) AS count,
+# The span ends within a day: its last samples lie in no bucket of the daily tier that the span contains.
+SERIES_SPAN = (DAY0 + 5 * DAY_MS, DAY0 + 27 * DAY_MS + 23 * HOUR_MS)
+HOT_SQL = f"""SELECT namespace, target, poller, {SERIES_SPAN[0]} AS bucket_start, {SERIES_SPAN[1]} AS bucket_end, count(*) AS count,
     round(sum(v), 6) AS sum, round(min(v), 6) AS min, round(max(v), 6) AS max, round(sum(v) / count(*), 6) AS avg,
     min(timestamp_ms) AS first_ts, max(timestamp_ms) AS last_ts"""
 
@@ -398,16 +434,16 @@ HOT_SQL = f"""SELECT namespace, target, poller, {SPAN[0]} AS bucket_start, {SPAN
 @query(
     "query_series",
     sql(
-        target_sql("5min", ONE_SERIES, *SPAN)
-        + f""" UNION ALL SELECT *, '5min' AS tier FROM ({HOT_SQL} FROM numeric
-              WHERE {ONE_SERIES} AND timestamp_ms BETWEEN {SPAN[1] - DAY_MS} AND {SPAN[1]}
+        target_sql("daily", ONE_SERIES, *SERIES_SPAN)
+        + f""" UNION ALL SELECT *, 'daily' AS tier FROM ({HOT_SQL} FROM numeric
+              WHERE {ONE_SERIES} AND timestamp_ms BETWEEN {DAY0 + 27 * DAY_MS} AND {SERIES_SPAN[1]}
               GROUP BY namespace, target, poller)""",
         "numeric",
     ),
 )
 def query_series(spark, sf):
-    hot = nation(spark, sf).where(F.col("timestamp_ms") >= SPAN[1] - DAY_MS)
-    found = q.query_series(spark, store.tier_root(spark, sf), NS, TARGET, POLLER, *SPAN, hot=hot)
+    root = store.tier_root(spark, sf)
+    found = q.query_series(spark, root, NS, TARGET, POLLER, *SERIES_SPAN, hot=nation(spark, sf), tier="daily")
     return rounded(found.select(*AGG_COLUMNS, "tier"), *AGG)
 
 
@@ -465,7 +501,8 @@ def query_many(spark, sf):
     return rounded(q.query_many(store.tiers(spark, sf), requests(spark, sf)), *AGG)
 
 
-MERGE_SPAN = (DAY0 + 3 * DAY_MS, DAY0 + 20 * DAY_MS + 7 * HOUR_MS)
+# Both ends lie within a day, so that hot samples are left before and after the cold buckets.
+MERGE_SPAN = (DAY0 + 3 * DAY_MS + 5 * HOUR_MS, DAY0 + 20 * DAY_MS + 7 * HOUR_MS)
 COLD_SQL = f"""SELECT * FROM ({rollup_sql('daily')}) WHERE bucket_start >= {MERGE_SPAN[0]} AND bucket_end <= {MERGE_SPAN[1]}"""
 
 
@@ -476,10 +513,10 @@ COLD_SQL = f"""SELECT * FROM ({rollup_sql('daily')}) WHERE bucket_start >= {MERG
             UNION ALL
             SELECT namespace, target, poller, {MERGE_SPAN[0]}, {MERGE_SPAN[1]}, count(*), round(sum(v), 6), round(min(v), 6),
                    round(max(v), 6), round(sum(v) / count(*), 6), min(timestamp_ms), max(timestamp_ms), 'hot'
-            FROM (SELECT n.*, edge FROM numeric n LEFT JOIN
-                    (SELECT namespace, target, poller, max(bucket_end) AS edge FROM cold GROUP BY ALL) e
-                    USING (namespace, target, poller))
-            WHERE timestamp_ms BETWEEN {MERGE_SPAN[0]} AND {MERGE_SPAN[1]} AND (edge IS NULL OR timestamp_ms >= edge)
+            FROM numeric n
+            WHERE timestamp_ms BETWEEN {MERGE_SPAN[0]} AND {MERGE_SPAN[1]}
+                  AND NOT EXISTS (SELECT 1 FROM cold c WHERE c.namespace = n.namespace AND c.target = n.target
+                                  AND c.poller = n.poller AND c.bucket_start = {bucket('n.timestamp_ms', 'daily')})
             GROUP BY namespace, target, poller""",
         "numeric",
         cold=COLD_SQL,
@@ -487,7 +524,7 @@ COLD_SQL = f"""SELECT * FROM ({rollup_sql('daily')}) WHERE bucket_start >= {MERG
 )
 def merge_hot(spark, sf):
     cold = tiers.scan_tier(spark, store.tier_root(spark, sf), "daily").select(*AGG_COLUMNS)
-    return rounded(q.merge_hot(cold, nation(spark, sf), *MERGE_SPAN), *AGG)
+    return rounded(q.merge_hot(cold, nation(spark, sf), *MERGE_SPAN, "daily"), *AGG)
 
 
 PAGE_AFTER = (DAY0 + 10 * DAY_MS, "error")
@@ -577,15 +614,41 @@ def retain_samples(spark, sf):
 
 
 @query(
-    "delete_series",
+    "retain_samples_stored", sql(f"SELECT {SAMPLE_SQL} FROM samples WHERE timestamp_ms >= {demo.NOW_MS - 10 * DAY_MS - HOUR_MS}", "samples")
+)
+def retain_samples_stored(spark, sf):
+    root = scratch_path(spark, "retain-samples")
+    tiers.write_samples(nation(spark, sf), root)
+    maintain.retain_stored_samples(spark, root, demo.NOW_MS, 10 * DAY_MS + HOUR_MS)
+    return plain(tiers.scan_samples(spark, root)).drop("sample_date")
+
+
+KEPT_SERIES = "NOT (namespace = 'ASIA' AND poller IN ('view', 'error'))"
+
+
+@query("delete_series", sql(f"SELECT {SAMPLE_SQL} FROM samples WHERE {KEPT_SERIES}", "samples"))
+def delete_series(spark, sf):
+    return plain(maintain.delete_series(nation(spark, sf), demo.series_to_drop(spark, sf)))
+
+
+@query(
+    "delete_series_stored",
     sql(
-        f"SELECT {SAMPLE_SQL} FROM samples WHERE NOT (namespace = 'ASIA' AND poller IN ('view', 'error'))",
-        "samples",
+        f"""SELECT tier, namespace, poller, count(*) AS rows FROM ({TIERS_SQL}) WHERE {KEPT_SERIES} GROUP BY ALL
+            UNION ALL SELECT 'samples', namespace, poller, count(*) FROM samples WHERE {KEPT_SERIES} GROUP BY ALL""",
+        "numeric",
     ),
 )
-def delete_series(spark, sf):
-    gone = nation(spark, sf).where((F.col("namespace") == "ASIA") & F.col("poller").isin("view", "error"))
-    return plain(maintain.delete_series(nation(spark, sf), gone))
+def delete_series_stored(spark, sf):
+    root = scratch_path(spark, "delete-series")
+    tiers.write_samples(nation(spark, sf), root)
+    for tier, df in store.tiers(spark, sf).items():
+        tiers.write_tier(df, root, tier)
+    maintain.delete_series_stored(spark, root, demo.series_to_drop(spark, sf))
+    out = tiers.scan_samples(spark, root).select(F.lit("samples").alias("tier"), "namespace", "poller")
+    for tier in TIER_ORDER:
+        out = out.union(tiers.scan_tier(spark, root, tier).select(F.lit(tier), "namespace", "poller"))
+    return out.groupBy("tier", "namespace", "poller").agg(F.count("*").alias("rows"))
 
 
 POLICY = {"raw": 2 * DAY_MS, "5min": 10 * DAY_MS, "hourly": 20 * DAY_MS + 5 * HOUR_MS, "daily": 25 * DAY_MS}
@@ -626,11 +689,7 @@ def retention_apply(spark, sf):
     for tier, df in store.tiers(spark, sf).items():
         tiers.write_tier(df, root, tier)
     maintain.retention_apply(spark, root, demo.NOW_MS, POLICY, exact=True)
-    out = None
-    for tier in TIER_ORDER:
-        part = tiers.scan_tier(spark, root, tier).select(*AGG_COLUMNS).withColumn("tier", F.lit(tier))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, *AGG)
+    return tier_union(spark, root)
 
 
 # Rates -------------------------------------------------------------------

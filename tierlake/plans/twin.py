@@ -86,6 +86,9 @@ PARTS: dict[str, tuple[list[str], str]] = {
                   custkey
            FROM (SELECT *, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS poller_name FROM targets)""",
     ),
+    "owned": (["pollers"], "SELECT * FROM pollers WHERE custkey % 21 <> 0"),
+    "left_ns": (["ns"], "SELECT * FROM ns WHERE name <> 'ASIA'"),
+    "left_targets": (["targets"], "SELECT * FROM targets WHERE custkey % 40 <> 0"),
     "nodes": (
         ["cust"],
         """SELECT r_name AS namespace, '/geo/' || r_name || '/' || n_name || '/' || c_name AS path,

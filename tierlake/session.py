@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,6 +65,17 @@ def materialise(spark: SparkSession, df, label: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession, df, label: str):
+    """The rows of a DataFrame as files that last as long as the block."""
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system it lives on."""
     jvm = spark.sparkContext._jvm

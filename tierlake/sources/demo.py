@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from tierlake.functions.buckets import ntz_millis
 from tierlake.functions.paths import ancestors
 from tierlake.operators.views import SmartFolder, View
-from tierlake.schemas import COUNTER_TYPE, HOUR_MS
+from tierlake.schemas import COUNTER_TYPE, DAY_MS, HOUR_MS
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # 2024-01-31 00:00 UTC, just past the newest event.
@@ -142,7 +142,7 @@ def wrap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poll_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untyped poll results; some carry a kind that no poll can read."""
+    """Untyped poll results; some carry a kind that no poll can read, or a number that is not finite."""
     kind = (
         F.when(F.col("k") == 7, "NoSuchObject")
         .when(F.col("k") == 13, "Opaque")
@@ -152,7 +152,9 @@ def poll_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Integer")
     )
     raw = (
-        F.when(F.col("event_type") == "signup", F.col("event_id").cast("string"))
+        F.when(F.col("event_type").isin("click", "view") & (F.col("k") == 17), "Infinity")
+        .when(F.col("event_type").isin("click", "view") & (F.col("k") == 19), "NaN")
+        .when(F.col("event_type") == "signup", F.col("event_id").cast("string"))
         .when(F.col("event_type") == "error", F.col("props"))
         .otherwise(F.col("k").cast("string"))
     )
@@ -353,6 +355,33 @@ SMART_FOLDERS = [
 ]
 
 
+def owned_pollers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pollers of an inventory in which some targets own none."""
+    return pollers(spark, sf_dir).where(F.col("custkey") % 21 != 0)
+
+
+def remaining_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namespaces after one of them has gone."""
+    return namespaces(spark, sf_dir).where(F.col("name") != "ASIA")
+
+
+def remaining_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets after some of them have gone."""
+    return targets(spark, sf_dir).where(F.col("custkey") % 40 != 0)
+
+
+def series_to_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pollers of every target of a namespace."""
+    rows = samples(spark, sf_dir, "nation").select("namespace", "target", "poller").distinct()
+    return rows.where((F.col("namespace") == "ASIA") & F.col("poller").isin("view", "error"))
+
+
+def invalidated(rows: DataFrame, day_ms: int) -> DataFrame:
+    """Samples of which those of one day have turned out to be invalid."""
+    hit = F.floor(F.col("timestamp_ms") / DAY_MS) == day_ms // DAY_MS
+    return rows.withColumn("valid", F.col("valid") & ~hit)
+
+
 def stored_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored side of a reconciliation: some rows missing, changed, or left over."""
     key = F.col("custkey")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlake.functions.buckets import floor_to
+from tierlake.functions.sketch import finite
 from tierlake.schemas import COUNTER_TYPE, SERIES
 
 # Device value kinds and the sample type each becomes.
@@ -18,6 +19,8 @@ MISSING_KINDS = ["NoSuchObject", "NoSuchInstance"]
 TIMEOUT_ERRORS = ["request timeout", "context deadline exceeded"]
 CANCELLED_ERROR = "context cancelled"
 GET_PREFIX = "get: "
+# Our own reason for a gauge without a finite value.
+NOT_FINITE = "value is not finite"
 
 
 def sample_value() -> Column:
@@ -31,16 +34,17 @@ def normalise_poll_results(raw: DataFrame) -> DataFrame:
     """Typed samples from poll results of (series, timestamp_ms, kind, raw, error, poll_ms, seq).
 
     A counter kind fills value_counter, a text kind value_text, a numeric kind
-    value_gauge.  A failed poll, a missing object and an unknown kind give an
-    invalid sample with the reason.
+    value_gauge.  A failed poll, a missing object, an unknown kind and a gauge
+    that is infinite or no number give an invalid sample with the reason.
     """
-    kind = F.col("kind")
+    kind, number = F.col("kind"), F.expr("try_cast(raw as double)")
     no_error = F.coalesce(F.col("error"), F.lit("")) == ""
     error = (
         F.when(~no_error, F.col("error"))
         .when(kind.isin(MISSING_KINDS), F.lit("OID not found"))
         .when(~kind.isin(COUNTER_KINDS + GAUGE_KINDS + TEXT_KINDS), F.concat(F.lit("unsupported type: "), kind))
         .when(kind.isNull(), F.lit("unsupported type: "))
+        .when(kind.isin(GAUGE_KINDS) & ~finite(F.coalesce(number, F.lit(0.0))), F.lit(NOT_FINITE))
     )
     value_type = (
         F.when(kind.isin(COUNTER_KINDS), "counter").when(kind.isin(TEXT_KINDS), "text").otherwise("gauge")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tierlake.functions.buckets import utc_date
 from tierlake.schemas import AGGREGATES, DAY_MS, SAMPLES, SERIES, TIER_ORDER
+from tierlake.session import passing, remove_path
 
 # Codecs a tier may be written with.
 CODECS = ["none", "snappy", "zstd", "lz4", "gzip"]
@@ -52,11 +54,59 @@ def scan_tier(
     return df
 
 
-def write_tier(df: DataFrame, root: str, tier: str, codec: str = "zstd") -> str:
-    """Write aggregates, replacing exactly the bucket dates that occur in the input.
+def stored_dates(spark: SparkSession, path: str) -> dict[dt.date, set[str]]:
+    """Names of the files of each date of a dataset, from a listing of its folders."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*_date=*/*.parquet")
+    listed = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    found: dict[dt.date, set[str]] = {}
+    for status in listed or []:
+        file = status.getPath()
+        day = file.getParent().getName().partition("=")[2]
+        found.setdefault(dt.date.fromisoformat(day), set()).add(file.getName())
+    return found
+
+
+def drop_dates(spark: SparkSession, path: str, column: str, days: Iterable[dt.date]) -> None:
+    for day in days:
+        remove_path(spark, f"{path}/{column}={day.isoformat()}")
+
+
+def _replace(rows: DataFrame, path: str, column: str, order: list[str], codec: str, cleared: Iterable[dt.date] | None) -> None:
+    """Replace the dates that occur in the rows, and remove those of `cleared` that don't.
 
     Rebalancing by date keeps files few for small dates, and the adaptive plan
-    splits a date that is too large for one task.
+    splits a date that is too large for one task.  A date of `cleared` that
+    keeps one of its files was not written: nothing is left of it.
+    """
+    spark = rows.sparkSession
+    wanted = None if cleared is None else set(cleared)
+    before = {} if wanted is None else {d: files for d, files in stored_dates(spark, path).items() if d in wanted}
+    (
+        rows.hint("rebalance", column)
+        .sortWithinPartitions(column, *order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", codec)
+        .partitionBy(column)
+        .parquet(path)
+    )
+    if before:
+        after = stored_dates(spark, path)
+        drop_dates(spark, path, column, [d for d, files in before.items() if files & after.get(d, set())])
+
+
+def days_between(start_ms: int, end_ms: int) -> list[dt.date]:
+    """The dates that begin in [start_ms, end_ms)."""
+    return [utc_day(ms) for ms in range(-(-start_ms // DAY_MS) * DAY_MS, end_ms, DAY_MS)]
+
+
+def write_tier(
+    df: DataFrame, root: str, tier: str, codec: str = "zstd", replaces: tuple[int, int] | None = None
+) -> str:
+    """Write aggregates, replacing the bucket dates that occur in the input.
+
+    replaces is the range [start, end) that the input is all of: its dates
+    without a row are removed.  Without it only dates with rows change.
     """
     if codec not in CODECS:
         raise ValueError(f"codec must be one of {CODECS}")
@@ -65,19 +115,35 @@ def write_tier(df: DataFrame, root: str, tier: str, codec: str = "zstd") -> str:
     full = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).withColumn(
         "bucket_date", utc_date("bucket_start")
     )
-    (
-        full.select(AGGREGATES.fieldNames())
-        .hint("rebalance", "bucket_date")
-        .sortWithinPartitions("bucket_date", *SERIES, "bucket_start")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", codec)
-        .partitionBy("bucket_date")
-        .parquet(path)
-    )
+    cleared = None if replaces is None else days_between(*replaces)
+    _replace(full.select(AGGREGATES.fieldNames()), path, "bucket_date", [*SERIES, "bucket_start"], codec, cleared)
     return path
 
 
+def rewrite_dates(spark: SparkSession, root: str, name: str, rows: DataFrame, days: Iterable[dt.date], codec: str = "zstd") -> None:
+    """Put rows of a tier, or of the raw samples, in place of all rows of some of its dates.
+
+    The rows may come from these dates themselves: they are written aside first.
+    """
+    column, order = ("sample_date", "timestamp_ms") if name == "samples" else ("bucket_date", "bucket_start")
+    with passing(spark, rows, "rewrite") as aside:
+        _replace(aside, f"{root}/{name}", column, [*SERIES, order], codec, days)
+
+
+EDGES = "name string, edge_ms bigint"
+
+
+def record_edges(spark: SparkSession, root: str, edges: dict[str, int]) -> None:
+    """Note up to when data has been dropped, by tier, or samples for the raw samples."""
+    spark.createDataFrame(list(edges.items()), EDGES).coalesce(1).write.mode("append").parquet(f"{root}/retention_edges")
+
+
+def retention_edge(spark: SparkSession, root: str, name: str) -> int | None:
+    """Before this time a tier, or the raw samples, may be incomplete; None if nothing was ever dropped."""
+    edges = read_or_empty(spark, f"{root}/retention_edges", EDGES)
+    return edges.where(F.col("name") == name).agg(F.max("edge_ms")).first()[0]
+
+
 def write_samples(df: DataFrame, root: str, codec: str = "zstd") -> str:
     """Append raw samples below their UTC date."""
     path = f"{root}/samples"
@@ -147,10 +213,10 @@ def tier_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def adhoc_sql(spark: SparkSession, root: str, sql: str, **tables: DataFrame) -> DataFrame:
-    """Run SQL over the tiers (agg_raw, agg_5min, ...), the raw samples and given tables."""
+    """Run SQL over the tiers (agg_raw, agg_5min, ...), the raw samples (agg_samples) and given tables."""
     for tier in TIER_ORDER:
         scan_tier(spark, root, tier).createOrReplaceTempView(f"agg_{tier}")
-    scan_samples(spark, root).createOrReplaceTempView("samples")
+    scan_samples(spark, root).createOrReplaceTempView("agg_samples")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(sql)

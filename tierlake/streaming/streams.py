@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierlake.functions.buckets import utc_date
-from tierlake.operators.health import STATE, health_current, health_timeline
+from tierlake.operators.health import STATE, final_state, health_timeline, keep_unseen
 from tierlake.operators.levels import LevelRule, level_final, level_hysteresis
 from tierlake.operators.live import arrival_lateness, fanout, is_late
 from tierlake.operators.rollup import measures, numeric, rollup_samples
@@ -135,7 +135,8 @@ def stream_health(
     def work(batch: DataFrame, batch_id: int) -> None:
         carry = state.before(batch.sparkSession, batch_id)
         _append(health_timeline(batch, down_after, carry), f"{path}/timeline", batch_id)
-        state.write(health_current(batch, None, down_after, carry), batch_id)
+        done = batch.sparkSession.read.parquet(f"{path}/timeline/batch={batch_id}")
+        state.write(keep_unseen(final_state(done), carry, down_after), batch_id)
 
     return _each_batch(samples, work, checkpoint, interval)
 
