@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 from tierlake.session import materialise
 
 
+#: More than products of single-precision unit vectors are off.
+SLACK = 1e-5
+
+
 @dataclass(frozen=True)
 class Settings:
     """Trees, rows of a leaf (small tables still get 32 leaves), and how far a search goes.
 
     A search ends when the leaves it has visited hold `share` of the table's rows, counted in every tree; vectors
     without structure need the large default. Splits are fitted on the `sample` rows with the smallest hash of their
-    id, and a leaf keeps at least `sample_leaf` of them; rows and queries travel in blocks of `block` vectors.
+    id, and a leaf keeps at least `sample_leaf` of them; rows travel in blocks of `block` vectors, queries of `queries`.
     """
 
     trees: int = 12
@@ -32,6 +36,7 @@ class Settings:
     sample: int = 20_000
     sample_leaf: int = 16
     block: int = 256
+    queries: int = 32
     seed: int = 11
 
 
@@ -127,6 +132,7 @@ def _blocks(forest: Broadcast, settings: Settings, batches: Iterator[pd.DataFram
         if not len(batch):
             continue
         units = _units(batch["vector"])
+        small = units.astype(np.float32)
         ids = batch["id"].to_numpy(dtype=np.int64)
         for t, tree in enumerate(forest.value[0]):
             leaves = leaves_of(tree, units)
@@ -136,7 +142,7 @@ def _blocks(forest: Broadcast, settings: Settings, batches: Iterator[pd.DataFram
             for rows in np.split(order, ends):
                 for k in range(0, len(rows), settings.block):
                     part = rows[k : k + settings.block]
-                    made.append((t, int(leaves[part[0]]), len(part), ids[part].tobytes(), units[part].tobytes()))
+                    made.append((t, int(leaves[part[0]]), len(part), ids[part].tobytes(), small[part].tobytes()))
             yield pd.DataFrame(made, columns=["tree", "leaf", "size", "ids", "vectors"])
 
 
@@ -147,17 +153,16 @@ def _visits(forest: Broadcast, wanted: int, settings: Settings, batches: Iterato
             continue
         trees, sizes = forest.value
         units = _units(batch["vector"])
+        small = units.astype(np.float32)
         ids = batch["id"].to_numpy(dtype=np.int64)
-        by_leaf: dict[tuple[int, int], list[int]] = {}
-        for row, unit in enumerate(units):
-            for place in visit(trees, sizes, unit, wanted):
-                by_leaf.setdefault(place, []).append(row)
-        made = []
-        for (t, leaf), rows in by_leaf.items():
-            for k in range(0, len(rows), settings.block):
-                part = rows[k : k + settings.block]
-                made.append((t, leaf, ids[part].tobytes(), units[part].tobytes()))
-        yield pd.DataFrame(made, columns=["tree", "leaf", "q_ids", "q_vectors"])
+        # A query visits many leaves and is repeated for each: a few queries at a time keep the batches small.
+        for at in range(0, len(units), settings.queries):
+            by_leaf: dict[tuple[int, int], list[int]] = {}
+            for row in range(at, min(at + settings.queries, len(units))):
+                for place in visit(trees, sizes, units[row], wanted):
+                    by_leaf.setdefault(place, []).append(row)
+            made = [(t, leaf, ids[rows].tobytes(), small[rows].tobytes()) for (t, leaf), rows in by_leaf.items()]
+            yield pd.DataFrame(made, columns=["tree", "leaf", "q_ids", "q_vectors"])
 
 
 def _best(k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,15 +171,15 @@ def _best(k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for ids, vectors, q_ids, q_vectors in zip(batch["ids"], batch["vectors"], batch["q_ids"], batch["q_vectors"]):
             own, asked = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
-            x = np.frombuffer(vectors).reshape(len(own), -1)
-            q = np.frombuffer(q_vectors).reshape(len(asked), -1)
+            x = np.frombuffer(vectors, dtype=np.float32).reshape(len(own), -1)
+            q = np.frombuffer(q_vectors, dtype=np.float32).reshape(len(asked), -1)
             if x.shape[1] != q.shape[1]:
                 continue
             near = q @ x.T
             near[asked[:, None] == own[None, :]] = -np.inf
             last = np.partition(near, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
             # Rounding of the product must not decide; candidates are scored exactly afterwards.
-            row, column = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+            row, column = np.nonzero((near >= last[:, None] - SLACK) & (near > -np.inf))
             parts.append(pd.DataFrame({"query_id": asked[row], "vec_id": own[column], "near": near[row, column]}))
         yield pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "near": []})
 
@@ -244,7 +249,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, settings: Settings) -> Da
     near = near.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     last = Window.partitionBy("query_id").orderBy(F.desc("near"))
     near = near.withColumn("kth", F.nth_value("near", k).over(last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    near = near.where("kth is null or near >= kth - 1e-9").select("query_id", "vec_id")
+    near = near.where(F.col("kth").isNull() | (F.col("near") >= F.col("kth") - SLACK)).select("query_id", "vec_id")
     scored = (
         near.join(asked.toDF("query_id", "q"), "query_id")
         .join(rows.toDF("vec_id", "v"), "vec_id")
