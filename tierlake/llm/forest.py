@@ -30,13 +30,14 @@ class Settings:
     id, and a leaf keeps at least `sample_leaf` of them; rows travel in blocks of `block` vectors, queries of `queries`.
     """
 
-    trees: int = 12
+    trees: int = 8
     leaf: int = 256
-    share: float = 1.5
+    share: float = 1.25
     sample: int = 20_000
     sample_leaf: int = 16
     block: int = 256
     queries: int = 32
+    together: int = 1024
     seed: int = 11
 
 
@@ -170,9 +171,9 @@ def _best(k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         parts = []
         for ids, vectors, q_ids, q_vectors in zip(batch["ids"], batch["vectors"], batch["q_ids"], batch["q_vectors"]):
-            own, asked = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
+            own, asked = np.frombuffer(ids, dtype=np.int64), np.frombuffer(b"".join(q_ids), dtype=np.int64)
             x = np.frombuffer(vectors, dtype=np.float32).reshape(len(own), -1)
-            q = np.frombuffer(q_vectors, dtype=np.float32).reshape(len(asked), -1)
+            q = np.frombuffer(b"".join(q_vectors), dtype=np.float32).reshape(len(asked), -1)
             if x.shape[1] != q.shape[1]:
                 continue
             near = q @ x.T
@@ -243,6 +244,12 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, settings: Settings) -> Da
     wanted = math.ceil(settings.share * total)
     plan = spark.sparkContext.broadcast((trees, sizes))
     visits = asked.mapInPandas(functools.partial(_visits, plan, wanted, settings), "tree int, leaf int, q_ids binary, q_vectors binary")
+    # A leaf's queries meet its rows together, in parts of about `together` queries however many there are.
+    parts = math.ceil(asked.count() / settings.together) or 1
+    part = F.pmod(F.xxhash64("q_ids"), F.lit(parts))
+    visits = visits.groupBy("tree", "leaf", part.alias("part")).agg(F.collect_list(F.struct("q_ids", "q_vectors")).alias("asked")).select(
+        "tree", "leaf", F.transform("asked", lambda a: a["q_ids"]).alias("q_ids"), F.transform("asked", lambda a: a["q_vectors"]).alias("q_vectors")
+    )
     near = blocks.join(visits, ["tree", "leaf"]).select("ids", "vectors", "q_ids", "q_vectors")
     near = near.mapInPandas(functools.partial(_best, k), "query_id long, vec_id long, near double")
     # A row is found in several trees; its product may differ there in the last digits.
