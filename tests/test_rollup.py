@@ -106,7 +106,8 @@ def test_relative_error_bound(spark, alpha):
 
 def test_exact_percentiles_against_sorted_values(spark):
     rng = random.Random(5)
-    groups = {"a": [rng.gauss(0, 10) for _ in range(801)], "b": [4.0] * 50 + [5.0], "c": [1e9 + i for i in range(500)], "d": [2.5]}
+    groups = {"a": [rng.gauss(0, 10) for _ in range(801)], "b": [4.0] * 50 + [5.0], "c": [1e9 + i for i in range(500)], "d": [2.5],
+              "e": [50 + rng.random() / 500 for _ in range(9000)], "f": [50.0, 50.0 + 2**-40] * 300}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
     got = {r["k"]: r for r in quantiles.percentiles_exact(df, ["k"], "v").collect()}
     for key, values in groups.items():

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tierlake.functions.sketch import ALPHA, bin_code, bin_value, finite, sketch_quantile
 
+# Equal intervals into which a bin that holds a wanted rank is cut.
+PARTS = 4096
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -35,8 +37,10 @@ def percentiles_exact(
 
     Equal values are counted before the shuffle.  The counts are summed by
     relative-error bin, of which a group has a bounded number; the running
-    count over the bins tells which bins hold the wanted ranks, and only the
-    values of those bins are put in order.
+    count over the bins tells which bins hold the wanted ranks.  A group of
+    nearly equal values may have all of them in one bin, so each such bin is
+    cut into PARTS equal intervals between its ends and searched again; only
+    the values of the intervals that hold a wanted rank are put in order.
     """
     names = [m.name for m in measures]
     counts = (
@@ -46,24 +50,40 @@ def percentiles_exact(
         .withColumn("_bin", bin_code(F.col("_v"), 0.001))
     )
     per_bin = counts.groupBy(*keys, "_bin").agg(
-        F.sum("_n").alias("_bn"), *[m.combine(m.name).alias(m.name) for m in measures]
+        F.sum("_n").alias("_bn"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+        *[m.combine(m.name).alias(m.name) for m in measures],
     )
     by_bin, whole = Window.partitionBy(*keys).orderBy("_bin"), Window.partitionBy(*keys)
     placed = per_bin.select(
         *keys,
         "_bin",
+        "_low",
+        "_high",
         (F.sum("_bn").over(by_bin) - F.col("_bn")).alias("_before"),
         F.sum("_bn").over(by_bin).alias("_upto"),
         F.sum("_bn").over(whole).alias("_total"),
         *[m.combine(m.name).over(whole).alias(m.name) for m in measures],
     )
     ends = {q: (F.floor(_position(q)), F.ceil(_position(q))) for q in quantiles.values()}
-    held = [(rank >= F.col("_before")) & (rank < F.col("_upto")) for pair in ends.values() for rank in pair]
-    wanted = placed.where(reduce(lambda x, y: x | y, held)).drop("_upto")
-    by_value = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ordered = counts.drop(*names).join(wanted, [*keys, "_bin"]).withColumn(
-        "_last", F.col("_before") + F.sum("_n").over(by_value)
+
+    def holding(rows: DataFrame) -> DataFrame:
+        held = [(rank >= F.col("_before")) & (rank < F.col("_upto")) for pair in ends.values() for rank in pair]
+        return rows.where(reduce(lambda x, y: x | y, held)).drop("_upto")
+
+    width = F.col("_high") - F.col("_low")
+    part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    inner = counts.drop(*names).join(holding(placed), [*keys, "_bin"]).withColumn("_part", part)
+    per_part = inner.groupBy(*keys, "_bin", "_part").agg(
+        F.sum("_n").alias("_pn"), F.max("_before").alias("_before"), F.max("_total").alias("_total")
     )
+    upto = F.col("_before") + F.sum("_pn").over(Window.partitionBy(*keys, "_bin").orderBy("_part"))
+    within = per_part.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_pn"))
+    by_value = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v")
+    ordered = inner.drop("_before").join(
+        holding(within).select(*keys, "_bin", "_part", "_before"), [*keys, "_bin", "_part"]
+    ).withColumn("_last", F.col("_before") + F.sum("_n").over(by_value))
 
     def value_at(rank: Column) -> Column:
         inside = (rank >= F.col("_last") - F.col("_n")) & (rank < F.col("_last"))

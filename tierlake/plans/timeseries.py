@@ -253,6 +253,48 @@ def percentiles_exact(spark, sf):
     return rounded(quantiles.percentiles_exact(rollup.numeric(nation(spark, sf)), SERIES, "value"), *PS)
 
 
+# Values within a hundredth of each other, a third of all rows in each group.
+NARROW = "50 + CAST(l_extendedprice AS DOUBLE) / 10000000"
+
+
+@query(
+    "percentiles_exact_narrow",
+    "SELECT l_returnflag, "
+    + ", ".join(f"round(quantile_cont(v, {v}), 6) AS {n}" for n, v in quantiles.QUANTILES.items())
+    + f" FROM (SELECT l_returnflag, {NARROW} AS v FROM lineitem) GROUP BY l_returnflag",
+)
+def percentiles_exact_narrow(spark, sf):
+    rows = demo.table(spark, sf, "lineitem").select("l_returnflag", F.expr(NARROW).alias("v"))
+    return rounded(quantiles.percentiles_exact(rows, ["l_returnflag"], "v"), *PS)
+
+
+def rank_errors(rows, found, key, bound):
+    """For each group and quantile, whether the value found lies within bound of its rank among all rows."""
+    wanted = found.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q"), F.col(n).alias("p")) for n, q in quantiles.QUANTILES.items()])).alias("w"))
+    ranks = rows.join(wanted, key).groupBy(key, "w.name", "w.q").agg(
+        F.avg((F.col("v") < F.col("w.p")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("w.p")).cast("double")).alias("upto")
+    )
+    near = (F.col("q") >= F.col("below") - bound) & (F.col("q") <= F.col("upto") + bound)
+    return ranks.select(key, "name", near.alias("within"))
+
+
+# The groups are far larger than the summaries, which have to estimate.
+RANK_SQL = " UNION ALL ".join(f"SELECT DISTINCT l_returnflag, '{n}' AS name, true AS within FROM lineitem" for n in quantiles.QUANTILES)
+
+
+@query("percentiles_approx_error", RANK_SQL)
+def percentiles_approx_error(spark, sf):
+    rows = demo.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    return rank_errors(rows, quantiles.percentiles_approx(rows, ["l_returnflag"], "v", 1000), "l_returnflag", 1 / 1000)
+
+
+@query("percentiles_kll_error", RANK_SQL)
+def percentiles_kll_error(spark, sf):
+    rows = demo.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    found = quantiles.percentiles_kll(rows, ["l_returnflag"], "v", 400)
+    return rank_errors(rows, found, "l_returnflag", 3 * quantiles.rank_error_bound(400))
+
+
 DISC_SQL = (
     "SELECT namespace, target, poller, "
     + ", ".join(f"round(quantile_disc(v, {v}), 6) AS {n}" for n, v in quantiles.QUANTILES.items())
