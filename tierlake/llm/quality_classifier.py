@@ -18,7 +18,7 @@ REMEMBERED = 150_000
 
 @dataclass(frozen=True)
 class Settings:
-    """Table of 2**bits vectors of `dim` numbers, character n-gram sizes, and how the training goes.
+    """Table of 2**bits (at most 2**16) vectors of `dim` numbers, character n-gram sizes, and how the training goes.
 
     `train_rows` bounds the sample that the driver trains on: the labelled rows with the smallest hash of their id.
     """
@@ -26,7 +26,7 @@ class Settings:
     bits: int = 16
     dim: int = 16
     char_sizes: tuple[int, ...] = (3, 4)
-    train_rows: int = 2500
+    train_rows: int = 1500
     epochs: int = 6
     rate: float = 1.0
     seed: int = 7
@@ -63,10 +63,10 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _bag(text: bytes | None, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a whole text and how often each comes."""
+    """Buckets of a whole text and how often each comes, in 16 bits each to keep the sample small."""
     words = text.split() if text else []
     if not words:
-        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+        return np.empty(0, dtype=np.uint16), np.empty(0, dtype=np.uint16)
     total = _pairs(_hashes(words), settings)
     times = [np.ones(len(total), dtype=np.int64)]
     buckets = [total]
@@ -76,7 +76,7 @@ def _bag(text: bytes | None, settings: Settings) -> tuple[np.ndarray, np.ndarray
         times.append(np.full(len(own), count, dtype=np.int64))
     summed = np.bincount(np.concatenate(buckets), weights=np.concatenate(times), minlength=1 << settings.bits)
     used = np.flatnonzero(summed)
-    return used.astype(np.int32), summed[used].astype(np.int32)
+    return used.astype(np.uint16), np.minimum(summed[used], 65535).astype(np.uint16)
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings) -> Model:
@@ -143,7 +143,7 @@ def train(
         .toArrow()
     )
     found = [
-        (np.frombuffer(b.as_py(), dtype=np.int32), np.frombuffer(c.as_py(), dtype=np.int32))
+        (np.frombuffer(b.as_py(), dtype=np.uint16), np.frombuffer(c.as_py(), dtype=np.uint16))
         for b, c in zip(rows["buckets"], rows["counts"])
     ]
     return fit(found, rows["label"].to_numpy().astype(np.int64), settings)
