@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 #: Rows that are tokenised and handed on together.
 ROWS = 512
 #: White-space-free chunks of text, and parts of them, whose ids each Python worker remembers.
-CACHED_CHUNKS = 150_000
-CACHED_PARTS = 150_000
+CACHED_CHUNKS = 300_000
+CACHED_PARTS = 200_000
 
 # How the vocabulary cuts lower-cased text, for ASCII and Latin letters with marks (U+00C0 to U+017F).
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-ſ]+")
