@@ -19,6 +19,8 @@ from tierlake.session import materialise
 
 #: More than products of single-precision unit vectors are off.
 SLACK = 1e-5
+#: Candidates that a task holds at most before it merges them.
+MERGED = 500_000
 
 
 @dataclass(frozen=True)
@@ -166,23 +168,39 @@ def _visits(forest: Broadcast, wanted: int, settings: Settings, batches: Iterato
             yield pd.DataFrame(made, columns=["tree", "leaf", "q_ids", "q_vectors"])
 
 
+def _merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The best `k` rows of each query among candidates, and those that tie with the last of them."""
+    rows = pd.concat(found).groupby(["query_id", "vec_id"], as_index=False)["near"].max()
+    rows = rows.sort_values(["query_id", "near"], ascending=[True, False])
+    last = rows[rows.groupby("query_id").cumcount() == k - 1].set_index("query_id")["near"]
+    least = rows["query_id"].map(last)
+    return rows[least.isna() | (rows["near"] >= least - SLACK)]
+
+
 def _best(k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The best rows of a block for each of a block's queries, and those that tie with the last of them."""
+    """The best rows for each query among the blocks of a task, merged whenever `MERGED` candidates have come."""
+    found: list[pd.DataFrame] = []
+    size = 0
     for batch in batches:
-        parts = []
         for ids, vectors, q_ids, q_vectors in zip(batch["ids"], batch["vectors"], batch["q_ids"], batch["q_vectors"]):
             own, asked = np.frombuffer(ids, dtype=np.int64), np.frombuffer(b"".join(q_ids), dtype=np.int64)
             x = np.frombuffer(vectors, dtype=np.float32).reshape(len(own), -1)
             q = np.frombuffer(b"".join(q_vectors), dtype=np.float32).reshape(len(asked), -1)
-            if x.shape[1] != q.shape[1]:
-                continue
             near = q @ x.T
             near[asked[:, None] == own[None, :]] = -np.inf
             last = np.partition(near, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
             # Rounding of the product must not decide; candidates are scored exactly afterwards.
             row, column = np.nonzero((near >= last[:, None] - SLACK) & (near > -np.inf))
-            parts.append(pd.DataFrame({"query_id": asked[row], "vec_id": own[column], "near": near[row, column]}))
-        yield pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "near": []})
+            found.append(pd.DataFrame({"query_id": asked[row], "vec_id": own[column], "near": near[row, column].astype(np.float64)}))
+            size += len(row)
+            if size > MERGED:
+                found = [_merged(found, k)]
+                size = len(found[0])
+                if size > MERGED // 2:  # very many queries: hand on what there is
+                    yield found.pop()
+                    size = 0
+    if found:
+        yield _merged(found, k)
 
 
 def cosine(a: Column, b: Column) -> Column:
