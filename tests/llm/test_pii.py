@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tierlake.llm import pii
@@ -104,6 +105,28 @@ def test_scores_against_a_plain_loop(spark):
     assert want == {tuple(r) for r in pii.learn(spans).collect()} and want
 
 
+@pytest.mark.parametrize("unseen", [1, 8, 80])
+def test_unseen_identifiers_do_not_count_against_their_context(spark, unseen):
+    rows = [f"please call +1 (555) 010-{1000 + i} now" for i in range(8)] + [f"please call 555-020-{1000 + i} a{i}" for i in range(unseen)]
+    # As many base instances of an other kind: nothing is decided about the context.
+    rows += [f"at +1 (555) 030-{1000 + i} now" for i in range(8)] + [f"at user{i}@mail.org b{i}" for i in range(8)]
+    rows += [f"at 555-040-{1000 + i} c{i}" for i in range(unseen)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    more = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(df).collect() if r.spans != r.base}
+    assert more == {8 + i: [(3, 12, 24)] for i in range(unseen)}
+
+
+def test_accepted_instances_of_other_kinds_count_against_a_context(spark):
+    """All 16 addresses after "mail" are accepted in the first round, so "by" holds 8 base numbers and 16 addresses after it."""
+    rows = [f"mail user{i}@mail.org x{i}" for i in range(8)] + [f"mail other{i} at mail dot org by y{i}" for i in range(16)]
+    rows += [f"z{i} +1 (555) 010-{1000 + i} by" for i in range(8)] + ["w 555-020-1000 by"]
+    spans = pii._spans(pii._matches(spark.createDataFrame(list(enumerate(rows)), "row long, text string"), "text"))
+    found = lambda rounds: {tuple(r) for r in pii.learn(spans, pii.Settings(rounds=rounds)).collect()}
+    addresses = {(0, f"other{i} at mail dot org") for i in range(16)}
+    assert found(1) == addresses | {(3, "555-020-1000")}
+    assert found(2) == found(3) == addresses
+
+
 def test_redaction(spark):
     text = "é write a@b.cd or +1 (988) 555-2485."
     df = pii.find(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string"), keep=("doc_id", "text"))

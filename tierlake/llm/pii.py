@@ -39,8 +39,9 @@ _SPACE = r"[\x20\x09-\x0D]"
 class Settings:
     """Rounds of scoring, and what a context and an instance must reach.
 
-    A context counts for a kind when instances of that kind worth `support` stand in it, and they are at least the
-    share `precision` of all that stands in it. Instances are accepted from the score `accepted` on.
+    A context counts for a kind when decided instances of that kind worth `support` stand in it, and they are at least
+    the share `precision` of all decided instances in it: base instances and those accepted so far, of any kind.
+    Instances are accepted from the score `accepted` on.
     """
 
     rounds: int = 3
@@ -157,28 +158,28 @@ def learn(spans: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`kind, value` of the candidates that their contexts show to be identifiers.
 
     Instances (kind and value) and contexts (the word before or after) make a graph. Base instances have score 1 for
-    their kind, candidates begin at 0. In each round a context's precision for a kind is the summed score of its
-    instances of that kind among all its distinct instances, and a candidate's score is the chance that not all its
-    trusted contexts are wrong. Copies of a text add nothing, since instances are distinct.
+    their kind, candidates are undecided until they are accepted. In each round a context's precision for a kind is the
+    summed score of its decided instances of that kind among all its decided instances, and a candidate's score is the
+    chance that not all its trusted contexts are wrong. Undecided candidates say nothing about a context, however many
+    stand in it. Copies of a text add nothing, since instances are distinct.
     """
     spark = spans.sparkSession
     sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
     edges = spans.select("kind", "base", "value", F.explode(sides).alias("context")).where("context.word is not null")
     edges = edges.groupBy("context", "kind", "value").agg(F.max("base").alias("base"))
     edges = materialise(spark, edges.select(F.concat("context.side", F.lit(":"), "context.word").alias("context"), "kind", "value", "base"), "contexts")
-    sizes = edges.groupBy("context").agg(F.count("*").alias("size"))
     scores = spark.createDataFrame([], "kind int, value string, score double")
     for _ in range(settings.rounds):
-        scored = edges.join(scores, ["kind", "value"], "left").withColumn(
-            "score", F.when(F.col("base"), F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0)))
+        accepted = scores.where(F.col("score") >= settings.accepted)
+        decided = edges.join(accepted, ["kind", "value"], "left").withColumn(
+            "score", F.when(F.col("base"), F.lit(1.0)).otherwise(F.col("score"))
         )
         trusted = (
-            scored.groupBy("context", "kind")
-            .agg(F.sum("score").alias("worth"))
-            .where(F.col("worth") >= settings.support)
-            .join(sizes, "context")
-            .withColumn("precision", F.col("worth") / F.col("size"))
-            .where(F.col("precision") >= settings.precision)
+            decided.where("score is not null")
+            .groupBy("context", "kind")
+            .agg(F.sum("score").alias("worth"), F.count("*").alias("n"))
+            .withColumn("precision", F.col("worth") / F.sum("n").over(Window.partitionBy("context")))
+            .where((F.col("worth") >= settings.support) & (F.col("precision") >= settings.precision))
         )
         wrong = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6))))
         scores = (
