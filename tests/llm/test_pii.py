@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -127,6 +128,33 @@ def test_accepted_instances_of_other_kinds_count_against_a_context(spark):
     assert found(2) == found(3) == addresses
 
 
+def test_candidates_of_two_kinds_are_scored_as_both(spark):
+    """The last number may be a card or a phone number, and only numbers stand after "call"."""
+    rows = [f"call +1 (555) 010-{1000 + i} now" for i in range(9)] + ["call 0049 3012 3456 soon"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {tuple(s) for r in pii.find(df).collect() if r.doc_id == 9 for s in r.spans} == {(3, 5, 19)}
+
+
+def test_overlaps_against_a_greedy_loop(spark):
+    rng = random.Random(7)
+    rows = []
+    for row in range(60):
+        for _ in range(rng.randint(1, 8)):
+            start = rng.randrange(30)
+            rows.append((row, rng.randrange(4), start, start + rng.randint(1, 9), rng.choice([0.9, 0.95, 1.0])))
+    rows = list(set(rows))
+    want = set()
+    for row in range(60):
+        kept = []
+        for _, k, a, b, _ in sorted((r for r in rows if r[0] == row), key=lambda r: (-r[4], r[2] - r[3], r[2], r[1])):
+            if all(b <= x or y <= a for _, x, y in kept):
+                kept.append((k, a, b))
+        want |= {(row, *s) for s in kept}
+    df = spark.createDataFrame(rows, "row long, kind int, start long, end long, score double")
+    got = [(r.row, *r.span) for r in pii._resolved(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_redaction(spark):
     text = "é write a@b.cd or +1 (988) 555-2485."
     df = pii.find(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string"), keep=("doc_id", "text"))

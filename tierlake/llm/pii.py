@@ -128,7 +128,7 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
 def _spans(found: DataFrame) -> DataFrame:
     """`row, kind, base, start, end, value, left, right` of every match that passes its check.
 
-    Candidates that touch a base span go, and so do those that lie in an earlier candidate.
+    Candidates that touch a base span go. Those of different kinds may overlap or be one span.
     """
     hits = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.kind", "hit.base", "hit.values", "hit.gaps")
     after = F.concat(F.slice("gaps", 2, F.greatest(F.size("gaps") - 1, F.lit(0))), F.array(F.lit(None)))
@@ -148,8 +148,9 @@ def _spans(found: DataFrame) -> DataFrame:
     rows = rows.where(F.when(F.col("base"), _valid(F.col("kind"), F.col("value"))).otherwise(_plausible(F.col("kind"), F.col("value"))))
     around = Window.partitionBy("row").orderBy("start", F.desc("base"), "end", "kind")
     before, behind = around.rowsBetween(Window.unboundedPreceding, -1), around.rowsBetween(1, Window.unboundedFollowing)
-    apart = (F.coalesce(F.max("end").over(before), F.lit(0)) <= F.col("start")) & (
-        F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(behind), F.col("end")) >= F.col("end")
+    firm = F.col("base")
+    apart = (F.coalesce(F.max(F.when(firm, F.col("end"))).over(before), F.lit(0)) <= F.col("start")) & (
+        F.coalesce(F.min(F.when(firm, F.col("start"))).over(behind), F.col("end")) >= F.col("end")
     )
     return rows.withColumn("apart", apart).where("base or apart").drop("apart")
 
@@ -163,6 +164,11 @@ def learn(spans: DataFrame, settings: Settings = Settings()) -> DataFrame:
     chance that not all its trusted contexts are wrong. Undecided candidates say nothing about a context, however many
     stand in it. Copies of a text add nothing, since instances are distinct.
     """
+    return _scores(spans, settings).select("kind", "value")
+
+
+def _scores(spans: DataFrame, settings: Settings) -> DataFrame:
+    """`kind, value, score` of what `learn` accepts."""
     spark = spans.sparkSession
     sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
     edges = spans.select("kind", "base", "value", F.explode(sides).alias("context")).where("context.word is not null")
@@ -189,7 +195,31 @@ def learn(spans: DataFrame, settings: Settings = Settings()) -> DataFrame:
             .agg((1 - F.exp(wrong)).alias("score"))
         )
         scores = materialise(spark, scores, "instances")
-    return scores.where(F.col("score") >= settings.accepted).select("kind", "value")
+    return scores.where(F.col("score") >= settings.accepted)
+
+
+def _resolved(spans: DataFrame) -> DataFrame:
+    """`row, span` of accepted candidates (`row, kind, start, end, score`): of those that overlap, best score first.
+
+    Of equal scores the longer one goes first, then the earlier one, then the kind. Only runs of spans that hang
+    together are held at a time.
+    """
+    along = Window.partitionBy("row").orderBy("start", "end", "kind")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("opens", F.when(before > F.col("start"), 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("kind", "start", "end")
+    ranked = F.struct((-F.col("score")).alias("score"), (F.col("start") - F.col("end")).alias("length"), "start", "kind", place.alias("span"))
+    ordered = F.transform(F.array_sort(F.collect_list(ranked)), lambda r: r["span"])
+    runs = runs.groupBy("row", "run").agg(ordered.alias("ordered"))
+    none = F.slice("ordered", 1, 0)
+
+    def step(kept: Column, s: Column) -> Column:
+        clash = F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
+
+    kept = F.when(F.size("ordered") == 1, F.col("ordered")).otherwise(F.aggregate("ordered", none, step))
+    return runs.select("row", F.explode(kept).alias("span"))
 
 
 def find(
@@ -199,8 +229,8 @@ def find(
 
     Base spans are the valid matches of `BASE` in the whole text, leftmost first and without overlap within a kind; a
     match that fails its check is dropped without another try. `spans` has the base spans and those of candidates
-    (`LOOSE`) that the contexts of base spans, scored over all rows, show to be identifiers as well. Places count code
-    points from 0, the end exclusive.
+    (`LOOSE`) that the contexts of base spans, scored over all rows, show to be identifiers as well; where accepted
+    candidates overlap, the one of better score stays. Places count code points from 0, the end exclusive.
 
     Null and empty texts have empty arrays. Rows that repeat each get their spans. Without base spans there are no
     others. Columns whose names clash with results are not kept unless named. An empty table gives no rows. Texts are
@@ -211,10 +241,11 @@ def find(
     found = _matches(picked.withColumn("row", F.monotonically_increasing_id()), "_content").drop("_content")
     found = materialise(spark, found, "matches")
     spans = materialise(spark, _spans(found), "spans")
-    learned = learn(spans, settings)
+    learned = _scores(spans, settings)
     place = F.struct("kind", "start", "end")
     base = spans.where("base").select("row", place.alias("span"), F.lit(True).alias("base"))
-    more = spans.where("not base").join(learned, ["kind", "value"], "left_semi").select("row", place.alias("span"), F.lit(False).alias("base"))
+    accepted = spans.where("not base").join(learned, ["kind", "value"]).select("row", "kind", "start", "end", "score")
+    more = _resolved(accepted).withColumn("base", F.lit(False))
     gathered = base.union(more).groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("base"),
         F.array_sort(F.collect_list("span")).alias("spans"),
