@@ -87,3 +87,21 @@ def test_the_mix_itself(spark, documents):
     assert rows.columns == documents.columns
     got = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum(size("text")).alias("n")).collect()}
     assert got == {d: n for d, n in taken.items() if n}
+
+
+def test_the_mix_comes_in_the_order_of_the_schedule(spark):
+    """After any number of rows each source has had its share, and a document's second pass is far from its first."""
+    size = {"a": 5, "b": 5, "c": 4}
+    rows = [(i, "w " * size[s], "en", s, 1) for i, s in enumerate("a" * 100 + "b" * 200 + "c" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    got = [(r.source, len(words(r.text)), r.doc_id) for r in mixing.mixed_documents(df).collect()]
+    total, drawn, seen = sum(n for _, n, _ in got), defaultdict(int), {}
+    want = {s: sum(n for x, n, _ in got if x == s) for s in size}
+    done = 0
+    for k, (s, n, doc) in enumerate(got):
+        drawn[s] += n
+        done += n
+        assert all(abs(drawn[x] - done * want[x] / total) < 25 for x in size)
+        assert k - seen.get(doc, -100) > 5
+        seen[doc] = k
+    assert len(got) > len(seen)

@@ -124,17 +124,21 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each time that words of a document are taken.
 
-    Documents that are not taken go, and of those taken in part the first words stay, joined by single spaces.
+    Rows are ranged and sorted by the first slot that draws from them, so any stretch of the rows has each source's
+    share to within a few blocks and documents, and the passes over a document are apart. Documents that are not taken
+    go, and of those taken in part the first words stay, joined by single spaces.
     """
     carried = tuple(F.col(c).alias(f"_doc{k}") for k, c in enumerate(docs.columns))
     rows = _line(docs, settings, doc_id, text, source, carried)
-    taken = _mixed(rows, settings).where("taken > 0").select("row", "taken")
-    left = F.col("taken") - F.col("pass") * F.col("size")
+    _, pieces = _pieces(rows, settings)
+    taken = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
     rows = rows.select("row", "size", *(f"_doc{k}" for k in range(len(carried)))).join(taken, "row")
-    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(settings.passes - 1)))).where(left > 0)
     content = F.col(f"_doc{docs.columns.index(text)}")
-    first = F.array_join(F.slice(F.filter(F.split(content, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, left.cast("int")), " ")
-    cut = F.when(left < F.col("size"), first).otherwise(content)
+    split = F.split(content, r"[\x20\x09-\x0D]+")
+    first = F.array_join(F.slice(F.filter(split, lambda w: w != ""), 1, F.col("taken").cast("int")), " ")
+    cut = F.when(F.col("taken") < F.col("size"), first).otherwise(content)
+    order = "slot", "row", "pass"
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return rows.select(*((cut if c == text else F.col(f"_doc{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
@@ -153,6 +157,15 @@ def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: s
 
 
 def _mixed(rows: DataFrame, settings: Settings) -> DataFrame:
+    aimed, pieces = _pieces(rows, settings)
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
+    return aimed.join(taken, "row", "left").select(
+        "row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    )
+
+
+def _pieces(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The documents with their source's target, and `row, pass, slot, words` of the words that each slot draws from them."""
     spark = rows.sparkSession
     aims = materialise(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), settings), "targets")
     total = aims.agg(F.sum("words")).first()[0] or 0
@@ -180,18 +193,11 @@ def _mixed(rows: DataFrame, settings: Settings) -> DataFrame:
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(settings.passes - 1))))
         .withColumns({"begin": begin, "until": F.least(begin + F.col("size"), F.col("words"))})
         .where("begin < until")
-        .select("row", "n", "begin", "until")
+        .select("row", "pass", "n", "begin", "until")
         .withColumn(
             "rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("until") - 1) / block)))
         )
     )
     pieces = F.least(F.col("until"), (F.col("rank") + 1) * block) - F.greatest(F.col("begin"), F.col("rank") * block)
-    taken = (
-        lying.withColumn("words", pieces)
-        .join(schedule(wanted, int(slots)), ["n", "rank"])
-        .groupBy("row")
-        .agg(F.sum("words").alias("taken"))
-    )
-    return aimed.join(taken, "row", "left").select(
-        "row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+    drawn = lying.withColumn("words", pieces).join(schedule(wanted, int(slots)), ["n", "rank"])
+    return aimed, drawn.select("row", "pass", "slot", "words")
