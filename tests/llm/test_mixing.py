@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -105,3 +106,22 @@ def test_the_mix_comes_in_the_order_of_the_schedule(spark):
         assert k - seen.get(doc, -100) > 5
         seen[doc] = k
     assert len(got) > len(seen)
+
+
+def test_cut_texts_keep_their_white_space(spark):
+    """Of a document taken in part, what is taken is the text itself up to the end of its last word."""
+    texts = ["\n a\tb\n\n  c \U0001f600d\r\n" * 9, "é  f\n\ng h\u00a0i  " * 7, "k\n" * 11, "  l  m\n" * 9, "n\n\to " * 5]
+    rows = [(i, t, "en", f"s{i}", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken, cuts = {r.doc_id: r.taken for r in mixing.mix(df).collect()}, 0
+    got = defaultdict(list)
+    for r in mixing.mixed_documents(df).collect():
+        got[r.doc_id].append(r.text)
+    for i, text in enumerate(texts):
+        parts = sorted(got[i], key=len)
+        assert sum(len(words(p)) for p in parts) == taken[i]
+        assert all(p == text for p in parts[1:]) and text.startswith(parts[0])
+        if parts[0] != text:
+            cuts += 1
+            assert parts[0] == text[: [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)][len(words(parts[0])) - 1]]
+    assert cuts

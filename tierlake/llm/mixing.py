@@ -126,7 +126,8 @@ def mixed_documents(
 
     Rows are ranged and sorted by the first slot that draws from them, so any stretch of the rows has each source's
     share to within a few blocks and documents, and the passes over a document are apart. Documents that are not taken
-    go, and of those taken in part the first words stay, joined by single spaces.
+    go. Of one taken in part, which is at most one in each source, the text stays as it is up to the end of the last
+    word that is taken; the words behind it are beyond the source's target.
     """
     carried = tuple(F.col(c).alias(f"_doc{k}") for k, c in enumerate(docs.columns))
     rows = _line(docs, settings, doc_id, text, source, carried)
@@ -134,8 +135,12 @@ def mixed_documents(
     taken = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
     rows = rows.select("row", "size", *(f"_doc{k}" for k in range(len(carried)))).join(taken, "row")
     content = F.col(f"_doc{docs.columns.index(text)}")
-    split = F.split(content, r"[\x20\x09-\x0D]+")
-    first = F.array_join(F.slice(F.filter(split, lambda w: w != ""), 1, F.col("taken").cast("int")), " ")
+    # Pieces and gaps alternate; a text that begins with a gap has an empty piece before it.
+    lengths = F.transform(F.split(content, r"[\x20\x09-\x0D]+"), lambda p: F.length(p))
+    gaps = F.transform(F.regexp_extract_all(content, F.lit(r"[\x20\x09-\x0D]+"), F.lit(0)), lambda g: F.length(g))
+    upto = F.col("taken").cast("int") + F.when(F.element_at(lengths, 1) == 0, 1).otherwise(0)
+    total = F.concat(F.slice(lengths, 1, upto), F.slice(gaps, 1, upto - 1))
+    first = F.left(content, F.aggregate(total, F.lit(0), lambda a, b: a + b))
     cut = F.when(F.col("taken") < F.col("size"), first).otherwise(content)
     order = "slot", "row", "pass"
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
