@@ -127,3 +127,15 @@ def test_scoring_equals_the_table_of_vectors():
     buckets, counts = qc._bag(text, settings)
     mean = (model.weights[buckets] * counts).sum() / counts.sum()
     assert math.isclose(qc._Words(model).score(text), 1 / (1 + math.exp(-(mean + 0.2))), rel_tol=1e-12)
+
+
+def test_long_texts_are_learned_from_all_their_counts():
+    settings = qc.Settings()
+    for times in (3, 65_536, 70_001):
+        bag = qc._bag(b"long " * times + b"end", settings)
+        buckets, counts = qc._unpacked(*(part.tobytes() for part in bag))
+        found = dict(zip(buckets.tolist(), counts.tolist()))
+        features = [*qc._features(b"long", settings), 1]
+        assert all(found[f] >= times - 1 for f in features)
+        assert sum(found.values()) == len(qc._features(b"long", settings)) * times + len(qc._features(b"end", settings)) + times
+    assert [len(part) for part in qc._unpacked(*(part.tobytes() for part in qc._bag(b"", settings)))] == [0, 0]

@@ -63,7 +63,10 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _bag(text: bytes | None, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a whole text and how often each comes, in 16 bits each to keep the sample small."""
+    """Buckets of a whole text and how often each comes.
+
+    Both are in 16 bits to keep the sample small, counts in 32 or 64 where a text has one that needs them.
+    """
     words = text.split() if text else []
     if not words:
         return np.empty(0, dtype=np.uint16), np.empty(0, dtype=np.uint16)
@@ -76,7 +79,14 @@ def _bag(text: bytes | None, settings: Settings) -> tuple[np.ndarray, np.ndarray
         times.append(np.full(len(own), count, dtype=np.int64))
     summed = np.bincount(np.concatenate(buckets), weights=np.concatenate(times), minlength=1 << settings.bits)
     used = np.flatnonzero(summed)
-    return used.astype(np.uint16), np.minimum(summed[used], 65535).astype(np.uint16)
+    counts = summed[used].astype(np.int64)
+    return used.astype(np.uint16), counts.astype(max(np.dtype(np.uint16), np.min_scalar_type(counts.max())))
+
+
+def _unpacked(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A bag from its bytes; the width of the counts follows from their number."""
+    used = np.frombuffer(buckets, dtype=np.uint16)
+    return used, np.frombuffer(counts, dtype=f"u{len(counts) // max(1, len(used)) or 2}")
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings) -> Model:
@@ -98,7 +108,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings:
             rate = settings.rate * (1 - done / steps)
             done += 1
             buckets, counts = bags[k]
-            share = counts / max(1, counts.sum())
+            share = counts / max(1, counts.sum(dtype=np.int64))
             mean = share @ vectors[buckets]
             scores = mean @ output + bias
             chance = np.exp(scores - scores.max())
@@ -142,10 +152,7 @@ def train(
         .limit(settings.train_rows)
         .toArrow()
     )
-    found = [
-        (np.frombuffer(b.as_py(), dtype=np.uint16), np.frombuffer(c.as_py(), dtype=np.uint16))
-        for b, c in zip(rows["buckets"], rows["counts"])
-    ]
+    found = [_unpacked(b.as_py(), c.as_py()) for b, c in zip(rows["buckets"], rows["counts"])]
     return fit(found, rows["label"].to_numpy().astype(np.int64), settings)
 
 
