@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from itertools import permutations
 
 import pytest
 
@@ -84,3 +85,37 @@ def test_odd_rows(odd, empty):
 )
 def test_labels(spark, text, labels):
     assert ls.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
+def test_versions_in_one_word(spark):
+    want = {"GPLv3": "gpl-3.0", "LGPLv2.1 or later": "lgpl-2.1", "under AGPLv3, GPL2": "agpl-3.0,gpl-2.0", "released under MPLv2.0": "mpl-2.0", "gplx": ""}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.labels for r in ls.scan(df).orderBy("doc_id").collect()] == list(want.values())
+
+
+def greedy(text, signatures):
+    """Labels of the spans that stay: contained ones go, then by priority whatever overlaps none that stays."""
+    norm = f" {text} "
+    spans = sorted((m.start(), -m.end(), n) for n, r in enumerate(signatures) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", norm))
+    outer, reach = [], -1
+    for start, end, n in spans:
+        if -end > reach:
+            outer.append((n, start, -end))
+            reach = -end
+    kept = []
+    for n, start, end in sorted(outer):
+        if all(end <= a or b <= start for _, a, b in kept):
+            kept.append((n, start, end))
+    return ",".join(sorted({signatures[n].label for n, _, _ in kept}))
+
+
+def test_chains_of_overlaps(spark):
+    """Three spans in a chain, in every order of priority, also with more spans behind them."""
+    signatures, texts = [], []
+    for n, order in enumerate(permutations(range(3))):
+        patterns = [f"a{n} b{n}", f"b{n} c{n}", f"c{n} d{n}", f"d{n} e{n}", f"e{n} f{n}"]
+        signatures += [ls.Rule(patterns[k], patterns[k], patterns[k], 10, 0.5) for k in (*order, 3, 4)]
+        texts += [" ".join(f"{x}{n}" for x in letters) for letters in ("abcd", "abcde", "abcdef", "xabcdycdef")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in ls.scan(df, signatures).collect()}
+    assert got == {k: greedy(t, signatures) for k, t in enumerate(texts)}

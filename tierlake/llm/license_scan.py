@@ -110,12 +110,28 @@ def _named(label: str, written: str, versions: tuple[str, ...]) -> list[Rule]:
     return rules
 
 
+def _glued(label: str, written: str, versions: tuple[str, ...]) -> list[Rule]:
+    """Rules of a short name with its version in one word, such as GPLv3 and LGPLv2.1."""
+    notice = r"(?:licen[cs]ed|released|distributed|available|published) under (?:(?:the )?terms of )?(?:the |an? )?"
+    found = []
+    for version in versions:
+        number = version.removesuffix(" 0")
+        full = rf"{LEADING}{written}v?{number}" + "(?: 0)?" * (number != version)
+        tag, keyword = f"{label}-{version.replace(' ', '.')}", f" {written}"
+        found.append(Rule(tag, keyword, notice + full, 50, 0.95))
+        found.append(Rule(tag, keyword, full, 30, 0.9))
+        found.append(Rule(tag, keyword, full + r" (?:or|and)(?: any)? later(?: versions?)?", 35, 0.9))
+    return found
+
+
 def rules() -> list[Rule]:
     """All signatures in their order, the first of equal priority before the rest."""
     found = []
     for label, (names, versions) in NAMED.items():
         for written in names:
             found += _named(label, written, versions)
+            if " " not in written:
+                found += _glued(label, written, versions)
         found.append(Rule(label, " spdx licen", rf"spdx licen[cs]e identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", 60, 1.0))
     for parts, version in product(COMMONS, COMMONS_VERSIONS):
         words = " ".join(COMMONS_WORDS[p] for p in parts.split())
@@ -153,13 +169,19 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def _kept(kept: Column, s: Column) -> Column:
+    """The kept spans and, if it overlaps none of them, one more."""
+    clash = F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
+
+
 def scan(docs: DataFrame, signatures: list[Rule] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score` for every row's whole text.
 
     The base phrases count wherever their words stand in a row. The signatures add labels. A text is tried with the
     signatures whose keyword it contains.
     Detections are spans of the normalised text. One that lies within another goes (of equal spans the one of lower
-    priority); of two that overlap in part the one of lower priority goes. `score` is the best among what is left, the
+    priority); of the others those stay, by falling priority, that overlap none of those that stay already. `score` is the best among what is left, the
     base phrases included, and 0 without any.
 
     Null and empty texts have no words, no labels ("") and score 0. Rows that repeat, also in their id, or have no id
@@ -227,9 +249,12 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, doc_id: str = "d
     covered = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     outer = spans.withColumn("covered", covered).where("covered is null or covered < end")
     # Signatures are numbered by falling priority, and what is left has rising starts and ends.
-    before, after = F.lag("end").over(order) > F.col("start"), F.lead("start").over(order) < F.col("end")
-    beaten = (before & (F.lag("rule").over(order) < F.col("rule"))) | (after & (F.lead("rule").over(order) < F.col("rule")))
-    kept = outer.withColumn("beaten", F.coalesce(beaten, F.lit(False))).where("not beaten")
+    opens = F.when(F.lag("end").over(order) > F.col("start"), 0).otherwise(1)
+    runs = outer.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct("rule", "start", "end")))
+    runs = runs.groupBy("row", "run").agg(ordered.alias("ordered"))
+    kept = F.when(F.size("ordered") == 1, F.col("ordered")).otherwise(F.aggregate("ordered", F.slice("ordered", 1, 0), _kept))
+    kept = runs.select("row", F.explode(F.transform(kept, lambda s: s["rule"])).alias("rule"))
     names = F.array(*(F.lit(s.label) for s in signatures))
     scores = F.array(*(F.lit(s.score) for s in signatures))
     kept = kept.groupBy("row").agg(
