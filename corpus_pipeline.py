@@ -29,7 +29,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; of repeated rows one."""
+    """One document of each group of near duplicates: the one with the smallest id; of repeated rows one.
+
+    Documents are alike by the contract of op10: a Jaccard similarity of at least 0.8 of their sets of four words.
+    """
     keys = F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.coalesce("content", F.lit(b"")).alias("_content")
     kept = near_dedup.near_duplicates(docs).where("kept").select(*keys).distinct()
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
