@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm import forest, license_scan, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, ring, url_rules
+from tierlake.llm import collocations, forest, license_scan, manifest, mixing, near_dedup, packing, pii, quality_classifier
+from tierlake.llm import quality_rules, ring, toxicity, url_rules
 from tierlake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -148,3 +149,120 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("content")
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM places, (VALUES (1), (2), (3), (4)) AS sizes(k)
+  WHERE i + k - 1 <= len(w)
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE f >= 30),
+-- Every shorter phrase inside a frequent one.
+inside AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, k, w, f, m, unnest(range(1, k - m + 2)) AS s
+    FROM frequent, (VALUES (2), (3)) AS sizes(m) WHERE m < k)
+  GROUP BY ALL),
+candidates AS (
+  SELECT c.lang, c.phrase, c.k, c.w, c.f AS a
+  FROM frequent c LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE c.k > 1 AND (i.longer IS NULL OR 100 * i.longer < 80 * c.f)),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (2000000 * c.a) // (x.f + y.f) AS score
+  FROM cuts c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+best AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql(levels: int) -> str:
+    """SQL for trees of up to 8^levels leaves: level by level, a run's digest and what stands beside each node."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    leaf = "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = []
+    for name, group in (("d", "lang"), ("t", "one")):
+        steps.append(f"{name}0 AS (SELECT *, way AS way0, hash AS hash0 FROM {name})")
+        for k in range(1, levels + 1):
+            # The nodes of a level, once each, and their runs.
+            steps.append(
+                f"{name}n{k} AS (SELECT {group} AS g, rank // {8 ** (k - 1)} AS pos, any_value(hash{k - 1}) AS h,"
+                f" count(*) OVER (PARTITION BY {group}) > 1 AS many"
+                f" FROM {name}{k - 1} GROUP BY {group}, rank // {8 ** (k - 1)})"
+            )
+            steps.append(
+                f"{name}r{k} AS (SELECT g, pos // 8 AS run, list(h ORDER BY pos) AS hs, bool_and(many) AS many FROM {name}n{k} GROUP BY ALL)"
+            )
+            place = f"((x.rank // {8 ** (k - 1)}) % 8)"
+            steps.append(
+                f"{name}{k} AS (SELECT x.* EXCLUDE (way{k - 1}, hash{k - 1}),"
+                f" CASE WHEN many THEN list_append(way{k - 1},"
+                f" {{'l': array_to_string(hs[1:{place}], ''), 'r': array_to_string(hs[{place} + 2:], '')}})"
+                f" ELSE way{k - 1} END AS way{k},"
+                f" CASE WHEN many THEN sha256(array_to_string(hs, '')) ELSE hash{k - 1} END AS hash{k}"
+                f" FROM {name}{k - 1} x JOIN {name}r{k} y ON x.{group} IS NOT DISTINCT FROM y.g AND x.rank // {8**k} = y.run)"
+            )
+        if name == "d":
+            steps.append(f"subroots AS (SELECT lang, any_value(hash{levels}) AS subroot FROM d{levels} GROUP BY lang)")
+            steps.append(
+                "t AS (SELECT lang, subroot, 1 AS one, subroot AS hash, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank,"
+                " []::STRUCT(l VARCHAR, r VARCHAR)[] AS way FROM subroots)"
+            )
+    return (
+        "WITH leaves AS (SELECT doc_id, lang, "
+        + leaf.replace("{text}", "text")
+        + " AS leaf, CASE WHEN (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''),"
+        " lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],"
+        " lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)) % 3 = 0 THEN "
+        + leaf.replace("{text}", low)
+        + " END AS altered FROM documents),"
+        " d AS (SELECT *, leaf AS hash, []::STRUCT(l VARCHAR, r VARCHAR)[] AS way,"
+        " row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves), "
+        + ", ".join(steps)
+        + f", proofs AS (SELECT doc_id, leaf, altered, subroot, t{levels}.hash{levels} AS root,"
+        f" list_concat(d{levels}.way{levels}, t{levels}.way{levels}) AS way"
+        f" FROM d{levels} JOIN t{levels} ON d{levels}.lang IS NOT DISTINCT FROM t{levels}.lang),"
+        " ended AS (SELECT *, list_reduce(list_prepend(coalesce(altered, leaf), list_transform(way, lambda s: s.l || '|' || s.r)),"
+        " lambda h, s: sha256(replace(s, '|', h))) AS folded_root FROM proofs)"
+        " SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.r), '')) AS proof_sha256,"
+        " folded_root, folded_root = root AS verified FROM ended"
+    )
+
+
+# Up to 8^5 leaves a language, which is what the SQL is run on.
+OP12_SQL = _manifest_sql(5)
+
+
+@query("op12_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
