@@ -7,10 +7,12 @@ frequency of the phrase, the sum of the stripe of no word is the number of words
 own stripe is its most frequent extension. A stripe is cut into parts by the hash of the next word, so that a prefix
 with very many followers is no single row, group or task.
 
-A phrase can only be frequent if each pair of neighbouring words in it is. A first pass counts pairs into a fixed number
-of cells; a cell that stays below the least frequency holds no frequent pair, and its pairs and all longer phrases with
-them are left out of the stripes. That drops nothing that could be a candidate, whatever the size of the corpus: with
-more text more cells pass, and the stripes then hold more rows that the least frequency removes after they are added.
+A phrase can only be frequent if all shorter phrases in it are. So two passes go before the stripes: one counts all pairs
+of neighbouring words, the next all phrases of three words whose two pairs are frequent. Phrases are counted by 46 bits of
+their hash, and the frequent ones marked in a bitmap of fixed size, which goes to all tasks. What meets no mark, and any
+longer phrase with it, is left out of the stripes. That drops nothing that could be a candidate: phrases that share a hash
+or a bit are only let through. If marks ever filled a bitmap, the stripes would hold more rows, which the least frequency
+removes after they are added.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from tierlake.session import materialise
 _MARK = b"\xff"
 _PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", _MARK * 10)
 #: Bytes of text that a task turns into stripes at a time, and rows it hands over at a time.
-_HELD = 16 << 20
+_HELD = 6 << 20
 _ROWS = 1 << 15
-#: Cells of the screen that travel as one row.
-_CHUNK = 1 << 16
+#: Bits of a phrase's hash that choose its part, and the bits behind them that tell phrases of a part apart.
+_PART_BITS, _REST_BITS = 14, 32
+#: Phrases that a task adds up before it hands them over, or holds of one part before it adds them up.
+_COUNTED = 1 << 21
 #: Parts of a stripe by the number of words in its prefix.
 _PARTS = (256, 256, 16, 16)
 #: Copies of a single word's row that share the requests for it.
@@ -47,16 +51,16 @@ SHARE, OF = 80, 100
 
 @dataclass(frozen=True)
 class Settings:
-    """Longest phrase in words, least frequency of a candidate, rows for each language, and cells of the pair screen."""
+    """Longest phrase in words, least frequency of a candidate, rows for each language, and bits of a screen."""
 
     longest: int = 4
     least: int = 30
     top: int = 2000
-    cells: int = 1 << 24
+    screen_bits: int = 26
 
     def __post_init__(self):
-        if not 2 <= self.longest <= len(_PARTS) or self.cells % _CHUNK or self.cells & (self.cells - 1):
-            raise ValueError("phrases have two to four words, and cells are a power of two of at least 65536")
+        if not 2 <= self.longest <= len(_PARTS) or not _PART_BITS + 3 <= self.screen_bits <= _PART_BITS + _REST_BITS:
+            raise ValueError("phrases have two to four words, and the screen 2^17 to 2^46 bits")
 
 
 class _Ids(dict):
@@ -79,7 +83,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
             yield lang, np.fromiter(map(ids.__getitem__, tokens), dtype=np.int64, count=len(tokens)), list(ids)
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            text = text.as_py()
             if text:
                 held.setdefault(lang, []).append(text)
                 size += len(text)
@@ -89,61 +94,117 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
     yield from numbered()
 
 
-def _pair_cells(lang: str, ids: np.ndarray, words: list[bytes], cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each pair of neighbours, and which of them are pairs within a piece."""
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-    pairs = windows((HASHES.of(words) ^ seed)[ids], 2)
-    within = (ids[:-1] != 0) & (ids[1:] != 0)
-    return (pairs >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64), within
+def _hashes(lang: str, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """A hash for each word, other ones in each language."""
+    return (HASHES.of(words) ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))[ids]
 
 
-def pair_screen(texts: DataFrame, settings: Settings) -> np.ndarray:
-    """Which cells hold at least the least frequency of pairs, as one bit each: a fixed 2 MB for 2^24 cells.
+def _marked(screen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = (keys >> np.uint64(64 - (len(screen).bit_length() + 2))).astype(np.int64)
+    return (screen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
-    `texts` has `lang` and `text` as bytes. Each task counts up to the least frequency (or 255, if that is less) and
-    hands over the cells that are not empty; they are added up cell by cell.
+
+def _open(hashes: np.ndarray, ids: np.ndarray, screens: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of two up to `size` words at each place: their hash, and whether the screens let them pass.
+
+    The screens are those of two words, of three, and so on; a phrase passes with all the shorter ones in it.
+    """
+    passes = ids != 0
+    for words in range(2, size + 1):
+        keys = windows(hashes, words)
+        passes = passes[:-1] & passes[1:]
+        if words - 2 < len(screens):
+            passes = passes & _marked(screens[words - 2], keys)
+        yield keys, passes
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, each once, with the sum of its counts or `most`."""
+    joined = np.concatenate(keys)
+    order = np.argsort(joined)
+    joined = joined[order]
+    first = np.flatnonzero(np.append(True, joined[1:] != joined[:-1])) if len(joined) else np.zeros(0, dtype=np.int64)
+    sums = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first) if len(first) else first
+    return joined[first], np.minimum(sums, most).astype(np.uint8)
+
+
+def next_screen(texts: DataFrame, screens: list[np.ndarray], settings: Settings) -> np.ndarray:
+    """A bit for each range of hashes, set if a frequent phrase lies there: a fixed 8 MB for 2^26 bits.
+
+    `screens` are those of two words, of three, and so on; the next one is for one word more. `texts` has `lang` and
+    `text` as bytes. Tasks count phrases up to the least frequency (or 255, if that is less). The shuffle brings the
+    counts of a part of all hashes together, which are added up phrase by phrase.
     """
-    cells, enough = settings.cells, min(settings.least, 255)
+    shared, size = texts.sparkSession.sparkContext.broadcast(screens), len(screens) + 2
+    enough = min(settings.least, 255)
+    slice_bits = settings.screen_bits - _PART_BITS
+
+    def parted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """A row for each part, with the rests of its phrases and their counts."""
+        part = (keys >> np.uint64(_REST_BITS)).astype(np.int32)
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        offsets = np.append(begin, len(keys)).astype(np.int32)
+
+        def column(values: np.ndarray) -> pa.Array:
+            at = pa.py_buffer((offsets * values.itemsize).astype(np.int32))
+            return pa.Array.from_buffers(pa.binary(), len(begin), [None, at, pa.py_buffer(values)])
+
+        rest = keys.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), column(rest), column(counts)], ["part", "phrases", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(cells, dtype=np.uint8)
+        keys, counts, held = [], [], 0
         for lang, ids, words in _texts(batches):
-            if len(ids) > 1:
-                cell, within = _pair_cells(lang, ids, words, cells)
-                at, counts = np.unique(cell[within], return_counts=True)
-                seen[at] = np.minimum(seen[at] + np.minimum(counts, enough), enough)
-        for chunk in range(cells // _CHUNK):
-            part = seen[chunk * _CHUNK : (chunk + 1) * _CHUNK]
-            at = np.flatnonzero(part)
-            if len(at):
-                columns = [[chunk], [at.astype(np.uint16).tobytes()], [part[at].tobytes()]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))],
-                    ["chunk", "cells", "counts"],
-                )
+            *_, (phrases, passes) = _open(_hashes(lang, ids, words), ids, shared.value, size)
+            some, n = np.unique(phrases[passes] >> np.uint64(64 - _PART_BITS - _REST_BITS), return_counts=True)
+            keys.append(some)
+            counts.append(np.minimum(n, enough).astype(np.uint8))
+            held += len(some)
+            if held >= _COUNTED:
+                yield parted(*_summed(keys, counts, enough))
+                keys, counts, held = [], [], 0
+        if held:
+            yield parted(*_summed(keys, counts, enough))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        """The bits of each part; the rows of a part come one after another."""
+        now, keys, counts, held = None, [], [], 0
+
+        def bits() -> pa.RecordBatch:
+            some, n = _summed(keys, counts, enough)
+            marks = np.zeros(1 << slice_bits, dtype=bool)
+            marks[some[n >= enough] >> np.uint32(_REST_BITS - slice_bits)] = True
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["part", "bits"]
+            )
+
         for batch in batches:
-            for chunk, at, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "cells", "counts"))):
-                into = sums.setdefault(chunk, np.zeros(_CHUNK, dtype=np.uint8))
-                at = np.frombuffer(at, dtype=np.uint16)
-                total = into[at].astype(np.uint16) + np.frombuffer(counts, dtype=np.uint8)
-                into[at] = np.minimum(total, enough)
-        bits = [np.packbits(part >= enough).tobytes() for part in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bits"])
-
-    counted = texts.mapInArrow(count, "chunk int, cells binary, counts binary").repartition("chunk")
-    screen = np.zeros(cells // 8, dtype=np.uint8)
-    for row in counted.mapInArrow(add, "chunk int, bits binary").toLocalIterator():
-        screen[row.chunk * _CHUNK // 8 : (row.chunk + 1) * _CHUNK // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+            for part, phrases, n in zip(batch.column("part").to_pylist(), batch.column("phrases"), batch.column("counts")):
+                if part != now:
+                    if now is not None:
+                        yield bits()
+                    now, keys, counts, held = part, [], [], 0
+                keys.append(np.frombuffer(phrases.as_py(), dtype=np.uint32))
+                counts.append(np.frombuffer(n.as_py(), dtype=np.uint8))
+                held += len(keys[-1])
+                if held >= 2 * _COUNTED:
+                    some, sums = _summed(keys, counts, enough)
+                    keys, counts, held = [some], [sums], 0
+        if now is not None:
+            yield bits()
+
+    counted = texts.mapInArrow(count, "part int, phrases binary, counts binary")
+    met = counted.repartition("part").sortWithinPartitions("part")
+    width = 1 << slice_bits - 3
+    screen = np.zeros(width << _PART_BITS, dtype=np.uint8)
+    for row in met.mapInArrow(add, "part int, bits binary").toLocalIterator():
+        screen[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
     return screen
 
 
-def local_stripes(texts: DataFrame, screen: np.ndarray, settings: Settings) -> DataFrame:
+def local_stripes(texts: DataFrame, screens: list[np.ndarray], settings: Settings) -> DataFrame:
     """`lang, prefix, part, next, counts`: stripes of the texts that a task held together."""
-    shared = texts.sparkSession.sparkContext.broadcast(screen)
-    cells, longest = settings.cells, settings.longest
+    shared, longest = texts.sparkSession.sparkContext.broadcast(screens), settings.longest
 
     def rows(lang: str, prefixes, of: np.ndarray, following: np.ndarray, counts: np.ndarray, words, part_of, size: int):
         """Stripes from elements (rank of the prefix, next word, count), parted by the next word."""
@@ -168,7 +229,6 @@ def local_stripes(texts: DataFrame, screen: np.ndarray, settings: Settings) -> D
             )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value)
         for lang, ids, listed in _texts(batches):
             if not ids.any():
                 continue
@@ -178,11 +238,11 @@ def local_stripes(texts: DataFrame, screen: np.ndarray, settings: Settings) -> D
             seen = np.arange(1, len(listed))
             empty = lambda of: pa.repeat(pa.scalar(b"", pa.binary()), len(of))
             yield from rows(lang, empty, np.zeros(len(seen), dtype=np.int64), seen, counts, words, part_of, 0)
-            # rank: the number of the phrase of `size` words that begins at a place, where it may be frequent.
-            cell, within = _pair_cells(lang, ids, listed, cells)
-            open_pairs = np.append(within & (bits[cell] != 0), False)
-            places, rank, prefixes = np.flatnonzero(open_pairs), ids, words
-            for size in range(1, longest):
+            # rank: the number of the phrase of `size` words that begins at a place.
+            rank, prefixes = ids, words
+            opened = _open(_hashes(lang, ids, listed), ids, shared.value, longest)
+            for size, (_, passes) in enumerate(opened, start=1):
+                places = np.flatnonzero(passes)
                 if not len(places):
                     break
                 elements, inverse, counts = np.unique(
@@ -198,9 +258,6 @@ def local_stripes(texts: DataFrame, screen: np.ndarray, settings: Settings) -> D
                 )
                 rank = np.full(len(ids), -1, dtype=np.int64)
                 rank[places] = inverse
-                # A longer phrase needs both of its shorter parts, and the pair at its end.
-                further = places[(places + size + 1 < len(ids))]
-                places = further[(rank[further + 1] >= 0) & open_pairs[further + size]]
 
     schema = "lang string, prefix binary, part int, next array<binary>, counts array<bigint>"
     return texts.mapInArrow(build, schema)
@@ -245,8 +302,10 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")
     )
-    screen = pair_screen(texts, settings)
-    stripes = added(local_stripes(texts, screen, settings), settings)
+    screens: list[np.ndarray] = []
+    for _ in range(2, settings.longest):
+        screens.append(next_screen(texts, screens, settings))
+    stripes = added(local_stripes(texts, screens, settings), settings)
     return ranked(materialise(docs.sparkSession, stripes, "stripes"), settings)
 
 
