@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from tierlake import session
 from tierlake.llm import catalog, mixing, pii, quality_classifier
 from llm_tools import ASCII_LOWER, ODD, words
 from test_near_dedup import brute, sets_of
@@ -14,8 +16,8 @@ from test_packing import check as check_packing
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *catalog.QUERIES} <= names
-    assert [n.split("_")[0] for n in sorted(catalog.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
-    assert {"op4_url_rules", "op8_mixing"} <= set(entry.oracle_sql())
+    assert [n.split("_")[0] for n in sorted(catalog.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
+    assert {"op4_url_rules", "op8_mixing", "op11_collocations", "op12_manifest"} <= set(entry.oracle_sql())
 
 
 def test_stages(spark, sf, documents, tmp_path):
@@ -44,6 +46,20 @@ def test_stages(spark, sf, documents, tmp_path):
     assert Counter(tuple(r)[:5] for r in whole.collect())[None] == 0 and whole.count() == docs.count()
 
 
+def test_scratch_goes(spark, sf, tmp_path):
+    """What a stage worked with is removed when the next one begins, and written documents once they have been used."""
+    pipeline.run(spark, sf).count()
+    left = f"{session.shared_dir(spark)}/tierlake/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(left))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert set(os.listdir(left)) <= before
+    pipeline.run(spark, sf).count()
+    assert len(set(os.listdir(left)) - before) == 1
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_odd_rows(spark, sf, odd, empty, stage):
     out = pipeline.STAGES[stage][1](spark, odd, sf)

@@ -120,35 +120,46 @@ def mix(
 
 
 def mixed_documents(
-    docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame,
+    settings: Settings = Settings(),
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    stored: bool = False,
 ) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each time that words of a document are taken.
 
-    Rows are ranged and sorted by the first slot that draws from them, so any stretch of the rows has each source's
-    share to within a few blocks and documents, and the passes over a document are apart. Documents that are not taken
-    go. Of one taken in part, which is at most one in each source, the text stays as it is up to the end of the last
-    word that is taken; the words behind it are beyond the source's target.
+    Texts are moved once: the schedule works on sizes and on where each row lies in its file, and the rows then meet
+    what is taken of them. That deals them out evenly at random. Each partition is sorted by the slots that draw its rows
+    first, so any stretch of a partition has each source's share to within a few blocks and documents, and the passes over
+    a document are apart. Documents that are not taken go. Of one taken in part, which is at most one in each source, the
+    text stays as it is up to the end of the last word that is taken; the words behind it are beyond the source's target.
+
+    `stored` says that `docs` are the rows of files as they are; others are written to files first.
     """
-    carried = tuple(F.col(c).alias(f"_doc{k}") for k, c in enumerate(docs.columns))
-    rows = _line(docs, settings, doc_id, text, source, carried)
+    docs = docs if stored else materialise(docs.sparkSession, docs, "unmixed")
+    place = F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")
+    rows = _line(docs, settings, doc_id, text, source, place)
     _, pieces = _pieces(rows, settings)
-    taken = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
-    rows = rows.select("row", "size", *(f"_doc{k}" for k in range(len(carried)))).join(taken, "row")
+    passes = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
+    taken = passes.groupBy("row").agg(F.collect_list(F.struct("slot", "pass", "taken")).alias("draws"))
+    taken = rows.select("row", "_file", "_index", F.col("size").alias("_size")).join(taken, "row")
+    carried = [F.col(c).alias(f"_doc{k}") for k, c in enumerate(docs.columns)]
+    whole = docs.select(*place, *carried).join(taken, ["_file", "_index"]).withColumn("_draw", F.explode("draws"))
     content = F.col(f"_doc{docs.columns.index(text)}")
     # Pieces and gaps alternate; a text that begins with a gap has an empty piece before it.
     lengths = F.transform(F.split(content, r"[\x20\x09-\x0D]+"), lambda p: F.length(p))
     gaps = F.transform(F.regexp_extract_all(content, F.lit(r"[\x20\x09-\x0D]+"), F.lit(0)), lambda g: F.length(g))
-    upto = F.col("taken").cast("int") + F.when(F.element_at(lengths, 1) == 0, 1).otherwise(0)
+    upto = F.col("_draw.taken").cast("int") + F.when(F.element_at(lengths, 1) == 0, 1).otherwise(0)
     total = F.concat(F.slice(lengths, 1, upto), F.slice(gaps, 1, upto - 1))
     first = F.left(content, F.aggregate(total, F.lit(0), lambda a, b: a + b))
-    cut = F.when(F.col("taken") < F.col("size"), first).otherwise(content)
-    order = "slot", "row", "pass"
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = F.when(F.col("_draw.taken") < F.col("_size"), first).otherwise(content)
+    rows = whole.sortWithinPartitions("_draw.slot", "row", "_draw.pass")
     return rows.select(*((cut if c == text else F.col(f"_doc{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
-def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: str, carried: tuple[Column, ...] = ()) -> DataFrame:
-    """The documents with their size and place in the shuffled order, written once: no other step reads the texts."""
+def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: str, place: tuple[Column, ...] = ()) -> DataFrame:
+    """The documents with their size and place in the shuffled order, without texts, written once."""
     number = F.col(doc_id).cast("long")
     rows = docs.select(
         number.alias("doc_id"),
@@ -156,7 +167,7 @@ def _line(docs: DataFrame, settings: Settings, doc_id: str, text: str, source: s
         words(F.col(text)).alias("size"),
         F.md5(F.concat(F.lit(settings.seed + ":"), F.coalesce(number.cast("string"), F.lit("")))).alias("hash"),
         F.monotonically_increasing_id().alias("row"),
-        *carried,
+        *place,
     )
     return materialise(docs.sparkSession, rows, "line")
 
