@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences: five stages, each an operator of `tierlake.llm`.
 
 Every stage works on all rows that the one before it kept. Between stages the documents are written below the
-session's shared folder and read again, which cuts the lineage and survives lost executors.
+session's shared folder and read again, which cuts the lineage and survives lost executors. When a stage begins, its
+documents have been written, so what the stage before it worked with is removed then; of the written documents only those
+that the next stage reads are kept.
 
 Nulls, empty texts, repeated rows, empty tables and extra columns: each stage treats them as its operator says, extra
 columns are carried to the packing, and rows without a doc_id stay unless a copy with an id does.
@@ -9,11 +11,14 @@ columns are carried to the packing, and rows without a doc_id stay unless a copy
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.llm import mixing, near_dedup, packing, pii, quality_classifier
-from tierlake.session import materialise
+from tierlake.session import recorded, remove_path, scratch_path
 
 #: Documents that score below this go.
 LEAST_SCORE = 0.3
@@ -21,6 +26,28 @@ LEAST_SCORE = 0.3
 NO_ID = -(1 << 63)
 
 
+#: Scratch of the stage that ran last.
+_left: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes what the stage before it worked with; its `docs` are read from files."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _left:
+            remove_path(spark, path)
+        _left.clear()
+        with recorded() as made:
+            try:
+                return work(spark, docs, sf_dir)
+            finally:
+                _left.extend(made)
+
+    return run_stage
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
@@ -28,6 +55,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality_classifier.score(model, F.col("text")) >= LEAST_SCORE)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; of repeated rows one.
 
@@ -43,6 +71,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return one.dropDuplicates(["_key", "_content", "_apart"]).select(*docs.columns)
 
 
+@stage
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind of each personal identifier in its place."""
     found = pii.find(docs, keep=tuple(docs.columns))
@@ -50,12 +79,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each time it takes them."""
-    mixed = mixing.mixed_documents(docs)
+    mixed = mixing.mixed_documents(docs, stored=bool(docs.inputFiles()))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     return packing.pack_documents(docs)
@@ -74,7 +105,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, work in STAGES[:-1]:
+        found = work(spark, docs, sf_dir)
+        path = scratch_path(spark, name.replace(" ", "-"))
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

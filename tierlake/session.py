@@ -51,7 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tierlake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tierlake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """The scratch paths that are made within the block, for the caller to remove once nothing reads them."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
 
 
 def materialise(spark: SparkSession, df, label: str):
