@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from data import KEY, sample, samples
 from pyspark.sql import functions as F
@@ -161,6 +162,95 @@ def test_levels_with_cooldown(spark, cooldown):
         assert level_rows(levels.level_hysteresis(df, cooldown_ms=cooldown, chunk_ms=chunk_ms)) == want
 
 
+def with_nulls(seed=7):
+    """Series with a null key, null times and sequence numbers, and rows that repeat."""
+    rng = random.Random(seed)
+    out = []
+    for key in (KEY, ("dev", None, "cpu"), (None, None, None)):
+        at = 0
+        for i in range(60):
+            at += rng.choice([0, 0, 2_000, 9_000, 40_000])
+            seq = rng.choice([i, i, None])
+            row = (*key, at, seq, rng.choice([0.2, 0.3, 0.6, 0.85, 0.97]))
+            out += [row] * rng.choice([1, 1, 3])
+        out += [(*key, None, 900, 0.9), (*key, None, None, 0.1)]
+    return out
+
+
+def loop_with_nulls(rows, rule, cooldown):
+    """All rows in order of time and seq, nulls first; a row without a time is not evaluated under a cooldown."""
+    rank = lambda v: (v is not None, v or 0)
+    out = []
+    for key in {r[:3] for r in rows}:
+        level, checked = 0, None
+        for r in sorted((r for r in rows if r[:3] == key), key=lambda r: (rank(r[3]), rank(r[4]), r[5])):
+            before = level
+            due = not cooldown or (r[3] is not None and (checked is None or r[3] - checked >= cooldown))
+            if due:
+                checked, level = r[3], step(level, r[5], rule)
+            out.append((*r, due, LEVELS[before], LEVELS[level]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("cooldown", [0, 5_000, 30_000])
+@pytest.mark.parametrize("chunk_ms", [chunks.CHUNK_MS, 20_000])
+def test_no_row_is_lost(spark, cooldown, chunk_ms):
+    # Of rows with one time and seq the order is open: they have the same ratio here.
+    rows, seen = [], {}
+    for r in with_nulls():
+        rows.append((*r[:5], seen.setdefault(r[:5], r[5])))
+    got = levels.level_hysteresis(spark.createDataFrame(rows, SCHEMA).repartition(4), cooldown_ms=cooldown, chunk_ms=chunk_ms)
+    assert sorted(map(tuple, got.collect()), key=repr) == loop_with_nulls(rows, RULES[0], cooldown)
+
+
+def test_cooldown_carried_over(spark):
+    rows = [r for r in ratios(spark, 12) if r[5] is not None]
+    want, got, carry = expected_levels(rows, RULES[0], 30_000), {}, None
+    for low, high in ((0, 3_000_000), (3_000_000, 9_000_000), (9_000_000, 10**12)):
+        part = spark.createDataFrame([r for r in rows if low <= r[3] < high], SCHEMA)
+        done = levels.level_hysteresis(part, cooldown_ms=30_000, carry=carry, chunk_ms=600_000)
+        got.update(level_rows(done))
+        carry = levels.level_final(done)
+    assert got == want
+
+
+@pytest.mark.parametrize("cooldown", [1, 7, 1_000])
+def test_step_functions(cooldown):
+    """Slices composed in any grouping lead where a plain walk leads, from any allowed time."""
+    rng = random.Random(cooldown)
+    times = np.unique([rng.randrange(6_000) for _ in range(400)])
+    cut = [times[(times >= a) & (times < a + 500)] for a in range(0, 6_000, 500)]
+    for allowed in [np.iinfo(np.int64).min, 0, 3, 400, 1_200]:
+        now, walked = allowed, []
+        for t in times:
+            if t >= now:
+                walked.append(t)
+                now = t + cooldown
+        after, found = allowed, []
+        for part in cut:
+            # A chain begins within a cooldown of the first sample, or with the next sample after that.
+            found += list(levels._chain(part, cooldown, after))
+            after = int(levels._applied(np.array([after]), *levels._slice_function(part, cooldown))[0])
+        if allowed <= times[0] + cooldown:
+            assert found == walked and after == now
+
+
+def test_cooldown_spreads_a_hot_series(spark):
+    """A day of one series is many slices, each a group of its own, and only step functions meet."""
+    df = spark.range(200_000).select(
+        F.lit("n").alias("namespace"), F.lit("t").alias("target"), F.lit("p").alias("poller"),
+        (F.col("id") * 432).alias("timestamp_ms"), F.col("id").alias("seq"), F.lit(0.6).alias("ratio"),
+    )
+    picks = levels.cooldown_picks(df, list(levels.SERIES), 300_000)
+    at = sorted(r.timestamp_ms for r in picks.collect())
+    want = [0]
+    while want[-1] + 300_000 <= 199_999 * 432:
+        want.append(-(-(want[-1] + 300_000) // 432) * 432)
+    assert at == want
+    plan = picks._jdf.queryExecution().executedPlan().toString()
+    assert "place" in plan and "CartesianProduct" not in plan
+
+
 def test_documented_levels(spark):
     df = spark.createDataFrame([(*KEY, i, i, u) for i, u in enumerate((0.55, 0.45, 0.35))], SCHEMA)
     got = levels.level_hysteresis(df).orderBy("seq").collect()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlake.operators import chunks
-from tierlake.schemas import LEVELS, SERIES
+from tierlake.schemas import HOUR_MS, LEVELS, SERIES
 
 
 @dataclass(frozen=True)
@@ -31,81 +31,143 @@ def _name(code: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in LEVELS]), code + 1)
 
 
-def _spaced(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None) -> DataFrame:
-    """Add _eval: samples taken in order, each at least cooldown_ms after the one taken before.
+# Samples with a third of all rows in one series still meet in groups of one slice: a slice is some cooldowns long, and
+# at least an hour, so that a series with few samples is not cut into more slices than samples.
+SLICE_COOLDOWNS = 16
+# Slices whose step functions are composed together, and runs of slices again.
+RUN = 64
 
-    Which samples of a chunk are taken depends only on the first one taken,
-    and that lies within a cooldown of the first sample of the chunk, or is
-    the next one after it.  Each chunk reports where every such start would
-    end; walking these reports per series gives the true start of each chunk.
+
+def _applied(allowed: np.ndarray, starts: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Earliest time of the next evaluation after a slice, from the earliest time allowed before it.
+
+    A slice is a step function: the first sample that may be evaluated is the first of `starts` at or after the allowed
+    time, and `after` is the allowed time that this leads to at the slice's end. Beyond all starts nothing changes.
+    """
+    place = np.searchsorted(starts, allowed, side="left")
+    return np.where(place < len(starts), after[np.minimum(place, len(starts) - 1)], allowed)
+
+
+def _steps(starts: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same step function; of the starts that lead to one time, the last says it all."""
+    last = np.append(after[1:] != after[:-1], True)
+    return starts[last], after[last]
+
+
+def _slice_function(times: np.ndarray, cooldown_ms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a slice with these distinct, ascending times, by pointer doubling.
+
+    Each sample points to the next one at least a cooldown later; pointers are squared until all lead to the last
+    sample of their chain. A chain can only begin within a cooldown of the first sample, or with the next one after.
     """
-    group = [*keys, chunks.CHUNK]
+    following = np.searchsorted(times, times + cooldown_ms, side="left")
+    end = np.where(following < len(times), following, np.arange(len(times)))
+    while True:
+        further = end[end]
+        if np.array_equal(further, end):
+            break
+        end = further
+    first = int(following[0]) + 1
+    return _steps(times[:first], times[end[:first]] + cooldown_ms)
+
+
+def _chain(times: np.ndarray, cooldown_ms: int, allowed: int) -> np.ndarray:
+    """The samples of a slice that are evaluated, by tables of 2^k jumps."""
+    none = len(times)
+    jump = np.append(np.searchsorted(times, times + cooldown_ms, side="left"), none)
+    taken = np.array([np.searchsorted(times, allowed, side="left")])
+    while taken[-1] < none:
+        taken = np.concatenate([taken, jump[taken]])
+        jump = jump[jump]
+    return times[taken[taken < none]]
+
+
+def cooldown_picks(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None = None) -> DataFrame:
+    """`keys, timestamp_ms` of the evaluations: in each series the first sample, and then each first one a cooldown later.
+
+    Series are cut into slices. Each slice becomes a step function, and the functions of RUN slices, and of RUN such
+    runs, are composed; a series walks over the outermost runs only, and the entry of each run is handed down to its
+    slices, which then follow their own chain. carry has `keys, last_check_ms`. Null keys are keys like others; samples
+    without a time are left out.
+    """
+    width = max(SLICE_COOLDOWNS * cooldown_ms, HOUR_MS)
     types = dict(rows.dtypes)
-    head = ", ".join(f"{c} {types[c]}" for c in group)
-
-    def follow(times: np.ndarray) -> np.ndarray:
-        return np.searchsorted(times, times + cooldown_ms, side="left")
-
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["timestamp_ms"].to_numpy())
-        following = follow(times)
-        size = len(times)
-        end = np.where(following < size, following, np.arange(size))
-        while True:
-            further = end[end]
-            if np.array_equal(further, end):
-                break
-            end = further
-        starts = int(np.searchsorted(times, times[0] + cooldown_ms, side="left")) + 1
-        begin, end = times[:starts], times[end[:starts]]
-        # Ends rise with the starts: of the starts with one end, the last says it all.
-        last = np.append(end[1:] != end[:-1], True)
-        out = {c: [pdf[c].iloc[0]] for c in group}
-        return pd.DataFrame({**out, "starts": [begin[last]], "ends": [end[last]]})
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(chunks.CHUNK)
-        taken, entries = None, []
-        for starts, ends in zip(pdf["starts"], pdf["ends"]):
-            entries.append(taken)
-            place = 0 if taken is None else int(np.searchsorted(starts, taken + cooldown_ms, side="left"))
-            if place < len(starts):
-                taken = int(ends[place])
-        return pdf[group].assign(_entry=pd.array(entries, dtype="Int64"))
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["timestamp_ms", "seq"]).sort_values(["timestamp_ms", "seq"], kind="stable")
-        times = pdf["timestamp_ms"].to_numpy()
-        following = follow(times)
-        entry = pdf["_entry"].iloc[0]
-        taken = np.zeros(len(times), dtype=bool)
-        place = 0 if pd.isna(entry) else int(np.searchsorted(times, entry + cooldown_ms, side="left"))
-        while place < len(times):
-            taken[place] = True
-            place = int(following[place])
-        return pdf[[*group, "timestamp_ms", "seq"]].assign(_eval=taken)
-
-    reports = rows.select(*group, "timestamp_ms").groupBy(*group).applyInPandas(
-        report, f"{head}, starts array<bigint>, ends array<bigint>"
+    head = ", ".join(f"{c} {types[c]}" for c in keys)
+    function = f"{head}, place bigint, starts array<bigint>, after array<bigint>"
+    entry = f"{head}, place bigint, allowed bigint"
+    never = np.iinfo(np.int64).min
+
+    def row(pdf: pd.DataFrame, **values) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, **{c: [v] for c, v in values.items()}})
+
+    def sliced(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts, after = _slice_function(np.unique(pdf["timestamp_ms"].to_numpy()), cooldown_ms)
+        return row(pdf, place=pdf["place"].iloc[0], starts=starts, after=after)
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        starts, after = pdf["starts"].iloc[0], pdf["after"].iloc[0]
+        for s, a in zip(pdf["starts"].iloc[1:], pdf["after"].iloc[1:]):
+            later = s > starts[-1]
+            starts, after = _steps(np.concatenate([starts, s[later]]), np.concatenate([_applied(after, s, a), a[later]]))
+        return row(pdf, place=pdf["place"].iloc[0] // RUN, starts=starts, after=after)
+
+    def walked(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        """The entry of each function of a run, from that of the run."""
+        pdf = pdf.sort_values("place")
+        allowed, entries = int(first["allowed"].iloc[0]) if len(first) else never, []
+        for starts, after in zip(pdf["starts"], pdf["after"]):
+            entries.append(allowed)
+            allowed = int(_applied(np.array([allowed]), starts, after)[0])
+        return pdf[[*keys, "place"]].assign(allowed=np.array(entries, dtype=np.int64))
+
+    def marked(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in [*keys, "timestamp_ms"]})
+        taken = _chain(np.unique(pdf["timestamp_ms"].to_numpy()), cooldown_ms, int(first["allowed"].iloc[0]))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(taken) for c in keys}, "timestamp_ms": taken})
+
+    def down(children: DataFrame, parents: DataFrame, by: Column) -> DataFrame:
+        group = by.alias("_run")
+        return (
+            children.groupBy(*keys, group)
+            .cogroup(parents.groupBy(*keys, F.col("place").alias("_run")))
+            .applyInPandas(lambda c, p: walked(c, p) if len(c) else pd.DataFrame({n: [] for n in [*keys, "place", "allowed"]}), entry)
+        )
+
+    run = F.floor(F.col("place") / RUN)
+    times = rows.where("timestamp_ms IS NOT NULL").select(
+        *keys, "timestamp_ms", F.floor(F.col("timestamp_ms") / width).alias("place")
     )
-    if carry is not None:
-        before = carry.where(F.col("last_check_ms").isNotNull()).select(
-            *keys,
-            F.lit(-1).cast("bigint").alias(chunks.CHUNK),
-            F.array("last_check_ms").alias("starts"),
-            F.array("last_check_ms").alias("ends"),
+    slices = times.groupBy(*keys, "place").applyInPandas(sliced, function)
+    runs = slices.groupBy(*keys, run.alias("_run")).applyInPandas(composed, function)
+    outer = runs.groupBy(*keys, run.alias("_run")).applyInPandas(composed, function)
+    if carry is None:
+        begun = rows.sparkSession.createDataFrame([], entry)
+    else:
+        begun = carry.where("last_check_ms IS NOT NULL").select(
+            *keys, F.lit(0).cast("bigint").alias("place"), (F.col("last_check_ms") + cooldown_ms).alias("allowed")
         )
-        reports = reports.unionByName(before)
-    entries = reports.groupBy(*keys).applyInPandas(walk, f"{head}, _entry bigint")
-    order = ["timestamp_ms", "seq"]
-    place = ", ".join(f"{c} {types[c]}" for c in [*group, *order])
-    # Only keys and order go to Python.
-    marked = (
-        chunks.with_carry(rows.select(*group, *order), entries, keys)
-        .groupBy(*group)
-        .applyInPandas(mark, f"{place}, _eval boolean")
+    entries = down(outer, begun, F.lit(0).cast("bigint"))
+    for inner in (runs, slices):
+        entries = down(inner, entries, run)
+    return (
+        times.groupBy(*keys, "place")
+        .cogroup(entries.groupBy(*keys, "place"))
+        .applyInPandas(marked, f"{head}, timestamp_ms bigint")
     )
-    return rows.join(marked, [*group, *order])
+
+
+def _spaced(rows: DataFrame, picks: DataFrame, chunk_ms: int, key: str) -> DataFrame:
+    """Add _eval: the first sample at each picked time.
+
+    A pick joins the samples as a mark of its own, which sorts right before them, so the sort that follows the series
+    finds them without a join.
+    """
+    marks = chunks.with_chunk(picks, "timestamp_ms", chunk_ms).withColumn("_real", F.lit(0))
+    both = rows.withColumn("_real", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    picked = F.lag("_real").over(chunks.inside([key], "timestamp_ms", "_real", "seq")) == 0
+    return both.withColumn("_eval", F.coalesce(picked, F.lit(False))).where("_real = 1")
 
 
 def _from_level(start: int, steps: list[Column]) -> Column:
@@ -133,13 +195,41 @@ def level_hysteresis(
     current level minus the hysteresis.  With a cooldown, samples closer than
     that to the last evaluated one leave the level as it is.  carry holds the
     level (and last_check_ms) at the end of earlier days or batches.
+
+    All rows come back.  A null key is a key, a null seq comes first among
+    samples of one time, and of rows that repeat one is evaluated under a
+    cooldown.  Samples without a time come before all others; under a cooldown
+    they are not evaluated.
     """
+    # As one struct, null keys are keys like others in joins too.
+    key, order = "_key", ["timestamp_ms", "seq"]
+    whole = F.struct(*keys).alias(key)
     points = df.select(*keys, "timestamp_ms", "seq", F.col(ratio).cast("double").alias("ratio"))
-    rows = chunks.with_chunk(points, "timestamp_ms", chunk_ms)
+    rows = chunks.with_chunk(points.select(whole, "timestamp_ms", "seq", "ratio"), "timestamp_ms", chunk_ms)
+    rows = rows.withColumn(chunks.CHUNK, F.coalesce(chunks.CHUNK, F.lit(NO_TIME // chunk_ms * chunk_ms)))
     if cooldown_ms > 0:
-        rows = _spaced(rows, keys, cooldown_ms, carry)
+        picks = cooldown_picks(points.select(*keys, "timestamp_ms"), keys, cooldown_ms, carry)
+        rows = _spaced(rows, picks.select(whole, "timestamp_ms"), chunk_ms, key)
+        order = ["timestamp_ms", "_real", "seq"]
     else:
         rows = rows.withColumn("_eval", F.lit(True))
+    return _levels(rows, key, order, rule, chunk_ms, None if carry is None else carry.select(whole, "level"))
+
+
+def _levels(rows: DataFrame, key: str, order: list[str], rule: LevelRule, chunk_ms: int, carry: DataFrame | None) -> DataFrame:
+    """Levels of chunked rows (key, timestamp_ms, seq, ratio, _eval)."""
+    rows = _stepped(rows, key, order, rule)
+    level = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("level")).cast("int") - 1
+    first = None if carry is None else carry.select(key, level.alias("_first"))
+    return _finished(rows, _entry_levels(_exits(rows, key), [key], chunk_ms, first), key, order)
+
+
+# Stands for the time of samples without one: they make the first chunk of their series.
+NO_TIME = -(1 << 52)
+
+
+def _stepped(rows: DataFrame, key: str, order: list[str], rule: LevelRule) -> DataFrame:
+    """Add _x0 to _x3: the level of each row for each level the chunk might begin with."""
     u = F.col("ratio")
     taken = F.col("_eval") & u.isNotNull()
     forced = F.when(taken & (u >= rule.emergency), 3).when(taken & (u >= rule.critical), 2).when(
@@ -149,11 +239,11 @@ def level_hysteresis(
     def fell(threshold: float) -> Column:
         return F.when(taken & (u < rule.warning) & (u < threshold - rule.hysteresis), 1).otherwise(0)
 
-    ordered = chunks.inside(keys, "timestamp_ms", "seq")
+    ordered = chunks.inside([key], *order)
     so_far = chunks.running(ordered)
     rows = rows.withColumns(
         {"_a": fell(rule.emergency), "_b": fell(rule.critical), "_c": fell(rule.warning), "_forced": forced}
-    ).withColumn("_from", F.last("_forced", ignorenulls=True).over(so_far))
+    ).withColumns({"_from": F.last("_forced", ignorenulls=True).over(so_far), "_n": F.row_number().over(ordered)})
 
     def counted(rows: DataFrame, **flags: str) -> DataFrame:
         """Count flags since the latest forced sample, in the one order that all windows here share."""
@@ -187,27 +277,31 @@ def level_hysteresis(
     def level_from(start: Column) -> Column:
         return F.when(start == 1, reached[1]).when(start == 2, reached[2]).when(start == 3, reached[3]).otherwise(0)
 
-    # Level of each row for each level the chunk might begin with.
     known = F.when(F.col("_from").isNotNull(), level_from(F.col("_from")))
-    rows = rows.withColumns({f"_x{s}": F.coalesce(known, x) for s, x in reached.items()})
-    exits = F.array(*[F.col(f"_x{s}") for s in range(4)])
-    summary = rows.groupBy(*keys, chunks.CHUNK).agg(
-        F.max_by(exits, F.struct("timestamp_ms", "seq")).alias("_exits")
-    )
-    first = None
-    if carry is not None:
-        level = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("level")).cast("int") - 1
-        first = carry.select(*keys, level.alias("_first"))
-    entry = _entry_levels(summary, keys, chunk_ms, first)
-    joined = chunks.with_carry(rows, entry, keys)
-    joined = joined.withColumn("_level", F.element_at(exits, F.col("_entry_level") + 1))
+    return rows.withColumns({f"_x{s}": F.coalesce(known, x) for s, x in reached.items()})
+
+
+def _reached() -> Column:
+    return F.array(*[F.col(f"_x{s}") for s in range(4)])
+
+
+def _exits(rows: DataFrame, key: str) -> DataFrame:
+    """The exit level of each chunk for each entry level."""
+    return rows.groupBy(key, chunks.CHUNK).agg(F.max_by(_reached(), "_n").alias("_exits"))
+
+
+def _finished(rows: DataFrame, entry: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The levels of the rows, given the entry level of each chunk."""
+    joined = chunks.with_carry(rows, entry, [key])
+    joined = joined.withColumn("_level", F.element_at(_reached(), F.col("_entry_level") + 1))
+    before = F.lag("_level").over(chunks.inside([key], *order))
     return joined.select(
-        *keys,
+        f"{key}.*",
         "timestamp_ms",
         "seq",
         "ratio",
         F.col("_eval").alias("evaluated"),
-        _name(F.coalesce(F.lag("_level").over(ordered), F.col("_entry_level"))).alias("previous"),
+        _name(F.coalesce(before, F.col("_entry_level"))).alias("previous"),
         _name(F.col("_level")).alias("level"),
     )
 
