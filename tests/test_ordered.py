@@ -230,7 +230,7 @@ def test_step_functions(cooldown):
         for part in cut:
             # A chain begins within a cooldown of the first sample, or with the next sample after that.
             found += list(levels._chain(part, cooldown, after))
-            after = int(levels._applied(np.array([after]), *levels._slice_function(part, cooldown))[0])
+            after = int(levels.step_applied(np.array([after]), *levels._slice_function(part, cooldown))[0])
         if allowed <= times[0] + cooldown:
             assert found == walked and after == now
 

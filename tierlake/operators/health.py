@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,21 @@ def health_of(failures: Column, down_after: int = 3) -> Column:
 
 
 def health_timeline(
-    samples: DataFrame, down_after: int = 3, carry: DataFrame | None = None, chunk_ms: int = chunks.CHUNK_MS
+    samples: DataFrame,
+    down_after: int = 3,
+    carry: DataFrame | None = None,
+    chunk_ms: int = chunks.CHUNK_MS,
+    enter: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """State of each series after every poll, and before it.
 
     A good poll gives up and ends the run of failures; a failure gives
     degraded, and down from the down_after-th in a row.  carry holds the
-    state of earlier days or batches as health_current returns it.
+    state of earlier days or batches as health_current returns it.  In its
+    place, enter may hold the state of a series: it gets what its chunks do
+    (series, _chunk, _n failures, _m failures up to the latest success, _s and
+    _f latest success and failure, polled and error of the latest poll), and
+    returns the state before each (_open failures, _cs, _cf).
     """
     polls = samples.select(*SERIES, "timestamp_ms", "seq", "valid", "error")
     rows = chunks.with_chunk(polls, "timestamp_ms", chunk_ms)
@@ -55,12 +65,37 @@ def health_timeline(
             "_prev_fails": F.when(~F.col("_first"), F.col("_fails") - F.when(good, 0).otherwise(1)),
         }
     )
-    summary = local.groupBy(*SERIES, chunks.CHUNK).agg(
-        F.max("_fails").alias("_n"),
-        F.max("_mark").alias("_m"),
-        F.max("_success").alias("_s"),
-        F.max("_failure").alias("_f"),
+    done = [F.max(c).alias(n) for c, n in (("_fails", "_n"), ("_mark", "_m"), ("_success", "_s"), ("_failure", "_f"))]
+    if enter is not None:
+        text = F.when(good, "").otherwise(F.coalesce("error", F.lit("")))
+        newest = [F.max("timestamp_ms").alias("polled"), F.max_by(text, F.struct("timestamp_ms", "seq")).alias("error")]
+        carried = enter(local.groupBy(*SERIES, chunks.CHUNK).agg(*done, *newest))
+    else:
+        carried = _carried(local.groupBy(*SERIES, chunks.CHUNK).agg(*done), carry)
+    joined = chunks.with_carry(local, carried, SERIES)
+    open_run = F.coalesce("_open", F.lit(0))
+    run = F.when(F.col("_mark").isNotNull(), F.col("_fails") - F.col("_mark")).otherwise(F.col("_fails") + open_run)
+    run_before = (
+        F.when(F.col("_prev_mark").isNotNull(), F.col("_prev_fails") - F.col("_prev_mark"))
+        .when(F.col("_prev_fails").isNotNull(), F.col("_prev_fails") + open_run)
+        .otherwise(F.col("_open"))
+    )
+    return joined.select(
+        *SERIES,
+        "timestamp_ms",
+        "seq",
+        "valid",
+        health_of(run_before, down_after).alias("previous"),
+        health_of(run, down_after).alias("health"),
+        run.alias("consecutive_failures"),
+        F.when(F.col("valid"), "").otherwise(F.coalesce("error", F.lit(""))).alias("last_error"),
+        F.coalesce("_success", "_cs").alias("last_success_at"),
+        F.coalesce("_failure", "_cf").alias("last_failure_at"),
     )
+
+
+def _carried(summary: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """The state of each series before each of its chunks."""
     if carry is not None:
         earlier = carry.where(F.col("last_poll_at").isNotNull()).select(
             *SERIES,
@@ -72,7 +107,7 @@ def health_timeline(
         )
         summary = summary.unionByName(earlier)
     past = chunks.earlier_chunks(SERIES)
-    carried = (
+    return (
         summary.withColumn("_total", F.sum("_n").over(past))
         .withColumn("_abs", F.coalesce("_total", F.lit(0)) + F.col("_m"))
         .select(
@@ -84,26 +119,6 @@ def health_timeline(
             F.max("_f").over(past).alias("_cf"),
         )
     )
-    joined = chunks.with_carry(local, carried, SERIES)
-    open_run = F.coalesce("_open", F.lit(0))
-    run = F.when(F.col("_mark").isNotNull(), F.col("_fails") - F.col("_mark")).otherwise(F.col("_fails") + open_run)
-    run_before = (
-        F.when(F.col("_prev_mark").isNotNull(), F.col("_prev_fails") - F.col("_prev_mark"))
-        .when(F.col("_prev_fails").isNotNull(), F.col("_prev_fails") + open_run)
-        .otherwise(F.col("_open"))
-    )
-    return joined.select(
-        *SERIES,
-        "timestamp_ms",
-        "seq",
-        "valid",
-        health_of(run_before, down_after).alias("previous"),
-        health_of(run, down_after).alias("health"),
-        run.alias("consecutive_failures"),
-        F.when(F.col("valid"), "").otherwise(F.coalesce("error", F.lit(""))).alias("last_error"),
-        F.coalesce("_success", "_cs").alias("last_success_at"),
-        F.coalesce("_failure", "_cf").alias("last_failure_at"),
-    )
 
 
 def final_state(timeline: DataFrame) -> DataFrame:

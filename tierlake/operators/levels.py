@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,10 @@ from tierlake.operators import chunks
 from tierlake.schemas import HOUR_MS, LEVELS, SERIES
 
 
+#: Gives each row of a summary the state that its series has before it.
+Enter = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class LevelRule:
     """Thresholds of the four levels; a level is left downwards only below its threshold minus hysteresis."""
@@ -38,7 +43,7 @@ SLICE_COOLDOWNS = 16
 RUN = 64
 
 
-def _applied(allowed: np.ndarray, starts: np.ndarray, after: np.ndarray) -> np.ndarray:
+def step_applied(allowed: np.ndarray, starts: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Earliest time of the next evaluation after a slice, from the earliest time allowed before it.
 
     A slice is a step function: the first sample that may be evaluated is the first of `starts` at or after the allowed
@@ -82,13 +87,16 @@ def _chain(times: np.ndarray, cooldown_ms: int, allowed: int) -> np.ndarray:
     return times[taken[taken < none]]
 
 
-def cooldown_picks(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None = None) -> DataFrame:
+def cooldown_picks(
+    rows: DataFrame, keys: list[str], cooldown_ms: int, carry: DataFrame | None = None, enter: Enter | None = None
+) -> DataFrame:
     """`keys, timestamp_ms` of the evaluations: in each series the first sample, and then each first one a cooldown later.
 
     Series are cut into slices. Each slice becomes a step function, and the functions of RUN slices, and of RUN such
     runs, are composed; a series walks over the outermost runs only, and the entry of each run is handed down to its
-    slices, which then follow their own chain. carry has `keys, last_check_ms`. Null keys are keys like others; samples
-    without a time are left out.
+    slices, which then follow their own chain. carry has `keys, last_check_ms`; or enter walks over the outermost runs
+    (`keys, place, starts, after`) with a state of its own, and returns `keys, place, allowed`. Null keys are keys like
+    others; samples without a time are left out.
     """
     width = max(SLICE_COOLDOWNS * cooldown_ms, HOUR_MS)
     types = dict(rows.dtypes)
@@ -97,8 +105,15 @@ def cooldown_picks(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: Da
     entry = f"{head}, place bigint, allowed bigint"
     never = np.iinfo(np.int64).min
 
+    def same(pdf: pd.DataFrame, size: int, **values) -> pd.DataFrame:
+        """Rows of the series that pdf is of."""
+        return pd.DataFrame({**{c: pd.Series([pdf[c].iloc[0]] * size, dtype=object) for c in keys}, **values})
+
+    def nothing(*columns: str) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in [*keys, *columns]})
+
     def row(pdf: pd.DataFrame, **values) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, **{c: [v] for c, v in values.items()}})
+        return same(pdf, 1, **{c: [v] for c, v in values.items()})
 
     def sliced(pdf: pd.DataFrame) -> pd.DataFrame:
         starts, after = _slice_function(np.unique(pdf["timestamp_ms"].to_numpy()), cooldown_ms)
@@ -109,7 +124,7 @@ def cooldown_picks(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: Da
         starts, after = pdf["starts"].iloc[0], pdf["after"].iloc[0]
         for s, a in zip(pdf["starts"].iloc[1:], pdf["after"].iloc[1:]):
             later = s > starts[-1]
-            starts, after = _steps(np.concatenate([starts, s[later]]), np.concatenate([_applied(after, s, a), a[later]]))
+            starts, after = _steps(np.concatenate([starts, s[later]]), np.concatenate([step_applied(after, s, a), a[later]]))
         return row(pdf, place=pdf["place"].iloc[0] // RUN, starts=starts, after=after)
 
     def walked(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
@@ -118,21 +133,21 @@ def cooldown_picks(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: Da
         allowed, entries = int(first["allowed"].iloc[0]) if len(first) else never, []
         for starts, after in zip(pdf["starts"], pdf["after"]):
             entries.append(allowed)
-            allowed = int(_applied(np.array([allowed]), starts, after)[0])
-        return pdf[[*keys, "place"]].assign(allowed=np.array(entries, dtype=np.int64))
+            allowed = int(step_applied(np.array([allowed]), starts, after)[0])
+        return same(pdf, len(pdf), place=pdf["place"].to_numpy(), allowed=np.array(entries, dtype=np.int64))
 
     def marked(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in [*keys, "timestamp_ms"]})
+            return nothing("timestamp_ms")
         taken = _chain(np.unique(pdf["timestamp_ms"].to_numpy()), cooldown_ms, int(first["allowed"].iloc[0]))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(taken) for c in keys}, "timestamp_ms": taken})
+        return same(pdf, len(taken), timestamp_ms=taken)
 
     def down(children: DataFrame, parents: DataFrame, by: Column) -> DataFrame:
         group = by.alias("_run")
         return (
             children.groupBy(*keys, group)
             .cogroup(parents.groupBy(*keys, F.col("place").alias("_run")))
-            .applyInPandas(lambda c, p: walked(c, p) if len(c) else pd.DataFrame({n: [] for n in [*keys, "place", "allowed"]}), entry)
+            .applyInPandas(lambda c, p: walked(c, p) if len(c) else nothing("place", "allowed"), entry)
         )
 
     run = F.floor(F.col("place") / RUN)
@@ -142,13 +157,15 @@ def cooldown_picks(rows: DataFrame, keys: list[str], cooldown_ms: int, carry: Da
     slices = times.groupBy(*keys, "place").applyInPandas(sliced, function)
     runs = slices.groupBy(*keys, run.alias("_run")).applyInPandas(composed, function)
     outer = runs.groupBy(*keys, run.alias("_run")).applyInPandas(composed, function)
-    if carry is None:
-        begun = rows.sparkSession.createDataFrame([], entry)
+    if enter is not None:
+        entries = enter(outer)
     else:
-        begun = carry.where("last_check_ms IS NOT NULL").select(
-            *keys, F.lit(0).cast("bigint").alias("place"), (F.col("last_check_ms") + cooldown_ms).alias("allowed")
-        )
-    entries = down(outer, begun, F.lit(0).cast("bigint"))
+        begun = rows.sparkSession.createDataFrame([], entry)
+        if carry is not None:
+            begun = carry.where("last_check_ms IS NOT NULL").select(
+                *keys, F.lit(0).cast("bigint").alias("place"), (F.col("last_check_ms") + cooldown_ms).alias("allowed")
+            )
+        entries = down(outer, begun, F.lit(0).cast("bigint"))
     for inner in (runs, slices):
         entries = down(inner, entries, run)
     return (
@@ -186,6 +203,8 @@ def level_hysteresis(
     cooldown_ms: int = 0,
     carry: DataFrame | None = None,
     chunk_ms: int = chunks.CHUNK_MS,
+    enter_allowed: Enter | None = None,
+    enter_level: Enter | None = None,
 ) -> DataFrame:
     """Level of every sample (keys, timestamp_ms, seq, ratio), and the level before it.
 
@@ -194,7 +213,10 @@ def level_hysteresis(
     step per sample, and only when the ratio is under the threshold of the
     current level minus the hysteresis.  With a cooldown, samples closer than
     that to the last evaluated one leave the level as it is.  carry holds the
-    level (and last_check_ms) at the end of earlier days or batches.
+    level (and last_check_ms) at the end of earlier days or batches.  In its
+    place, enter_allowed and enter_level may hold the state of a series: they
+    get its outermost step functions (see cooldown_picks), and the exit levels
+    of its chunks (keys, _chunk, _exits), and return the entry of each.
 
     All rows come back.  A null key is a key, a null seq comes first among
     samples of one time, and of rows that repeat one is evaluated under a
@@ -208,20 +230,22 @@ def level_hysteresis(
     rows = chunks.with_chunk(points.select(whole, "timestamp_ms", "seq", "ratio"), "timestamp_ms", chunk_ms)
     rows = rows.withColumn(chunks.CHUNK, F.coalesce(chunks.CHUNK, F.lit(NO_TIME // chunk_ms * chunk_ms)))
     if cooldown_ms > 0:
-        picks = cooldown_picks(points.select(*keys, "timestamp_ms"), keys, cooldown_ms, carry)
+        picks = cooldown_picks(points.select(*keys, "timestamp_ms"), keys, cooldown_ms, carry, enter_allowed)
         rows = _spaced(rows, picks.select(whole, "timestamp_ms"), chunk_ms, key)
         order = ["timestamp_ms", "_real", "seq"]
     else:
         rows = rows.withColumn("_eval", F.lit(True))
-    return _levels(rows, key, order, rule, chunk_ms, None if carry is None else carry.select(whole, "level"))
-
-
-def _levels(rows: DataFrame, key: str, order: list[str], rule: LevelRule, chunk_ms: int, carry: DataFrame | None) -> DataFrame:
-    """Levels of chunked rows (key, timestamp_ms, seq, ratio, _eval)."""
     rows = _stepped(rows, key, order, rule)
-    level = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("level")).cast("int") - 1
-    first = None if carry is None else carry.select(key, level.alias("_first"))
-    return _finished(rows, _entry_levels(_exits(rows, key), [key], chunk_ms, first), key, order)
+    exits = _exits(rows, key)
+    if enter_level is not None:
+        entry = enter_level(exits.select(f"{key}.*", chunks.CHUNK, "_exits")).select(whole, chunks.CHUNK, "_entry_level")
+    else:
+        first = None
+        if carry is not None:
+            level = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("level")).cast("int") - 1
+            first = carry.select(whole, level.alias("_first"))
+        entry = _entry_levels(exits, [key], chunk_ms, first)
+    return _finished(rows, entry, key, order)
 
 
 # Stands for the time of samples without one: they make the first chunk of their series.
@@ -293,7 +317,7 @@ def _exits(rows: DataFrame, key: str) -> DataFrame:
 def _finished(rows: DataFrame, entry: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The levels of the rows, given the entry level of each chunk."""
     joined = chunks.with_carry(rows, entry, [key])
-    joined = joined.withColumn("_level", F.element_at(_reached(), F.col("_entry_level") + 1))
+    joined = joined.withColumn("_level", F.element_at(_reached(), F.col("_entry_level").cast("int") + 1))
     before = F.lag("_level").over(chunks.inside([key], *order))
     return joined.select(
         f"{key}.*",
@@ -301,7 +325,7 @@ def _finished(rows: DataFrame, entry: DataFrame, key: str, order: list[str]) ->
         "seq",
         "ratio",
         F.col("_eval").alias("evaluated"),
-        _name(F.coalesce(before, F.col("_entry_level"))).alias("previous"),
+        _name(F.coalesce(before, F.col("_entry_level").cast("int"))).alias("previous"),
         _name(F.col("_level")).alias("level"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,18 @@ from tierlake.schemas import SERIES
 
 
 def arrival_lateness(
-    arrivals: DataFrame, tier: str = "5min", carry: DataFrame | None = None, chunk_ms: int = chunks.CHUNK_MS
+    arrivals: DataFrame,
+    tier: str = "5min",
+    carry: DataFrame | None = None,
+    chunk_ms: int = chunks.CHUNK_MS,
+    enter: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """For every sample, the newest bucket its series had reached when it arrived.
 
     arrivals carries arrival_ms; samples are taken in order of arrival_ms and
-    seq.  carry holds newest_bucket per series of earlier batches.
+    seq.  carry holds newest_bucket per series of earlier batches.  In its
+    place, enter may hold the state of a series: it gets the _newest bucket of
+    each chunk, and returns that of all chunks before it as _carry.
     """
     rows = chunks.with_chunk(arrivals, "arrival_ms", chunk_ms)
     rows = rows.withColumn("bucket_start", bucket_start("timestamp_ms", tier))
@@ -29,9 +37,8 @@ def arrival_lateness(
                 *SERIES, F.lit(-1).cast("bigint").alias(chunks.CHUNK), F.col("newest_bucket").alias("_newest")
             )
         )
-    carried = summary.select(
-        *SERIES, chunks.CHUNK, F.max("_newest").over(chunks.earlier_chunks(SERIES)).alias("_carry")
-    )
+    newest_before = F.max("_newest").over(chunks.earlier_chunks(SERIES)).alias("_carry")
+    carried = summary.select(*SERIES, chunks.CHUNK, newest_before) if enter is None else enter(summary)
     joined = chunks.with_carry(rows.withColumn("_here", F.max("bucket_start").over(before)), carried, SERIES)
     newest = F.greatest("_here", "_carry")
     return joined.withColumn("newest_before", newest).drop("_here", "_carry", chunks.CHUNK)

@@ -128,7 +128,7 @@ def stream_health(spark, sf):
 @query("stream_poller_stats", sql("SELECT * FROM stats", "stats"))
 def stream_poller_stats(spark, sf):
     path = drain(spark, sf, "customer", lambda s, out, checkpoint: streams.stream_poller_stats(s, out, checkpoint))
-    return streams.BatchState(f"{path}/snapshot", streams.STATS_STATE).newest(spark, store.SLICES - 1)
+    return streams.Changes(f"{path}/snapshot", streams.STATS_STATE).newest(spark, store.SLICES - 1)
 
 
 @query("stream_fanout", sql(FANOUT_SQL, "csamples", "subs"))

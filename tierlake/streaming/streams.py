@@ -2,10 +2,9 @@
 
 Windowed and running aggregates use the state of Structured Streaming.  The
 operators that need the order of a series run their batch form on every
-micro-batch and carry one row per series from batch to batch, so a hot
-series is cut into chunks here as well.  Each batch reads the state written
-by the batch before it and writes its own under its own number: a batch that
-runs again after a failure reads and writes the same.
+micro-batch, which cuts a hot series into chunks here as well, and find the
+state that a series had before the batch in a keyed state store (see
+keyed.py).  A batch that runs again after a failure reads and writes the same.
 """
 
 from __future__ import annotations
@@ -17,16 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierlake.functions.buckets import utc_date
-from tierlake.operators.health import STATE, final_state, health_timeline, keep_unseen
-from tierlake.operators.levels import LevelRule, level_final, level_hysteresis
+from tierlake.operators.health import health_of, health_timeline
+from tierlake.operators.levels import LevelRule, level_hysteresis
 from tierlake.operators.live import arrival_lateness, fanout, is_late
-from tierlake.operators.rollup import measures, numeric, rollup_samples
+from tierlake.operators.rollup import measures, numeric
 from tierlake.operators.stats import counted, average_poll_ms
 from tierlake.schemas import SAMPLES, SERIES, TIERS
 from tierlake.session import remove_path
+from tierlake.streaming.keyed import AllowedState, HealthState, Keyed, LevelState, NewestState
 
-# States kept behind the newest one; a failed batch needs only the one before it.
-KEPT_STATES = 3
 WATERMARK = "10 minutes"
 
 
@@ -75,39 +73,64 @@ def stream_rollup(
     return _start(writer, checkpoint, interval)
 
 
-def with_open_buckets(emitted: DataFrame, samples: DataFrame, tier: str = "5min") -> DataFrame:
-    """Emitted buckets and, computed from the samples, those that were still open when the stream stopped."""
-    keys = [*SERIES, "bucket_start"]
-    whole = rollup_samples(samples, tier)
-    opened = whole.join(emitted.select(*keys), keys, "left_anti")
-    return emitted.select(whole.columns).unionByName(opened)
+# Folders of changes that are merged into one.
+MERGED = 8
 
 
-class BatchState:
-    """State of a stream in numbered folders, one per micro-batch."""
+class Changes:
+    """The newest row of each key, kept as the rows that batches changed.
 
-    def __init__(self, root: str, schema: str):
-        self.root, self.schema = root, schema
+    A batch writes its changed rows only. Eight folders of batches are merged into one, eight of these into one again, and
+    so on: a row is written once for each of these levels, however many keys there are that do not change. What a merge
+    read is removed by the batch after it, so that a batch can run again.
+    """
 
-    def path(self, batch_id: int) -> str:
-        return f"{self.root}/batch-{batch_id:012d}"
+    def __init__(self, root: str, schema: str, keys: list[str] = SERIES):
+        self.root, self.schema, self.keys = root, schema, keys
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """State left by the batch before; empty for the first one."""
-        if batch_id == 0:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(self.path(batch_id - 1))
+    def _folder(self, level: int, at: int) -> str:
+        return f"{self.root}/{level}/{at:012d}"
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.select(self.columns()).write.mode("overwrite").parquet(self.path(batch_id))
-        if batch_id >= KEPT_STATES:
-            remove_path(df.sparkSession, self.path(batch_id - KEPT_STATES))
+    def _read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        return spark.read.schema(f"{self.schema}, batch bigint").parquet(*folders)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c not in self.keys]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "batch").alias("_row")).select(*self.keys, "_row.*")
+
+    def _merges(self, batch_id: int):
+        """Level and place of the folders that are complete with this batch, each from the MERGED before it."""
+        level, count = 1, batch_id + 1
+        while count % MERGED == 0:
+            count //= MERGED
+            yield level, count - 1
+            level += 1
+
+    def write(self, changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        for level, at in self._merges(batch_id - 1) if batch_id else ():
+            for k in range(at * MERGED, (at + 1) * MERGED):
+                remove_path(spark, self._folder(level - 1, k))
+        rows = changed.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        rows.select(*self.columns(), "batch").write.mode("overwrite").parquet(self._folder(0, batch_id))
+        for level, at in self._merges(batch_id):
+            merged = self._newest(self._read(spark, [self._folder(level - 1, k) for k in range(at * MERGED, (at + 1) * MERGED)]))
+            merged.write.mode("overwrite").parquet(self._folder(level, at))
 
     def columns(self) -> list[str]:
-        return [part.split()[0] for part in self.schema.split(",")]
+        return [part.split()[0] for part in self.schema.split(", ")]
+
+    def folders(self, last_batch_id: int) -> list[str]:
+        """The folders that hold the rows of all batches up to this one: the digits of their number."""
+        out, level, count = [], 0, last_batch_id + 1
+        while count:
+            out += [self._folder(level, k) for k in range(count - count % MERGED, count)]
+            level, count = level + 1, count // MERGED
+        return out
 
     def newest(self, spark: SparkSession, last_batch_id: int) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(self.path(last_batch_id))
+        """The newest row of every key."""
+        return self._newest(self._read(spark, self.folders(last_batch_id))).select(self.columns())
 
 
 def _each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None, mode: str = "append") -> StreamingQuery:
@@ -126,22 +149,34 @@ def _append(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+HEALTH_ROW = "_n bigint, _m bigint, _s bigint, _f bigint, polled bigint, error string"
+
+
 def stream_health(
     samples: DataFrame, path: str, checkpoint: str, down_after: int = 3, interval: str | None = None
 ) -> StreamingQuery:
-    """Health after every poll, to path/timeline, with the state of each series in path/state."""
-    state = BatchState(f"{path}/state", STATE)
+    """Health after every poll, to path/timeline, with the state of each series below path/state."""
+    state = Keyed(f"{path}/state", HealthState, HEALTH_ROW)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        carry = state.before(batch.sparkSession, batch_id)
-        _append(health_timeline(batch, down_after, carry), f"{path}/timeline", batch_id)
-        done = batch.sparkSession.read.parquet(f"{path}/timeline/batch={batch_id}")
-        state.write(keep_unseen(final_state(done), carry, down_after), batch_id)
+        timeline = health_timeline(batch, down_after, enter=lambda summary: state.enter(summary, batch_id))
+        _append(timeline, f"{path}/timeline", batch_id)
 
     return _each_batch(samples, work, checkpoint, interval)
 
 
-LEVEL_STATE = "namespace string, target string, poller string, level string, last_check_ms bigint"
+def streamed_health(spark: SparkSession, path: str, down_after: int = 3) -> DataFrame:
+    """The state of every series that stream_health has seen, as health_current gives it."""
+    found = Keyed(f"{path}/state", HealthState, HEALTH_ROW).states(spark)
+    return found.select(
+        *SERIES,
+        health_of(F.col("failures"), down_after).alias("health"),
+        F.col("failures").alias("consecutive_failures"),
+        F.col("error").alias("last_error"),
+        F.col("polled").alias("last_poll_at"),
+        F.col("success").alias("last_success_at"),
+        F.col("failure").alias("last_failure_at"),
+    )
 
 
 def stream_levels(
@@ -152,45 +187,38 @@ def stream_levels(
     cooldown_ms: int = 0,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Level after every sample of (series, timestamp_ms, seq, ratio), to path/levels."""
-    state = BatchState(f"{path}/state", LEVEL_STATE)
+    """Level after every sample of (series, timestamp_ms, seq, ratio), to path/levels.
+
+    The level of each series is kept below path/state, and under a cooldown the time of its next evaluation below
+    path/cooldown.
+    """
+    level = Keyed(f"{path}/state", LevelState, "_exits array<int>")
+    allowed = Keyed(f"{path}/cooldown", AllowedState, "starts array<bigint>, after array<bigint>")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        carry = state.before(batch.sparkSession, batch_id)
-        levels = level_hysteresis(batch, rule=rule, cooldown_ms=cooldown_ms, carry=carry)
-        _append(levels, f"{path}/levels", batch_id)
-        done = batch.sparkSession.read.parquet(f"{path}/levels/batch={batch_id}")
-        last = carry.select(*SERIES, F.col("last_check_ms").alias("_last"))
-        now = (
-            level_final(done)
-            .join(last, SERIES, "left")
-            .withColumn("last_check_ms", F.coalesce("last_check_ms", "_last"))
-            .drop("_last")
+        levels = level_hysteresis(
+            batch,
+            rule=rule,
+            cooldown_ms=cooldown_ms,
+            enter_allowed=lambda runs: allowed.enter(runs, batch_id, "place"),
+            enter_level=lambda exits: level.enter(exits, batch_id),
         )
-        unseen = carry.join(now.select(*SERIES), SERIES, "left_anti")
-        state.write(now.unionByName(unseen.select(now.columns)), batch_id)
+        _append(levels, f"{path}/levels", batch_id)
 
     return _each_batch(rows, work, checkpoint, interval)
 
 
-LATE_STATE = "namespace string, target string, poller string, newest_bucket bigint"
-
-
 def stream_late(
     arrivals: DataFrame, path: str, checkpoint: str, tier: str = "5min", interval: str | None = None
 ) -> StreamingQuery:
-    """Split samples by lateness: path/on_time, and path/late with the lateness."""
-    state = BatchState(f"{path}/state", LATE_STATE)
+    """Split samples by lateness: path/on_time, and path/late with the lateness; newest buckets below path/state."""
+    state = Keyed(f"{path}/state", NewestState, "_newest bigint")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        carry = state.before(batch.sparkSession, batch_id)
-        judged = arrival_lateness(batch, tier, carry)
+        judged = arrival_lateness(batch, tier, enter=lambda summary: state.enter(summary, batch_id))
         late = judged.where(is_late()).withColumn("late_by_ms", F.col("newest_before") - F.col("bucket_start"))
         _append(late, f"{path}/late", batch_id)
         _append(judged.where(~is_late()).drop("newest_before"), f"{path}/on_time", batch_id)
-        seen = judged.groupBy(*SERIES).agg(F.max("bucket_start").alias("newest_bucket"))
-        both = carry.unionByName(seen.select(carry.columns))
-        state.write(both.groupBy(*SERIES).agg(F.max("newest_bucket").alias("newest_bucket")), batch_id)
 
     return _each_batch(arrivals, work, checkpoint, interval)
 
@@ -202,16 +230,10 @@ STATS_STATE = (
 
 
 def stream_poller_stats(samples: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Running statistics: only changed series leave each batch, and replace their row in the snapshot."""
+    """Running statistics: only the series that a batch changed leave it, as the newest rows of path/snapshot."""
     running = samples.groupBy(*SERIES).agg(*counted()).withColumn("poll_ms_avg", average_poll_ms())
-    state = BatchState(f"{path}/snapshot", STATS_STATE)
-
-    def work(changed: DataFrame, batch_id: int) -> None:
-        earlier = state.before(changed.sparkSession, batch_id)
-        unchanged = earlier.join(changed.select(*SERIES), SERIES, "left_anti")
-        state.write(changed.select(state.columns()).unionByName(unchanged.select(state.columns())), batch_id)
-
-    return _each_batch(running, work, checkpoint, interval, mode="update")
+    kept = Changes(f"{path}/snapshot", STATS_STATE)
+    return _each_batch(running, kept.write, checkpoint, interval, mode="update")
 
 
 def stream_fanout(
