@@ -7,9 +7,9 @@ frequency of the phrase, the sum of the stripe of no word is the number of words
 own stripe is its most frequent extension. A stripe is cut into parts by the hash of the next word, so that a prefix
 with very many followers is no single row, group or task.
 
-A phrase can only be frequent if all shorter phrases in it are. So two passes go before the stripes: one counts all pairs
-of neighbouring words, the next all phrases of three words whose two pairs are frequent. Phrases are counted by 46 bits of
-their hash, and the frequent ones marked in a bitmap of fixed size, which goes to all tasks. What meets no mark, and any
+A phrase can only be frequent if all shorter phrases in it are. So some passes go before the stripes: one counts all pairs
+of neighbouring words, the next all phrases of three words whose two pairs are frequent, and so on. Phrases are counted by
+46 bits of their hash, and the frequent ones marked in a bitmap of fixed size, which goes to all tasks. What meets no mark, and any
 longer phrase with it, is left out of the stripes. That drops nothing that could be a candidate: phrases that share a hash
 or a bit are only let through. If marks ever filled a bitmap, the stripes would hold more rows, which the least frequency
 removes after they are added.
@@ -34,7 +34,7 @@ from tierlake.session import materialise
 _MARK = b"\xff"
 _PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", _MARK * 10)
 #: Bytes of text that a task turns into stripes at a time, and rows it hands over at a time.
-_HELD = 6 << 20
+_HELD = 8 << 20
 _ROWS = 1 << 15
 #: Bits of a phrase's hash that choose its part, and the bits behind them that tell phrases of a part apart.
 _PART_BITS, _REST_BITS = 14, 32
@@ -303,7 +303,7 @@ def collocations(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")
     )
     screens: list[np.ndarray] = []
-    for _ in range(2, settings.longest):
+    for _ in range(2, settings.longest + 1):
         screens.append(next_screen(texts, screens, settings))
     stripes = added(local_stripes(texts, screens, settings), settings)
     return ranked(materialise(docs.sparkSession, stripes, "stripes"), settings)
