@@ -1,3 +1,7 @@
+import glob
+from pathlib import Path
+
+import pytest
 from data import KEY, rows, sample, samples
 
 from tierlake.operators import maintain, query, rollup
@@ -115,6 +119,31 @@ def test_many_requests_prune_partitions(spark):
     assert len(filters) >= len(TIER_ORDER) and all("bucket_date" in line.split("PartitionFilters")[1].split("]")[0] for line in filters)
 
 
+def test_many_requests_leave_the_gap_between_them_unread(spark):
+    """Files of the dates between two requests are broken; only a request that covers them meets that."""
+    root = scratch_path(spark, "test-gap")
+    df = samples(spark, [sample(h * HOUR_MS, h, seq=h) for h in range(24 * 9)])
+    tiers.write_tier(rollup.rollup_samples(df, "raw"), root, "raw")
+    tiers.write_tier(rollup.rollup_samples(df, "weekly"), root, "weekly")
+    for day in range(3, 7):
+        for file in glob.glob(f"{root}/raw/bucket_date=1970-01-0{day}/*.parquet"):
+            Path(file).write_bytes(b"broken")
+            Path(file).with_name(f".{Path(file).name}.crc").unlink(missing_ok=True)
+
+    def ask(*spans):
+        listed = [(n, *KEY, a, b) for n, (a, b) in enumerate(spans)]
+        requests = spark.createDataFrame(
+            listed, "request_id bigint, namespace string, target string, poller string, start_ms bigint, end_ms bigint"
+        )
+        found = query.query_many({t: tiers.scan_tier(spark, root, t) for t in ("raw", "weekly")}, requests)
+        return {r["request_id"]: r["count"] for r in found.groupBy("request_id").count().collect()}
+
+    far = (0, 4000 * DAY_MS)
+    assert ask((0, DAY_MS), (8 * DAY_MS, 9 * DAY_MS), (5 * DAY_MS, 2 * DAY_MS), far) == {0: 24, 1: 24, 3: 1}
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        ask((0, DAY_MS), (3 * DAY_MS, 4 * DAY_MS))
+
+
 def test_pages_cover_everything_once(spark):
     root = scratch_path(spark, "test-pages")
     keys = [("n", "t", p) for p in ("a", "b", "c")]

@@ -126,18 +126,24 @@ def query_target(
 _SLOT_MS = {"raw": DAY_MS, "5min": DAY_MS, "hourly": DAY_MS, "daily": 30 * DAY_MS, "weekly": 365 * DAY_MS}
 
 
+def _day(ms: Column) -> Column:
+    return F.floor(ms / DAY_MS).cast("int")
+
+
 def query_many(tiers: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """Answer many span requests (request_id, series, start_ms, end_ms) at once, each from its own tier.
 
     Requests are spread over the time slots they cover and joined on series
-    and slot, which keeps the work of a hot series in many tasks.  An empty
-    poller asks for all pollers of the target.
+    and slot, which keeps the work of a hot series in many tasks.  Of each tier
+    only the dates that a request covers are read.  An empty poller asks for
+    all pollers of the target; a request that ends before it starts for nothing.
     """
     routed = requests.withColumn("tier", select_tier("start_ms", "end_ms"))
     answers = []
     for tier, aggs in tiers.items():
         slot_ms = _SLOT_MS[tier]
-        wanted = routed.where(F.col("tier") == tier).withColumn(
+        covering = routed.where((F.col("tier") == tier) & (F.col("start_ms") <= F.col("end_ms")))
+        wanted = covering.withColumn(
             "_slot",
             F.explode(
                 F.sequence(
@@ -146,13 +152,10 @@ def query_many(tiers: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
             ),
         )
         wanted = wanted.withColumnRenamed("poller", "_poller")
-        # The requests' outer bounds reach the scan as a filter on its partitions.
-        bounds = routed.where(F.col("tier") == tier).agg(
-            *[F.date_from_unix_date(F.floor(c / DAY_MS).cast("int")).alias(n) for n, c in (("low", F.min("start_ms")), ("high", F.max("end_ms")))]
-        )
-        rows = aggs.where(F.col("bucket_date") >= bounds.select("low").scalar()).where(
-            F.col("bucket_date") <= bounds.select("high").scalar()
-        )
+        # The dates that any request covers reach the scan as a filter on its partitions; gaps between requests are not read.
+        days = F.sequence(_day(bucket_start("start_ms", tier)), _day(F.col("end_ms")), F.lit(TIERS[tier].width_ms // DAY_MS or 1))
+        dates = covering.select(F.explode(days).alias("day")).agg(F.collect_set(F.date_from_unix_date("day")).alias("dates"))
+        rows = aggs.where(F.array_contains(dates.scalar(), F.col("bucket_date")))
         rows = rows.withColumn("_slot", floor_to("bucket_start", slot_ms))
         joined = rows.join(wanted, ["namespace", "target", "_slot"]).where(
             (F.col("bucket_start") >= F.col("start_ms"))
