@@ -1,3 +1,6 @@
+import glob
+from pathlib import Path
+
 import pytest
 from data import rows
 from pyspark.sql import functions as F
@@ -6,7 +9,8 @@ from tierlake.functions.labels import label_filter, saved_query, template_path
 from tierlake.functions.paths import glob_regex, normalise_path
 from tierlake.operators import inventory as inv, tags
 from tierlake.operators.config import config_violations, effective_config
-from tierlake.sources import demo
+from tierlake.session import scratch_path
+from tierlake.sources import demo, tagstore
 
 LABELS = [None, {}, {"zone": "north"}, {"zone": "south", "os": "bsd"}, {"os": "linux"}, {"zone": "", "os": "bsd"}]
 # Which of the label sets each filter keeps.
@@ -139,6 +143,42 @@ def tagged(spark):
     )
 
 
+def test_stored_tags_equal_the_scan_and_read_asked_tags_only(spark):
+    df = tagged(spark)
+    # A repeated row, many blocks of targets, and tags that most, few and none of them carry.
+    many = spark.range(70_000, numPartitions=2).select(
+        F.lit("m").alias("namespace"),
+        F.col("id").cast("string").alias("name"),
+        F.expr("array('all/x', concat('mod/', id % 7), if(id % 30000 = 5, 'rare', 'site/dc1'), '', '/top', 'a//b')").alias("tags"),
+    )
+    df = df.unionByName(df.where("name = 'r1'")).unionByName(many)
+    root = scratch_path(spark, "test-tags")
+    tagstore.write_tag_index(df, root)
+    asked = [["rare"], ["type/network"], ["mod/3", "rare"], ["mod/3", "site/dc1", "all"], ["nothing"], ["nothing", "all"], [""], ["a/"], [],
+             ["rare", "rare"]]
+    for wanted in asked:
+        for stored, scanned in ((tagstore.with_all_tags, tags.tag_query_and), (tagstore.with_any_tag, tags.tag_query_or)):
+            found = stored(spark, root, wanted)
+            assert found.exceptAll(scanned(df, wanted)).count() == 0 == scanned(df, wanted).exceptAll(found).count(), wanted
+    want = tags.tag_query_and(df, ["rare", "mod/3"]).count()
+    rare = spark.read.parquet(f"{root}/postings").where("tag in ('rare', 'mod/3')").select("folder").distinct().collect()
+    kept = {r["folder"] for r in rare}
+    for file in glob.glob(f"{root}/postings/*/*.parquet"):
+        if int(Path(file).parent.name.partition("=")[2]) not in kept:
+            Path(file).write_bytes(b"broken")
+            Path(file).with_name(f".{Path(file).name}.crc").unlink(missing_ok=True)
+    found = tagstore.with_all_tags(spark, root, ["rare", "mod/3"])
+    assert found.count() == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(tag, [mod/3,rare])" in plan
+
+
+def test_stored_tags_of_no_targets(spark):
+    root = scratch_path(spark, "test-no-tags")
+    tagstore.write_tag_index(tagged(spark).where("false"), root)
+    assert tagstore.with_tag(spark, root, "type").count() == 0
+
+
 def test_tags(spark):
     df = tagged(spark)
 

@@ -24,14 +24,14 @@ def has_tags(tags: Column, wanted: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [carries(tags, t) for t in wanted], F.lit(bool(wanted)))
 
 
-def tag_index(targets: DataFrame) -> DataFrame:
-    """Every target under every prefix of every tag of it, once.
+def tag_index(targets: DataFrame, *by: str) -> DataFrame:
+    """Every target, or the columns given for it, under every prefix of every tag of it, once.
 
     The prefixes of one target become distinct inside its row, so no shuffle
     is needed.
     """
     every = F.array_distinct(F.flatten(F.transform("tags", lambda t: prefixes(t, "/"))))
-    return targets.select(*TARGET, F.explode(every).alias("tag"))
+    return targets.select(*(by or TARGET), F.explode(every).alias("tag"))
 
 
 def tag_query(targets: DataFrame, tag: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tierlake.plans.registry import query, rounded
 from tierlake.plans.timeseries import DAY0, TIERS_SQL
 from tierlake.plans.twin import sql
 from tierlake.schemas import DAY_MS, SERIES
-from tierlake.sources import demo
+from tierlake.sources import demo, tagstore
 
 LABELS_SQL = """array_to_string(list_sort(list_filter([CASE WHEN nation IS NOT NULL THEN 'nation=' || nation END,
     CASE WHEN segment IS NOT NULL THEN 'segment=' || segment END, CASE WHEN site IS NOT NULL THEN 'site=' || site END],
@@ -175,7 +175,7 @@ def tag_index(spark, sf):
 
 @query("tag_query", sql(f"SELECT namespace, name FROM ({INDEX_SQL}) WHERE tag = 'geo/ASIA'", "targets"))
 def tag_query(spark, sf):
-    return tags.tag_query(demo.targets(spark, sf), "geo/ASIA")
+    return tagstore.with_tag(spark, store.tag_root(spark, sf), "geo/ASIA")
 
 
 TWO_TAGS = ["geo/EUROPE", "segment/BUILDING"]
@@ -190,7 +190,7 @@ TWO_TAGS = ["geo/EUROPE", "segment/BUILDING"]
     ),
 )
 def tag_query_and(spark, sf):
-    return tags.tag_query_and(demo.targets(spark, sf), TWO_TAGS)
+    return tagstore.with_all_tags(spark, store.tag_root(spark, sf), TWO_TAGS)
 
 
 @query(
@@ -198,7 +198,7 @@ def tag_query_and(spark, sf):
     sql(f"SELECT DISTINCT namespace, name FROM ({INDEX_SQL}) WHERE tag IN ('geo/EUROPE', 'segment/BUILDING')", "targets"),
 )
 def tag_query_or(spark, sf):
-    return tags.tag_query_or(demo.targets(spark, sf), TWO_TAGS)
+    return tagstore.with_any_tag(spark, store.tag_root(spark, sf), TWO_TAGS)
 
 
 @query("tag_counts", sql(f"SELECT tag, count(*) AS targets FROM ({INDEX_SQL}) GROUP BY tag", "targets"))

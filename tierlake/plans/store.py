@@ -11,6 +11,7 @@ from tierlake.operators.rollup import run_cascade
 from tierlake.schemas import DAY_MS, TIER_ORDER
 from tierlake.session import scratch_path
 from tierlake.sources import demo
+from tierlake.sources.tagstore import write_tag_index
 from tierlake.sources.tiers import scan_tier, write_samples
 
 _BUILT: dict[tuple[str, str, str], object] = {}
@@ -46,6 +47,17 @@ def tier_root(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "tiers", build)
 
 
+def tag_root(spark: SparkSession, sf_dir: str) -> str:
+    """The stored tag index of the targets."""
+
+    def build():
+        root = scratch_path(spark, "tags")
+        write_tag_index(demo.targets(spark, sf_dir), root)
+        return root
+
+    return _once(spark, sf_dir, "tags", build)
+
+
 def tiers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     root = tier_root(spark, sf_dir)
     return {tier: scan_tier(spark, root, tier) for tier in TIER_ORDER}
