@@ -117,6 +117,43 @@ def test_unseen_identifiers_do_not_count_against_their_context(spark, unseen):
     assert more == {8 + i: [(3, 12, 24)] for i in range(unseen)}
 
 
+def more_than_base(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return {r.doc_id: [tuple(s) for s in r.spans if s not in r.base] for r in pii.find(df).collect() if r.spans != r.base}
+
+
+def test_dates_and_ranges_after_a_trusted_word_are_no_numbers(spark):
+    """Eight numbers make "call" a trusted word; what stands after it is a number only if it can be one."""
+    seeds = [f"call +1 555 010 {1000 + i} now{i}" for i in range(8)]
+    odd = [f"call {2010 + i % 10}-{1 + i % 12:02}-{1 + i % 28:02} meeting{i}" for i in range(300)]
+    odd += [f"call {1 + i:02}.{1 + i % 12:02}.{1990 + i} d{i}" for i in range(20)] + [f"call {1990 + i}-{2000 + i} e{i}" for i in range(9)]
+    assert more_than_base(spark, seeds + odd) == {}
+    # The national numbers among them are found all the same.
+    numbers = [f"call 555 020 {1000 + i} c{i}" for i in range(5)]
+    assert more_than_base(spark, seeds + odd + numbers) == {len(seeds + odd) + i: [(3, 5, 17)] for i in range(5)}
+
+
+def test_strings_of_other_shapes_count_against_a_word(spark):
+    """Part numbers after "on" have a shape that no number has: many of them show that "on" tells nothing."""
+    seeds = [f"on +1 (555) 010-{1000 + i} now{i}" for i in range(8)]
+    parts = [f"on 12.34.56.{1000 + i} x{i}" for i in range(40)]
+    national = [f"on 555-020-{1000 + i} a{i}" for i in range(10)]
+    assert more_than_base(spark, seeds + national) == {8 + i: [(3, 3, 15)] for i in range(10)}
+    assert more_than_base(spark, seeds + parts + national) == {}
+
+
+def test_planted_numbers_precision_and_recall(spark):
+    """Of 200 planted national numbers in trusted patterns all are found, of 400 dates, part numbers and sums none."""
+    rng = random.Random(3)
+    words = ["phone", "tel", "mobile", "ring"]
+    rows = [f"{rng.choice(words)} +44 {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)} t{i}" for i in range(200)]
+    planted = [f"{rng.choice(words)} {rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)} u{i}" for i in range(200)]
+    other = [f"{rng.choice(['part', 'sum', 'no'])} {rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)} v{i}" for i in range(200)]
+    other += [f"{rng.choice(words)} {rng.randint(1950, 2025)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02} w{i}" for i in range(200)]
+    found = more_than_base(spark, rows + planted + other)
+    assert sorted(found) == list(range(200, 400))
+
+
 def test_accepted_instances_of_other_kinds_count_against_a_context(spark):
     """All 16 addresses after "mail" are accepted in the first round, so "by" holds 8 base numbers and 16 addresses after it."""
     rows = [f"mail user{i}@mail.org x{i}" for i in range(8)] + [f"mail other{i} at mail dot org by y{i}" for i in range(16)]

@@ -35,12 +35,21 @@ _ADDRESS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2
 _SPACE = r"[\x20\x09-\x0D]"
 
 
+# Digits that are a date or a range of years, and no telephone number.
+_YEAR, _MONTH, _DAY = "(?:1[5-9]|20)[0-9]{2}", "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+_DATE = (
+    rf"^\(?(?:{_YEAR}[\x20./-]+{_MONTH}[\x20./-]+{_DAY}|{_DAY}[\x20./-]+{_MONTH}[\x20./-]+{_YEAR}"
+    rf"|{_MONTH}[\x20./-]+{_DAY}[\x20./-]+{_YEAR}|{_YEAR}(?:[\x20./-]+{_YEAR})+)(?![0-9])"
+)
+
+
 @dataclass(frozen=True)
 class Settings:
     """Rounds of scoring, and what a context and an instance must reach.
 
     A context counts for a kind when decided instances of that kind worth `support` stand in it, and they are at least
-    the share `precision` of all decided instances in it: base instances and those accepted so far, of any kind.
+    the share `precision` of all decided instances in it: base instances and those accepted so far, of any kind. To
+    these, each undecided candidate of the kind adds `unlike` if no base instance of the kind has its shape.
     Instances are accepted from the score `accepted` on.
     """
 
@@ -48,6 +57,7 @@ class Settings:
     support: float = 8.0
     precision: float = 0.9
     accepted: float = 0.9
+    unlike: float = 0.5
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -83,9 +93,26 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _plausible(kind: Column, value: Column) -> Column:
-    """Whether a loose match may be an identifier: enough digits for its kind."""
+    """Whether a loose match may be an identifier: enough digits for its kind, and no date or range of years."""
     n = F.length(_digits(value))
-    return F.when(kind == 2, n.between(12, 19)).when(kind == 3, n.between(7, 15)).otherwise(True)
+    return F.when(kind == 2, n.between(12, 19)).when(kind == 3, n.between(7, 15) & ~value.rlike(_DATE)).otherwise(True)
+
+
+def _shape(kind: Column, value: Column) -> Column:
+    """The runs of digits of a card or telephone number, each digit as 0; the separator of an address.
+
+    Addresses of mail are all alike, whichever way they write the at and the dots.
+    """
+    runs = F.regexp_replace(F.regexp_replace(value, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+", "-")
+    return F.when(kind == 0, "@").when(kind == 1, F.when(value.contains(":"), ":").otherwise(".")).otherwise(F.regexp_replace(runs, "[0-9]", "0"))
+
+
+def _known_shapes(edges: DataFrame) -> DataFrame:
+    """`kind, shape` of the base instances, and of the ends of telephone numbers that begin with other runs."""
+    shapes = edges.where("base").select("kind", _shape(F.col("kind"), F.col("value")).alias("shape")).distinct()
+    runs = F.split("shape", "-")
+    ends = F.transform(F.sequence(F.lit(1), F.size(runs)), lambda i: F.array_join(F.slice(runs, i, F.size(runs)), "-"))
+    return shapes.select("kind", F.explode(F.when(F.col("kind") == 3, ends).otherwise(F.array("shape"))).alias("shape")).distinct()
 
 
 def _word(near: Column, pattern: str) -> Column:
@@ -161,8 +188,10 @@ def learn(spans: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Instances (kind and value) and contexts (the word before or after) make a graph. Base instances have score 1 for
     their kind, candidates are undecided until they are accepted. In each round a context's precision for a kind is the
     summed score of its decided instances of that kind among all its decided instances, and a candidate's score is the
-    chance that not all its trusted contexts are wrong. Undecided candidates say nothing about a context, however many
-    stand in it. Copies of a text add nothing, since instances are distinct.
+    chance that not all its trusted contexts are wrong. Undecided candidates that have the shape of a base instance of
+    their kind say nothing about a context, however many stand in it; those of other shapes count against it with a
+    smoothed weight, so a word before unlike strings is not trusted. Copies of a text add nothing, since instances are
+    distinct.
     """
     return _scores(spans, settings).select("kind", "value")
 
@@ -173,18 +202,22 @@ def _scores(spans: DataFrame, settings: Settings) -> DataFrame:
     sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
     edges = spans.select("kind", "base", "value", F.explode(sides).alias("context")).where("context.word is not null")
     edges = edges.groupBy("context", "kind", "value").agg(F.max("base").alias("base"))
-    edges = materialise(spark, edges.select(F.concat("context.side", F.lit(":"), "context.word").alias("context"), "kind", "value", "base"), "contexts")
+    edges = edges.select(F.concat("context.side", F.lit(":"), "context.word").alias("context"), "kind", "value", "base")
+    edges = edges.withColumn("shape", _shape(F.col("kind"), F.col("value")))
+    known = _known_shapes(edges).withColumn("known", F.lit(True))
+    edges = edges.join(known, ["kind", "shape"], "left").withColumn("alike", F.col("base") | F.coalesce("known", F.lit(False)))
+    edges = materialise(spark, edges.drop("shape", "known"), "contexts")
     scores = spark.createDataFrame([], "kind int, value string, score double")
     for _ in range(settings.rounds):
         accepted = scores.where(F.col("score") >= settings.accepted)
         decided = edges.join(accepted, ["kind", "value"], "left").withColumn(
             "score", F.when(F.col("base"), F.lit(1.0)).otherwise(F.col("score"))
         )
+        unlike = F.count_if(F.col("score").isNull() & ~F.col("alike")) * settings.unlike
         trusted = (
-            decided.where("score is not null")
-            .groupBy("context", "kind")
-            .agg(F.sum("score").alias("worth"), F.count("*").alias("n"))
-            .withColumn("precision", F.col("worth") / F.sum("n").over(Window.partitionBy("context")))
+            decided.groupBy("context", "kind")
+            .agg(F.sum("score").alias("worth"), F.count("score").alias("n"), unlike.alias("unlike"))
+            .withColumn("precision", F.col("worth") / (F.sum("n").over(Window.partitionBy("context")) + F.col("unlike")))
             .where((F.col("worth") >= settings.support) & (F.col("precision") >= settings.precision))
         )
         wrong = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6))))
