@@ -120,6 +120,16 @@ def test_exact_percentiles_against_sorted_values(spark):
             assert got[key][name] == pytest.approx(want, rel=1e-12), (key, name)
 
 
+def test_exact_percentiles_keep_groups_without_a_key_and_read_once(spark, tmp_path):
+    rows = [(None, float(v)) for v in range(11)] + [("a", 1.0), ("a", 3.0), ("b", float("nan")), (None, None)]
+    spark.createDataFrame(rows, "k string, v double").write.parquet(str(tmp_path / "facts"))
+    found = quantiles.percentiles_exact(spark.read.parquet(str(tmp_path / "facts")), ["k"], "v", {"p50": 0.5})
+    assert {r["k"]: r["p50"] for r in found.collect()} == {None: 5.0, "a": 2.0}
+    assert not any(str(tmp_path) in f for f in found.inputFiles())
+    empty = quantiles.percentiles_exact(spark.createDataFrame([], "k string, v double"), ["k"], "v")
+    assert empty.count() == 0 and empty.columns == ["k", *quantiles.QUANTILES]
+
+
 def test_approximate_rank_error(spark):
     df = spark.range(20_000).select(F.lit("k").alias("k"), F.pmod(F.xxhash64("id"), F.lit(10_000_000)).cast("double").alias("v"))
     ordered = sorted(r["v"] for r in df.collect())

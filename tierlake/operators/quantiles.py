@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlake.functions.sketch import ALPHA, bin_code, bin_value, finite, sketch_quantile
+from tierlake.session import materialise
 
 # Equal intervals into which a bin that holds a wanted rank is cut.
 PARTS = 4096
@@ -41,14 +42,19 @@ def percentiles_exact(
     nearly equal values may have all of them in one bin, so each such bin is
     cut into PARTS equal intervals between its ends and searched again; only
     the values of the intervals that hold a wanted rank are put in order.
+
+    The rows are read once: their counts, and then the counts of the bins that
+    hold a wanted rank, are written below the shared folder, since both
+    searches need them.  The result reads these files.
     """
-    names = [m.name for m in measures]
-    counts = (
+    spark, names = df.sparkSession, [m.name for m in measures]
+    counted = (
         df.where(finite(F.col(col).cast("double")))
         .groupBy(*keys, F.col(col).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"), *[m.of_rows.alias(m.name) for m in measures])
         .withColumn("_bin", bin_code(F.col("_v"), 0.001))
     )
+    counts = materialise(spark, counted, "counts")
     per_bin = counts.groupBy(*keys, "_bin").agg(
         F.sum("_n").alias("_bn"),
         F.min("_v").alias("_low"),
@@ -74,16 +80,16 @@ def percentiles_exact(
 
     width = F.col("_high") - F.col("_low")
     part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * PARTS), F.lit(PARTS - 1))).otherwise(0)
-    inner = counts.drop(*names).join(holding(placed), [*keys, "_bin"]).withColumn("_part", part)
+    held = _join(counts.drop(*names), holding(placed), [*keys, "_bin"]).withColumn("_part", part).drop("_low", "_high")
+    inner = materialise(spark, held, "held")
     per_part = inner.groupBy(*keys, "_bin", "_part").agg(
         F.sum("_n").alias("_pn"), F.max("_before").alias("_before"), F.max("_total").alias("_total")
     )
     upto = F.col("_before") + F.sum("_pn").over(Window.partitionBy(*keys, "_bin").orderBy("_part"))
     within = per_part.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_pn"))
     by_value = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v")
-    ordered = inner.drop("_before").join(
-        holding(within).select(*keys, "_bin", "_part", "_before"), [*keys, "_bin", "_part"]
-    ).withColumn("_last", F.col("_before") + F.sum("_n").over(by_value))
+    parts = [*keys, "_bin", "_part"]
+    ordered = _join(inner.drop("_before"), holding(within).select(*parts, "_before"), parts).withColumn("_last", F.col("_before") + F.sum("_n").over(by_value))
 
     def value_at(rank: Column) -> Column:
         inside = (rank >= F.col("_last") - F.col("_n")) & (rank < F.col("_last"))
@@ -105,6 +111,13 @@ def percentiles_exact(
     )
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys meet."""
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    others = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), reduce(lambda x, y: x & y, same)).select("l.*", *others)
+
+
 def _position(q: float) -> Column:
     """Place of a quantile among the ordered values, counted from zero."""
     return (F.col("_total") - 1) * F.lit(float(q))
