@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from data import rows
 from pyspark.sql import functions as F
@@ -85,6 +87,22 @@ def test_policy_route(spark):
     assert got == {"a.b.c": "ignore", "a.b.c.d": "ignore", "a.b": "full-sync", "a": "full-sync", "ab.c": "merge", "z": "merge"}
 
 
+def test_policy_route_against_every_rule(spark):
+    rng = random.Random(8)
+    names = [".".join(rng.choice(["a", "ab", "b-", "c", ""]) for _ in range(rng.randint(1, 6))) for _ in range(600)]
+    rules = {n: f"p{i}" for i, n in enumerate(rng.sample(sorted(set(names)), 40))}
+    rules |= {"a": "root"}
+    asked = spark.createDataFrame([(n,) for n in [*names, None, "é.a", "a.a.a.a.a.a.a.a"]], "path string").repartition(5)
+    given = spark.createDataFrame([*rules.items(), (None, "x"), ("a.c", None), ("a", "r")], "path string, policy string")
+    got = {r["path"]: r["policy"] for r in rec.policy_route(asked, given, "none").collect()}
+    assert set(got) == {*names, "é.a", "a.a.a.a.a.a.a.a"}
+    for name, policy in got.items():
+        above = [r for r in rules if name == r or name.startswith(r + ".")]
+        assert policy == (rules[max(above, key=len)] if above else "none"), name
+    assert {r["policy"] for r in rec.policy_route(asked, given.where("false")).collect()} == {"create-only"}
+    assert rec.policy_route(asked.where("false"), given).count() == 0
+
+
 def test_orphans_and_changes(spark):
     names = spark.createDataFrame([("n",)], "name string")
     targets = spark.createDataFrame([("n", "t"), ("gone", "t")], "namespace string, name string")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierlake.functions.paths import prefixes
+from tierlake.session import materialise
 
 # Policies, actions' reasons and import modes.
 POLICIES = ["create-only", "full-sync", "source-aware", "ignore", "merge"]
@@ -127,14 +127,49 @@ def inventory_apply(diff: DataFrame, declared: DataFrame, stored: DataFrame, key
 
 
 def policy_route(paths: DataFrame, policies: DataFrame, default: str = "create-only") -> DataFrame:
-    """Policy of each distinct dotted path: its own, else that of the longest ancestor, else the default."""
-    steps = paths.select("path").distinct().select("path", F.posexplode(prefixes(F.col("path"), ".")).alias("depth", "_at"))
-    rules = policies.select(F.col("path").alias("_at"), "policy")
-    return (
-        steps.join(rules, "_at", "left")
+    """Policy of each distinct dotted path: its own, else that of the longest ancestor, else the default.
+
+    A sorted sweep. Paths and rules, one row for each name, are cut by range into even pieces and written below the
+    shared folder. In the order of names all paths under a rule follow it, and no other rule of its depth lies between;
+    so the newest rule of every depth, in the piece or else from the pieces before it, is the stack of rules that may be
+    open at a row. The deepest of them that is a prefix counts. The stack has as many columns as the deepest rule has
+    steps. Of several policies for a path the largest counts; rows without a path, and rules without a policy, are left
+    out.
+    """
+    spark = paths.sparkSession
+    named = paths.select("path", F.lit(True).alias("asked"), F.lit(None).cast("string").alias("policy")).unionByName(
+        policies.select("path", F.lit(False).alias("asked"), "policy").where(F.col("policy").isNotNull())
+    )
+    # The closing dot makes a name a prefix of those below it and of no other.
+    rows = (
+        named.where(F.col("path").isNotNull())
         .groupBy("path")
-        .agg(F.max_by("policy", F.when(F.col("policy").isNotNull(), F.col("depth"))).alias("policy"))
-        .withColumn("policy", F.coalesce("policy", F.lit(default)))
+        .agg(F.max("asked").alias("asked"), F.max("policy").alias("policy"))
+        .withColumn("key", F.concat("path", F.lit(".")))
+        .withColumn("depth", F.when(F.col("policy").isNotNull(), F.size(F.split("path", "[.]"))))
+        .repartitionByRange("key")
+        .withColumn("piece", F.spark_partition_id())
+    )
+    placed = materialise(spark, rows, "route")
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    depths = range(1, deepest + 1)
+    rule = F.struct("key", "policy")
+    ends = placed.groupBy("piece").agg(
+        *[F.max(F.when(F.col("depth") == d, rule)).alias(f"_in{d}") for d in depths], F.count("*").alias("_rows")
+    )
+    # One row for each piece.
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("piece", *[F.last(f"_in{d}", ignorenulls=True).over(before).alias(f"_in{d}") for d in depths])
+    upto = Window.partitionBy("piece").orderBy("key")
+    swept = placed.withColumns(
+        {f"_at{d}": F.last(F.when(F.col("depth") == d, rule), ignorenulls=True).over(upto) for d in depths}
+    )
+    opened = [F.coalesce(f"_at{d}", f"_in{d}") for d in reversed(depths)]
+    found = [F.when(F.startswith(F.col("key"), o["key"]), o["policy"]) for o in opened]
+    return (
+        swept.join(carried, "piece")
+        .where("asked")
+        .select("path", F.coalesce(*found, F.lit(default)).alias("policy"))
     )
 
 
