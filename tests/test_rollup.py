@@ -142,6 +142,26 @@ def test_approximate_rank_error(spark):
             assert abs(rank - q) <= bound + 1e-3, name
 
 
+@pytest.mark.parametrize("kll_k", [None, 8000])
+def test_order_statistics_of_groups_larger_than_the_summary(spark, kll_k):
+    n = 300_000
+    value = F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double")
+    df = spark.range(n).select(F.when(F.col("id") % 3 > 0, "k").alias("k"), value.alias("v"))
+    odd = [("small", 2.0), ("small", 1.0), ("small", float("inf")), ("none", None), *[("equal", 7.0)] * 50]
+    df = df.unionByName(spark.createDataFrame(odd, "k string, v double")).persist()
+    table = df.where("v < 1e9").toPandas()
+    names = quantiles.QUANTILES
+    want = {}
+    for key in (None, "k", "small", "equal"):
+        ordered = sorted(table["v"][table["k"].isna() if key is None else table["k"] == key])
+        want[key] = [ordered[-(-len(ordered) * round(q * 100) // 100) - 1] for q in names.values()]
+    got = quantiles.percentiles_discrete(df, ["k"], "v", kll_k=kll_k).collect()
+    assert {r["k"]: [r[p] for p in names] for r in got} == want
+    # Ends that miss the wanted ranks cost a second pass, not the result.
+    got = quantiles.percentiles_discrete(df, ["k"], "v", accuracy=20, kll_k=kll_k and 20, margin=0.0).collect()
+    assert {r["k"]: [r[p] for p in names] for r in got} == want
+
+
 def test_span(spark):
     df = samples(spark, [sample(i * 100, i * 10) for i in range(10)] + [sample(5_000, 999)])
     row = rollup.aggregate_span(df, 0, 900).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -216,6 +217,64 @@ def percentiles_kll(df: DataFrame, keys: list[str], col: str, k: int = 400) -> D
     return kll_quantiles(kll_sketch(df, keys, col, k)).drop("kll")
 
 
+def percentiles_discrete(
+    df: DataFrame,
+    keys: list[str],
+    col: str,
+    quantiles: dict[str, float] = QUANTILES,
+    accuracy: int = 10_000,
+    kll_k: int | None = None,
+    margin: float | None = None,
+) -> DataFrame:
+    """Exact order statistics of the finite values of each group, at the ranks that a summary points to.
+
+    The value of a quantile q is the smallest one that at least q of the group's rows do not exceed.  Spark's bounded
+    summary, or a KLL sketch of size kll_k, gives two values around each quantile, `margin` ranks of the group apart from
+    it on either side (four times the summary's error, unless given).  Only rows between two such values are counted by
+    value; all others are one count for each gap.  A group whose wanted rank falls into a gap is counted whole.
+    """
+    error = 1 / accuracy if kll_k is None else rank_error_bound(kll_k)
+    margin = 4 * error if margin is None else margin
+    spark, value = df.sparkSession, F.col(col).cast("double")
+    rows = df.where(finite(value)).select(*keys, value.alias("_v"))
+    ordered = sorted(quantiles.values())
+    points = [max(0.0, q - margin) for q in ordered] + [min(1.0, q + margin) for q in ordered]
+    if kll_k is None:
+        ends = rows.groupBy(*keys).agg(F.percentile_approx("_v", points, accuracy).alias("_e"))
+    else:
+        found = [F.kll_sketch_get_quantile_double("kll", F.lit(p)) for p in points]
+        ends = kll_sketch(rows, keys, "_v", kll_k).select(*keys, F.array(*found).alias("_e"))
+    low, high = F.slice("_e", 1, len(ordered)).alias("_low"), F.slice("_e", len(ordered) + 1, len(ordered)).alias("_high")
+    ends = materialise(spark, ends.select(*keys, low, high), "ends")
+    found = materialise(spark, _between(rows, keys, ends, quantiles), "discrete")
+    missed = reduce(lambda x, y: x | y, [F.col(name).isNull() for name in quantiles])
+    lost = found.where(missed).select(
+        *keys, F.array(F.lit(-math.inf)).alias("_low"), F.array(F.lit(math.inf)).alias("_high")
+    )
+    if lost.isEmpty():
+        return found
+    return found.where(~missed).unionByName(_between(rows, keys, lost, quantiles))
+
+
+def _between(rows: DataFrame, keys: list[str], ends: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """Order statistics that lie between two ends of their group (ascending arrays `_low`, `_high`), null for others."""
+    # The gap or interval of a value follows from how many intervals end below it.
+    place = F.aggregate("_high", F.lit(0), lambda n, end: n + (end < F.col("_v")).cast("int"))
+    placed = _join(rows, ends, keys).withColumn("_place", place)
+    inside = F.coalesce(F.col("_v") >= F.get("_low", F.col("_place")), F.lit(False))
+    counts = placed.groupBy(*keys, "_place", F.when(inside, F.col("_v")).alias("_v")).agg(F.count("*").alias("_n"))
+    # The rows of a gap come before those of the interval behind it.
+    by_value = Window.partitionBy(*keys).orderBy("_place", F.col("_v").asc_nulls_first())
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(by_value), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+
+    def value_at(q: float) -> Column:
+        share = Fraction(str(q))
+        rank = F.greatest(F.lit(1), F.expr(f"(_total * {share.numerator} + {share.denominator - 1}) div {share.denominator}"))
+        return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col("_v")))
+
+    return ranked.groupBy(*keys).agg(*[value_at(q).alias(name) for name, q in quantiles.items()])
+
+
 def rank_error_bound(k: int) -> float:
     """Normalised rank error that a summary of size k keeps with high probability."""
     return 2.296 / math.pow(k, 0.9021)
