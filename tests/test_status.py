@@ -31,6 +31,15 @@ def test_no_polls(spark):
     assert dict(stats.health_counts(info).collect()) == {"unknown": 1, "up": 0, "degraded": 0, "down": 0}
 
 
+def test_success_rate_rounds_exact_values(spark):
+    polls = [(1, 800), (3, 800), (1, 32), (5, 32), (1, 20_000), (3, 20_000), (0, 7), (7, 7), (2, 3), (1, 3_000_000_000)]
+    polls += [(s, t) for t in (160, 400, 2_000, 20_000, 99_991) for s in range(0, t, max(1, t // 997))]
+    df = spark.createDataFrame(polls, "polls_success long, polls_total long")
+    got = stats.success_rate(df).collect()
+    # Python formats a double by its exact value, as the SQL side does.
+    assert {(r[0], r[1]): r[2] for r in got} == {(s, t): f"{s / t * 100:.2f}%" for s, t in polls}
+
+
 def test_empty_parents_show_zero(spark):
     names = spark.createDataFrame([("a",), ("b",)], "name string")
     targets = spark.createDataFrame([("a", "t1"), ("a", "t2")], "namespace string, name string")

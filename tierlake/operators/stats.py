@@ -84,10 +84,24 @@ def stats_by_target(stats: DataFrame) -> DataFrame:
 def success_rate(stats: DataFrame) -> DataFrame:
     """Percent of successful polls as text with two decimals."""
     rate = F.col("polls_success") / F.nullif(F.col("polls_total"), F.lit(0)) * 100
-    return stats.withColumn(
-        "success_rate",
-        F.when(F.col("polls_total") > 0, F.format_string("%.2f%%", rate)).otherwise("N/A"),
-    )
+    return stats.withColumn("success_rate", F.when(F.col("polls_total") > 0, _percent_text(rate)).otherwise("N/A"))
+
+
+def _percent_text(rate: Column) -> Column:
+    """A rate that is not negative with two decimals, rounded by the double's exact value, ties to even.
+
+    format_string rounds what the shortest decimal says, and its ties up.  Here the fraction is cut into two parts whose
+    products with 100 are exact.
+    """
+    whole, cut = F.floor(rate), F.lit(float(1 << 26))
+    fraction = rate - whole
+    high = F.floor(fraction * cut) / cut
+    below = F.floor(high * 100)
+    missing = F.lit(0.5) - (high * 100 - below)
+    rest = (fraction - high) * 100
+    up = (rest > missing) | ((rest == missing) & (below % 2 == 1))
+    hundredths = (whole * 100 + below + up.cast("int")).cast("bigint")
+    return F.format_string("%d.%02d%%", F.floor(hundredths / 100), hundredths % 100)
 
 
 def p95_poll_ms(samples: DataFrame) -> DataFrame:
