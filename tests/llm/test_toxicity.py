@@ -62,6 +62,42 @@ def test_counts_by_brute_force(spark):
         assert (got == want).all()
 
 
+def test_pairs_by_brute_force(spark):
+    """The higher order: likelihoods of words behind words, against counts in a dictionary."""
+    rows, labels, _ = made_documents(150)
+    rows = [(i, text + " ba co ba co ba co ba co", *rest) for i, text, *rest in rows]
+    df = spark.createDataFrame(rows, DOCS).select("doc_id", F.col("text").cast("binary").alias("text")).repartition(3)
+    known = toxicity.labelled(df, spark.createDataFrame(labels, "doc_id long, label int"))
+    shared = np.ones(toxicity.CELLS, dtype=np.int64)
+    made = [toxicity.likelihood(c, shared, 3.0) for c in toxicity.class_tables(known, 3.0)]
+    ratios = []
+    for value in (0, 1):
+        pairs = defaultdict(int)
+        for r in rows:
+            if dict(labels).get(r[0]) == value:
+                w = words_of(r[1])
+                for pair in zip([b"", *w], w):
+                    pairs[pair] += 1
+        behind, freed, contexts = defaultdict(int), defaultdict(float), np.zeros(toxicity.CELLS, dtype=np.int64)
+        for (first, second), n in pairs.items():
+            behind[first] += n
+            freed[first] += min(n, 3.0)
+            contexts[cell(second)] += 1
+        lower = np.exp(toxicity.log_likelihood(contexts, shared, 3.0))
+        tests = [("ba", "co"), ("co", "ba"), ("zzz", "co"), ("ba", "zzz"), *zip(rows[0][1].split(), rows[0][1].split()[1:])]
+        want = []
+        for first, second in ((a.encode(), b.encode()) for a, b in tests):
+            low = lower[cell(second)]
+            seen = behind[first]
+            want.append((max(pairs[first, second] - 3.0, 0) + freed[first] * low) / seen if seen else low)
+        assert want[0] > 10 * lower[cell(b"co")]
+        ratios.append(np.log(want))
+    hashes, starts = toxicity._words([" ".join(t).encode() for t in tests])
+    got = toxicity.word_ratios(tuple(made), hashes)[1][starts + 2]
+    # A few pairs may share a cell with another one.
+    assert (abs(got - (ratios[1] - ratios[0])) < 1e-3).mean() > 0.95
+
+
 def test_likelihoods_sum_to_one():
     rng = np.random.default_rng(2)
     counts, shared = rng.integers(0, 9, 1_000), rng.integers(0, 50, 1_000)

@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models with a shared backoff.
 
-Each class, toxic and ordinary, has a model of its words. As in the lower order of Kneser-Ney a word counts as often as
-it follows different words, so a phrase that is copied many times counts once. From each count an absolute discount is
-taken, and what that frees goes to one backoff that both classes share: in how many texts of the whole corpus, labelled or
-not, a word stands. A word that a class has seen in few contexts therefore has nearly the same likelihood in both classes,
-and only words that one class really prefers tell them apart.
+Each class, toxic and ordinary, has a model of its words in two orders. The higher one conditions on the word before: from
+the count of each pair of words an absolute discount is taken, and what that frees behind a word goes to the lower order.
+There a word counts as often as it follows different words, so a phrase that is copied many times counts once. These
+counts are discounted too, and what that frees goes to one backoff that both classes share: in how many texts of the whole
+corpus, labelled or not, a word stands. A word that a class has seen in few contexts therefore has nearly the same
+likelihood in both classes, and only words that one class really prefers tell them apart.
 
 A document is compared by length-normalised log-likelihood ratios: of its most toxic passages of 1, 2, 4 and 16 words, and
-of the whole text. A logistic curve over these five numbers, fitted on labelled rows that the models did not count, makes
-them a score from 0 to 1.
+of the whole text, under the whole model and under its lower order alone, since behind a word that one class has seen
+far more often the freed shares differ too. A logistic curve over these ten numbers, fitted on labelled rows that the
+models did not count, makes them a score from 0 to 1.
 
-Words are hashed into a fixed number of cells. Counts come from all documents and all labelled rows for training; the
+Words and pairs are hashed into a fixed number of cells. Counts come from all documents and all labelled rows for training; the
 tables that leave the cluster have one number for each cell, whatever the size of the corpus.
 """
 
@@ -42,24 +44,52 @@ _SCREEN = 1 << 24
 
 @dataclass(frozen=True)
 class Settings:
-    """Discount of the classes' counts, lengths of passages, and what the curve is fitted on.
+    """Discounts of the classes' lower order and of their pairs, lengths of passages, and what the curve is fitted on.
 
     One in `calibration` of the rows for training is left out of the counts and used for the curve, at most
     `calibration_rows` of them, those with the smallest hashes of their id.
     """
 
     discount: float = 3.0
+    pair_discount: float = 3.0
     passages: tuple[int, ...] = (1, 2, 4, 16)
     calibration: int = 4
     calibration_rows: int = 20_000
     ridge: float = 0.1
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Counts of a class by cell: contexts of a word; behind a word the pairs and what the discount takes of them; what it
+    leaves of a pair."""
+
+    contexts: np.ndarray
+    behind: np.ndarray
+    freed: np.ndarray
+    kept: np.ndarray
+
+
+@dataclass(frozen=True)
+class Likelihood:
+    """A class's model by cell: likelihood of a word in the lower order; share of one pair, and of the lower order, behind
+    a word; discounted count of a pair."""
+
+    lower: np.ndarray
+    single: np.ndarray
+    backoff: np.ndarray
+    kept: np.ndarray
+
+    def of(self, first: np.ndarray, second: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Likelihood of words behind others; where the class has not seen the word before, that of the lower order."""
+        return self.kept[pair] * self.single[first] + self.backoff[first] * self.lower[second]
+
+
 @dataclass(frozen=True)
 class Model:
-    """The log-likelihood ratio of each cell, and the curve: a weight for each passage length, the text, and a constant."""
+    """Likelihoods of ordinary and toxic words, and the curve: a weight for each passage length and the text, first of the
+    lower order and then of the whole model, and a constant. Without likelihoods all words are neutral."""
 
-    ratios: np.ndarray
+    classes: tuple[Likelihood, ...]
     weights: np.ndarray
     settings: Settings
 
@@ -165,8 +195,12 @@ def labelled(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.where("doc_id is not null").where(may_have(bit)).join(one.hint("merge"), "doc_id")
 
 
-def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many different words the words of each cell follow, in ordinary and in toxic rows (`text, label`)."""
+def _pair_cell(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def class_tables(rows: DataFrame, discount: float) -> tuple[Counts, Counts]:
+    """What both orders count in ordinary and in toxic rows (`text, label`)."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _held(batches):
@@ -174,26 +208,75 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             texts = batch.column("text").to_pylist()
             for label in np.unique(labels):
                 hashes, _ = _words([t for t, x in zip(texts, labels) if x == label])
-                second = np.flatnonzero(hashes[1:] != 0)
-                # A pair's number begins with the cell of its second word.
-                pair = windows(hashes, 2)[second] >> np.uint64(_BITS)
-                keys = np.unique(hashes[1:][second] >> np.uint64(64 - _BITS) << np.uint64(64 - _BITS) | pair).view(np.int64)
+                at = np.flatnonzero(hashes[1:] != 0)
+                # A pair's number: the cells of its second and of its first word, and 24 bits of its hash.
+                second, first = _cell(hashes[1:][at]), _cell(hashes[:-1][at])
+                number = second << 44 | first << 24 | (windows(hashes, 2)[at] >> np.uint64(40)).astype(np.int64)
+                keys, times = np.unique(number, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(int(label), pa.int32()), len(keys)), pa.array(keys, pa.int64())], ["label", "pair"]
+                    [pa.repeat(pa.scalar(int(label), pa.int32()), len(keys)), pa.array(keys, pa.int64()), pa.array(times, pa.int64())],
+                    ["label", "pair", "n"],
                 )
 
-    cell = F.shiftrightunsigned("pair", 64 - _BITS).cast("int")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            table, cell, n, freed = (batch.column(c).to_numpy() for c in ("table", "cell", "n", "freed"))
+            for which in np.unique(place := table.astype(np.int64) << _BITS | cell & -_CHUNK):
+                here = place == which
+                key = int(which) >> _BITS, int(which & (CELLS - 1)) // _CHUNK
+                both = sums.setdefault(key, np.zeros((2, _CHUNK)))
+                both[0, cell[here] % _CHUNK], both[1, cell[here] % _CHUNK] = n[here], freed[here]
+        for (table, chunk), both in sums.items():
+            parts = [pa.array([x], t) for x, t in ((table, pa.int32()), (chunk, pa.int32()))]
+            parts += [pa.array([half.tobytes() if half.any() else b""], pa.binary()) for half in both]
+            yield pa.RecordBatch.from_arrays(parts, ["table", "chunk", "n", "freed"])
+
+    def entry(kind: int, cell: Column, n: Column, freed: Column) -> Column:
+        return F.struct(
+            (F.col("label") * 3 + kind).cast("int").alias("table"), cell.cast("int").alias("cell"), n.alias("n"), freed.alias("freed")
+        )
+
+    pair, n, none = F.col("pair"), F.col("n").cast("double"), F.lit(0.0)
+    second, first = F.shiftrightunsigned("pair", 64 - _BITS), F.shiftrightunsigned("pair", 64 - 2 * _BITS).bitwiseAND(CELLS - 1)
+    taken = F.least(n, F.lit(discount))
+    entries = F.array(
+        entry(0, second, F.lit(1.0), none), entry(1, first, n, taken), entry(2, pair.bitwiseAND(CELLS - 1), n - taken, none)
+    )
     counted = (
         rows.select("text", F.col("label").cast("int").alias("label"))
-        .mapInArrow(pairs, "label int, pair bigint")
-        .distinct()
-        .groupBy("label", cell.alias("cell"))
-        .agg(F.count("*").alias("contexts"))
+        .where("label in (0, 1)")
+        .mapInArrow(pairs, "label int, pair bigint, n bigint")
+        .groupBy("label", "pair")
+        .agg(F.sum("n").alias("n"))
+        .select(F.inline(entries))
+        .where("n > 0")
+        .groupBy("table", "cell")
+        .agg(F.sum("n").alias("n"), F.sum("freed").alias("freed"))
     )
-    out = np.zeros((2, CELLS), dtype=np.int64)
-    table = counted.where("label in (0, 1)").toArrow()
-    out[table["label"].to_numpy(), table["cell"].to_numpy()] = table["contexts"].to_numpy()
-    return out[0], out[1]
+    out = np.zeros((2, 3, 2, CELLS))
+    chunked = counted.repartition("table", F.shiftright("cell", _CHUNK.bit_length() - 1))
+    for row in chunked.mapInArrow(add, "table int, chunk int, n binary, freed binary").toLocalIterator():
+        for half, values in enumerate((row.n, row.freed)):
+            if values:
+                out[row.table // 3, row.table % 3, half, row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(values)
+    ordinary, toxic = (Counts(t[0, 0].astype(np.int64), t[1, 0], t[1, 1], t[2, 0]) for t in out)
+    return ordinary, toxic
+
+
+def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many different words the words of each cell follow, in ordinary and in toxic rows (`text, label`)."""
+    ordinary, toxic = class_tables(rows, Settings().pair_discount)
+    return ordinary.contexts, toxic.contexts
+
+
+def likelihood(counts: Counts, shared: np.ndarray, discount: float) -> Likelihood:
+    """Both orders of a class from its counts; the pairs are discounted already."""
+    seen = counts.behind > 0
+    total = np.where(seen, counts.behind, 1)
+    lower = np.exp(log_likelihood(counts.contexts, shared, discount))
+    parts = lower, seen / total, np.where(seen, counts.freed / total, 1), counts.kept
+    return Likelihood(*(p.astype(np.float32) for p in parts))
 
 
 def log_likelihood(counts: np.ndarray, shared: np.ndarray, discount: float) -> np.ndarray:
@@ -219,18 +302,34 @@ def passage_ratios(ratios: np.ndarray, lengths: tuple[int, ...]) -> list[float]:
     return [float((sums[s:] - sums[:-s]).max() / s) for s in spans] + [float(sums[-1] / len(ratios))]
 
 
-def measured(rows: DataFrame, ratios: np.ndarray, settings: Settings) -> DataFrame:
+def word_ratios(classes: tuple[Likelihood, ...], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio, toxic to ordinary, of each word of some texts as `_words` gives them, under the lower order
+    and under the whole model. The zeros between texts have ratios that mean nothing."""
+    if not classes:
+        return np.zeros(len(hashes)), np.zeros(len(hashes))
+    before = np.concatenate([hashes[:1], hashes[:-1]])
+    first, second = _cell(before), _cell(hashes)
+    pair = np.concatenate([np.zeros(1, dtype=np.int64), _pair_cell(windows(hashes, 2))])
+    ordinary, toxic = classes
+    lower = np.log(toxic.lower[second]) - np.log(ordinary.lower[second])
+    return lower, np.log(toxic.of(first, second, pair)) - np.log(ordinary.of(first, second, pair))
+
+
+def measured(rows: DataFrame, classes: tuple[Likelihood, ...], settings: Settings) -> DataFrame:
     """`rows` with `x`, the length-normalised log-likelihood ratios of `text` (bytes), in its place; zeros without words."""
-    shared = rows.sparkSession.sparkContext.broadcast(ratios)
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
     lengths = settings.passages
     others = [c for c in rows.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _held(batches):
             hashes, starts = _words(batch.column("text").to_pylist())
-            known = shared.value[_cell(hashes)]
+            orders = word_ratios(shared.value, hashes)
             ends = np.append(starts[1:], len(hashes))
-            x = [passage_ratios(known[begin:end], lengths) for begin, end in zip(starts + 1, ends)]
+            x = [
+                [number for known in orders for number in passage_ratios(known[begin:end], lengths)]
+                for begin, end in zip(starts + 1, ends)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(x, pa.list_(pa.float64()))], [*others, "x"]
             )
@@ -264,16 +363,13 @@ def train(
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     shared = shared_counts(texts)
     held = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(settings.calibration)) == 0
-    ordinary, toxic = class_counts(labelled(texts.where(~held), labels.where(~held)))
-    ratios = log_likelihood(toxic, shared, settings.discount) - log_likelihood(ordinary, shared, settings.discount)
-    if not ordinary.any() or not toxic.any():
-        ratios = np.zeros(CELLS)
-    ratios = ratios.astype(np.float32)
+    both = class_tables(labelled(texts.where(~held), labels.where(~held)), settings.pair_discount)
+    classes = tuple(likelihood(c, shared, settings.discount) for c in both) if all(c.contexts.any() for c in both) else ()
     left = labelled(texts.where(held), labels.where(held)).select(F.xxhash64("doc_id").alias("hash"), "text", "label")
-    fitted = measured(left, ratios, settings)
+    fitted = measured(left, classes, settings)
     rows = fitted.orderBy("hash", "x", "label").limit(settings.calibration_rows).toArrow()
-    x = np.array(rows["x"].to_pylist(), dtype=float).reshape(-1, len(settings.passages) + 1)
-    return Model(ratios, fit_curve(x, rows["label"].to_numpy().astype(float), settings.ridge), settings)
+    x = np.array(rows["x"].to_pylist(), dtype=float).reshape(-1, 2 * (len(settings.passages) + 1))
+    return Model(classes, fit_curve(x, rows["label"].to_numpy().astype(float), settings.ridge), settings)
 
 
 def score(model: Model, x: Column) -> Column:
@@ -305,6 +401,6 @@ def score_documents(
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "label").where(~in_fold(number, fold, folds))
     model = train(docs, known, settings, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return measured(rows, model.ratios, settings).select(
+    return measured(rows, model.classes, settings).select(
         "doc_id", in_fold(number, fold, folds).alias("held_out"), score(model, F.col("x")).alias("score")
     )
