@@ -130,6 +130,23 @@ def test_exact_percentiles_keep_groups_without_a_key_and_read_once(spark, tmp_pa
     assert empty.count() == 0 and empty.columns == ["k", *quantiles.QUANTILES]
 
 
+def test_exact_percentiles_of_small_and_large_groups_agree(spark, monkeypatch):
+    """Small groups are shuffled once after they are counted, whatever the number of quantiles and measures."""
+    rows = [(None, "x", float(v % 7)) for v in range(40)] + [("a", None, v * 0.5) for v in range(9)] + [("b", "y", -1.0)]
+    df = spark.createDataFrame(rows, "k string, l string, v double")
+    riding = [quantiles.Measure("v_sum", F.sum("v"), F.sum, ("v",)), quantiles.Measure("l_max", F.max("l"), F.max, ("l",))]
+
+    def found():
+        return quantiles.percentiles_exact(df, ["k"], "v", measures=riding)
+
+    small = found()
+    assert small._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = sorted(map(tuple, small.collect()), key=repr)
+    for size in (0, 5, 20):
+        monkeypatch.setattr(quantiles, "SMALL_GROUP", size)
+        assert sorted(map(tuple, found().collect()), key=repr) == want
+
+
 def test_approximate_rank_error(spark):
     df = spark.range(20_000).select(F.lit("k").alias("k"), F.pmod(F.xxhash64("id"), F.lit(10_000_000)).cast("double").alias("v"))
     ordered = sorted(r["v"] for r in df.collect())

@@ -16,16 +16,19 @@ from tierlake.session import materialise
 
 # Equal intervals into which a bin that holds a wanted rank is cut.
 PARTS = 4096
+# Groups of at most so many rows are put in order whole, each within one task.
+SMALL_GROUP = 100_000
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 @dataclass(frozen=True)
 class Measure:
-    """An aggregate that rides along: over the rows first, then combined step by step."""
+    """An aggregate that rides along: over the rows first, which it reads these columns of, then combined step by step."""
 
     name: str
     of_rows: Column
     combine: Callable[[str], Column]
+    reads: tuple[str, ...] = ()
 
 
 def percentiles_exact(
@@ -37,21 +40,76 @@ def percentiles_exact(
 ) -> DataFrame:
     """Interpolated quantiles of the finite values of each group, and other measures of it.
 
+    The rows are read once: what of them is needed is written below the shared
+    folder, and so are the counts of larger groups, since several steps need
+    them.  Rows are counted by a hash of their keys; groups of up to
+    SMALL_GROUP rows then move once and are put in order whole, others go
+    through `_of_large_groups`.  The result reads these files.
+    """
+    spark = df.sparkSession
+    columns = dict.fromkeys([*keys, col, *[c for m in measures for c in m.reads]])
+    rows = materialise(spark, df.where(finite(F.col(col).cast("double"))).select(*columns), "rows")
+    group = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    sizes = rows.groupBy(group.alias("_group")).agg(F.count("*").alias("_rows"))
+    large = materialise(spark, sizes.where(F.col("_rows") > SMALL_GROUP).select("_group"), "large")
+    if large.isEmpty():
+        return _of_small_groups(rows, keys, col, quantiles, measures)
+    marked = rows.withColumn("_group", group)
+    small = marked.join(large, "_group", "left_anti").drop("_group")
+    others = marked.join(large, "_group", "left_semi").drop("_group")
+    of_large = _of_large_groups(others, keys, col, quantiles, measures)
+    return _of_small_groups(small, keys, col, quantiles, measures).unionByName(of_large)
+
+
+def _of_small_groups(
+    rows: DataFrame, keys: list[str], col: str, quantiles: dict[str, float], measures: Sequence[Measure]
+) -> DataFrame:
+    """Quantiles and measures of groups whose rows one task can put in order: they are shuffled once, by their keys."""
+    valued = rows.withColumn("_v", F.col(col).cast("double"))
+    whole = Window.partitionBy(*keys)
+    ordered = valued.withColumns(
+        {"_place": F.row_number().over(whole.orderBy("_v")) - 1, "_total": F.count("*").over(whole)}
+    )
+    names = [m.name for m in measures]
+    found = ordered.groupBy(*keys).agg(
+        *[m.of_rows.alias(f"_m_{m.name}") for m in measures],
+        F.max("_total").alias("_total"),
+        *[
+            F.max(F.when(F.col("_place") == end(_position(q)), F.col("_v"))).alias(f"_{name}_{i}")
+            for name, q in quantiles.items()
+            for i, end in enumerate((F.floor, F.ceil))
+        ],
+    )
+    return _interpolated(found.withColumnsRenamed({f"_m_{n}": n for n in names}), keys, names, quantiles)
+
+
+def _interpolated(found: DataFrame, keys: list[str], names: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles between the values at the two places beside each."""
+    return found.select(
+        *keys,
+        *names,
+        *[
+            (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * (_position(q) - F.floor(_position(q)))).alias(n)
+            for n, q in quantiles.items()
+        ],
+    )
+
+
+def _of_large_groups(
+    df: DataFrame, keys: list[str], col: str, quantiles: dict[str, float], measures: Sequence[Measure]
+) -> DataFrame:
+    """Quantiles and measures of groups of any size.
+
     Equal values are counted before the shuffle.  The counts are summed by
     relative-error bin, of which a group has a bounded number; the running
     count over the bins tells which bins hold the wanted ranks.  A group of
     nearly equal values may have all of them in one bin, so each such bin is
     cut into PARTS equal intervals between its ends and searched again; only
     the values of the intervals that hold a wanted rank are put in order.
-
-    The rows are read once: their counts, and then the counts of the bins that
-    hold a wanted rank, are written below the shared folder, since both
-    searches need them.  The result reads these files.
     """
     spark, names = df.sparkSession, [m.name for m in measures]
     counted = (
-        df.where(finite(F.col(col).cast("double")))
-        .groupBy(*keys, F.col(col).cast("double").alias("_v"))
+        df.groupBy(*keys, F.col(col).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"), *[m.of_rows.alias(m.name) for m in measures])
         .withColumn("_bin", bin_code(F.col("_v"), 0.001))
     )
@@ -102,14 +160,7 @@ def percentiles_exact(
         *[F.max(n).alias(n) for n in names],
         *[value_at(rank).alias(f"_{name}_{i}") for name, q in quantiles.items() for i, rank in enumerate(ends[q])],
     )
-    return found.select(
-        *keys,
-        *names,
-        *[
-            (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * (_position(q) - F.floor(_position(q)))).alias(n)
-            for n, q in quantiles.items()
-        ],
-    )
+    return _interpolated(found, keys, names, quantiles)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

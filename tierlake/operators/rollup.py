@@ -57,11 +57,11 @@ def rollup_values(rows: DataFrame, tier: str, percentiles: bool | str = False, a
 def _with_exact_percentiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     riding = [
         Measure("count", F.count("*"), F.sum),
-        Measure("sum", F.sum("value"), F.sum),
-        Measure("min", F.min("value"), F.min),
-        Measure("max", F.max("value"), F.max),
-        Measure("first_ts", F.min("timestamp_ms"), F.min),
-        Measure("last_ts", F.max("timestamp_ms"), F.max),
+        Measure("sum", F.sum("value"), F.sum, ("value",)),
+        Measure("min", F.min("value"), F.min, ("value",)),
+        Measure("max", F.max("value"), F.max, ("value",)),
+        Measure("first_ts", F.min("timestamp_ms"), F.min, ("timestamp_ms",)),
+        Measure("last_ts", F.max("timestamp_ms"), F.max, ("timestamp_ms",)),
     ]
     return percentiles_exact(rows, keys, "value", QUANTILES, riding).withColumn("avg", F.col("sum") / F.col("count"))
 
