@@ -120,3 +120,10 @@ def test_groups_and_status_folders(spark, targets):
     )
     got = rows(views.smart_folder_status(info, 1_000, recent_ms=100), "poller", "folder")
     assert got == [("b", "high-error-rate"), ("b", "recent-errors"), ("c", "disabled")]
+
+
+def test_browse_all_sorts_only_shuffled_pieces(spark, nodes, targets):
+    """What has to sort stands above the shuffle by name, not in the tasks that read the inputs."""
+    plan = tree.tree_browse_all(nodes, targets, VIEWS, FOLDERS)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Exchange hashpartitioning(namespace")
+    assert "SortAggregate" in above and below and "SortAggregate" not in below

@@ -48,8 +48,10 @@ def tree_subtree(nodes: DataFrame, ns: str, path: str) -> DataFrame:
 def _winners(entries: DataFrame) -> DataFrame:
     """One entry per name in a directory: highest priority, then static, view, smart, then path order.
 
-    A minimum over a struct combines before the shuffle, so a directory that
-    many paths imply arrives as a few rows.
+    The entries are moved by name before a minimum over a struct is taken,
+    which has to sort: its tasks then have the bounded size of shuffled
+    pieces, not that of an input file.  A directory that many paths imply
+    comes here as one row for each view priority.
     """
     rank = F.when(F.col("source") == "static", 0).when(F.col("source") == "view", 1).otherwise(2)
     order = F.struct(
@@ -61,7 +63,8 @@ def _winners(entries: DataFrame) -> DataFrame:
         "priority",
         "source",
     )
-    best = entries.groupBy("namespace", "parent", "name").agg(F.min(order).alias("e"))
+    names = ["namespace", "parent", "name"]
+    best = entries.repartition(*names).groupBy(*names).agg(F.min(order).alias("e"))
     return best.select("namespace", "parent", "name", "e.path", "e.type", "e.link_ref", "e.priority", "e.source")
 
 
@@ -92,15 +95,31 @@ def _smart_entries(targets: DataFrame, folders: list[SmartFolder]) -> DataFrame:
     )
 
 
-def _view_entry(paths: DataFrame, parent: Column, child: Column, path: Column) -> DataFrame:
-    direct = path == F.col("path")
+def _view_links(paths: DataFrame) -> DataFrame:
+    """The entries of the paths themselves."""
+    path = F.col("path")
     return paths.select(
         "namespace",
-        parent.alias("parent"),
-        child.alias("name"),
-        path.alias("path"),
-        F.when(direct, "link_target").otherwise("directory").alias("type"),
-        F.when(direct, F.col("link_ref")).alias("link_ref"),
+        parent_path(path).alias("parent"),
+        last_name(path).alias("name"),
+        "path",
+        F.lit("link_target").alias("type"),
+        "link_ref",
+        "priority",
+        F.lit("view").alias("source"),
+    )
+
+
+def _view_directories(paths: DataFrame) -> DataFrame:
+    """Entries of directories (`namespace, path, priority`) that many paths imply: one row each, by a maximum of numbers alone."""
+    path = F.col("path")
+    return paths.groupBy("namespace", "path").agg(F.max("priority").alias("priority")).select(
+        "namespace",
+        parent_path(path).alias("parent"),
+        last_name(path).alias("name"),
+        "path",
+        F.lit("directory").alias("type"),
+        F.lit(None).cast("string").alias("link_ref"),
         "priority",
         F.lit("view").alias("source"),
     )
@@ -115,7 +134,10 @@ def tree_browse(
     paths = view_paths_targets(own, views).where(below(F.col("path"), path))
     prefix = "/" if path == "/" else path + "/"
     child = F.substring_index(F.substr(F.col("path"), F.lit(len(prefix) + 1)), "/", 1)
-    from_views = _view_entry(paths, F.lit(path), child, F.concat(F.lit(prefix), child))
+    at = F.concat(F.lit(prefix), child)
+    links = _view_links(paths.where(at == F.col("path")))
+    directories = _view_directories(paths.where(at != F.col("path")).select("namespace", at.alias("path"), "priority"))
+    from_views = links.unionByName(directories)
     static = _static_entries(nodes.where(F.col("namespace") == ns)).where(F.col("parent") == path)
     smart = _smart_entries(own, [f for f in folders if clean_path(f.path) == path])
     return _winners(static.unionByName(from_views).unionByName(smart)).orderBy("name")
@@ -125,11 +147,9 @@ def tree_browse_all(
     nodes: DataFrame, targets: DataFrame, views: list[View], folders: list[SmartFolder]
 ) -> DataFrame:
     """Entries of every directory at once: the materialised tree."""
-    paths = view_paths_targets(targets, views).withColumn(
-        "at", F.explode(F.concat(ancestors(F.col("path")), F.array("path")))
-    )
-    at = F.col("at")
-    from_views = _view_entry(paths, parent_path(at), last_name(at), at)
+    paths = view_paths_targets(targets, views)
+    above = paths.select("namespace", F.explode(ancestors(F.col("path"))).alias("path"), "priority")
+    from_views = _view_links(paths).unionByName(_view_directories(above))
     return _winners(
         _static_entries(nodes).unionByName(from_views).unionByName(_smart_entries(targets, folders))
     )
