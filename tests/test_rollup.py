@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tierlake.operators import maintain, quantiles, rollup
 from tierlake.schemas import AGGREGATES, DAY_MS, HOUR_MS, SERIES, TIER_ORDER
-from tierlake.session import scratch_path
+from tierlake.session import recorded, scratch_path
 from tierlake.sources import tiers
 
 EXACT = [*SERIES, "bucket_start", "count", "min", "max", "first_ts", "last_ts"]
@@ -252,6 +252,17 @@ def test_stored_series_are_deleted(spark):
         assert rows(got.select("poller").distinct(), "poller") == [("b",)] and got.agg(F.sum("count")).first()[0] == 5
 
 
+def test_rewritten_dates_move_once(spark):
+    """Rows that come from the dates they replace are not copied aside; rows of other dates stay."""
+    root = scratch_path(spark, "test-rewrite")
+    tiers.write_samples(samples(spark, [sample(d * DAY_MS + s, s, seq=10 * d + s) for d in range(3) for s in range(10)]), root)
+    kept = tiers.scan_samples(spark, root, 0, 2 * DAY_MS - 1).where("seq % 2 = 0 AND seq < 10")
+    with recorded() as made:
+        tiers.rewrite_dates(spark, root, "samples", kept, [tiers.utc_day(0), tiers.utc_day(DAY_MS)])
+    assert made == []
+    assert rows(tiers.scan_samples(spark, root), "seq") == sorted([(s,) for s in [0, 2, 4, 6, 8, *range(20, 30)]], key=repr)
+
+
 @pytest.mark.parametrize("odd", [float("inf"), float("-inf"), float("nan")])
 def test_values_that_are_not_finite(spark, odd):
     """They neither abort a cascade nor move a percentile."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tierlake.functions.buckets import utc_date
 from tierlake.schemas import AGGREGATES, DAY_MS, SAMPLES, SERIES, TIER_ORDER
-from tierlake.session import passing, remove_path
+from tierlake.session import remove_path
 
 # Codecs a tier may be written with.
 CODECS = ["none", "snappy", "zstd", "lz4", "gzip"]
@@ -123,11 +123,11 @@ def write_tier(
 def rewrite_dates(spark: SparkSession, root: str, name: str, rows: DataFrame, days: Iterable[dt.date], codec: str = "zstd") -> None:
     """Put rows of a tier, or of the raw samples, in place of all rows of some of its dates.
 
-    The rows may come from these dates themselves: they are written aside first.
+    The rows may come from these dates themselves: a dynamic overwrite stages its files and takes away those of before
+    only once all rows are written, so they move once and need no copy aside.
     """
     column, order = ("sample_date", "timestamp_ms") if name == "samples" else ("bucket_date", "bucket_start")
-    with passing(spark, rows, "rewrite") as aside:
-        _replace(aside, f"{root}/{name}", column, [*SERIES, order], codec, days)
+    _replace(rows, f"{root}/{name}", column, [*SERIES, order], codec, days)
 
 
 EDGES = "name string, edge_ms bigint"
