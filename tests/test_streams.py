@@ -6,6 +6,7 @@ import pytest
 from data import rows
 from pyspark.sql import functions as F
 
+from tierlake.operators.levels import level_hysteresis
 from tierlake.operators import health, levels, live, rollup, stats
 from tierlake.plans import store, streams as plans
 from tierlake.schemas import SERIES
@@ -155,3 +156,14 @@ def test_changes_are_merged(spark, monkeypatch):
     left = sum(len(os.listdir(f"{kept.root}/{level}")) for level in os.listdir(kept.root))
     # 20 batches are two times nine, none of three, and two.
     assert left == len(kept.folders(19)) == 4
+
+
+def test_levels_from_kept_steps(spark):
+    """Rows that are kept while the state is asked for give the levels of rows that are not, and the level before each."""
+    ratios = [0.6, 0.45, 0.3, None, 0.99, 0.9, 0.6, 0.1, 0.1, 0.1, 0.82]
+    df = spark.createDataFrame([(*"abc", i, i, r) for i, r in enumerate(ratios)], "namespace string, target string, poller string, timestamp_ms bigint, seq bigint, ratio double")
+    want = [tuple(r) for r in level_hysteresis(df).orderBy("seq").collect()]
+    path = scratch_path(spark, "test-steps")
+    kept = level_hysteresis(df, enter_level=lambda exits: exits.select(*df.columns[:3], "_chunk", F.lit(0).alias("_entry_level")), steps_path=path)
+    assert [tuple(r) for r in kept.orderBy("seq").collect()] == want
+    assert spark.read.parquet(path).count() == len(ratios)

@@ -205,6 +205,7 @@ def level_hysteresis(
     chunk_ms: int = chunks.CHUNK_MS,
     enter_allowed: Enter | None = None,
     enter_level: Enter | None = None,
+    steps_path: str | None = None,
 ) -> DataFrame:
     """Level of every sample (keys, timestamp_ms, seq, ratio), and the level before it.
 
@@ -216,7 +217,10 @@ def level_hysteresis(
     level (and last_check_ms) at the end of earlier days or batches.  In its
     place, enter_allowed and enter_level may hold the state of a series: they
     get its outermost step functions (see cooldown_picks), and the exit levels
-    of its chunks (keys, _chunk, _exits), and return the entry of each.
+    of its chunks (keys, _chunk, _exits), and return the entry of each.  An
+    enter_level that runs a job of its own would have the rows computed again
+    for the result; below steps_path they are kept for it, and the caller
+    removes the folder once the result has been read.
 
     All rows come back.  A null key is a key, a null seq comes first among
     samples of one time, and of rows that repeat one is evaluated under a
@@ -236,6 +240,9 @@ def level_hysteresis(
     else:
         rows = rows.withColumn("_eval", F.lit(True))
     rows = _stepped(rows, key, order, rule)
+    if steps_path is not None:
+        rows.write.mode("overwrite").parquet(steps_path)
+        rows = df.sparkSession.read.schema(rows.schema).parquet(steps_path)
     exits = _exits(rows, key)
     if enter_level is not None:
         entry = enter_level(exits.select(f"{key}.*", chunks.CHUNK, "_exits")).select(whole, chunks.CHUNK, "_entry_level")
@@ -245,7 +252,7 @@ def level_hysteresis(
             level = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("level")).cast("int") - 1
             first = carry.select(whole, level.alias("_first"))
         entry = _entry_levels(exits, [key], chunk_ms, first)
-    return _finished(rows, entry, key, order)
+    return _finished(rows, entry, key)
 
 
 # Stands for the time of samples without one: they make the first chunk of their series.
@@ -253,7 +260,7 @@ NO_TIME = -(1 << 52)
 
 
 def _stepped(rows: DataFrame, key: str, order: list[str], rule: LevelRule) -> DataFrame:
-    """Add _x0 to _x3: the level of each row for each level the chunk might begin with."""
+    """Add _reached and _before: the level of each row, and of the row before it in the chunk, for each level the chunk might begin with."""
     u = F.col("ratio")
     taken = F.col("_eval") & u.isNotNull()
     forced = F.when(taken & (u >= rule.emergency), 3).when(taken & (u >= rule.critical), 2).when(
@@ -302,31 +309,28 @@ def _stepped(rows: DataFrame, key: str, order: list[str], rule: LevelRule) -> Da
         return F.when(start == 1, reached[1]).when(start == 2, reached[2]).when(start == 3, reached[3]).otherwise(0)
 
     known = F.when(F.col("_from").isNotNull(), level_from(F.col("_from")))
-    return rows.withColumns({f"_x{s}": F.coalesce(known, x) for s, x in reached.items()})
-
-
-def _reached() -> Column:
-    return F.array(*[F.col(f"_x{s}") for s in range(4)])
+    rows = rows.withColumn("_reached", F.array(*[F.coalesce(known, x) for x in reached.values()]))
+    rows = rows.withColumn("_before", F.lag("_reached").over(ordered))
+    return rows.select(key, chunks.CHUNK, "timestamp_ms", "seq", "ratio", "_eval", "_n", "_reached", "_before")
 
 
 def _exits(rows: DataFrame, key: str) -> DataFrame:
     """The exit level of each chunk for each entry level."""
-    return rows.groupBy(key, chunks.CHUNK).agg(F.max_by(_reached(), "_n").alias("_exits"))
+    return rows.groupBy(key, chunks.CHUNK).agg(F.max_by("_reached", "_n").alias("_exits"))
 
 
-def _finished(rows: DataFrame, entry: DataFrame, key: str, order: list[str]) -> DataFrame:
+def _finished(rows: DataFrame, entry: DataFrame, key: str) -> DataFrame:
     """The levels of the rows, given the entry level of each chunk."""
     joined = chunks.with_carry(rows, entry, [key])
-    joined = joined.withColumn("_level", F.element_at(_reached(), F.col("_entry_level").cast("int") + 1))
-    before = F.lag("_level").over(chunks.inside([key], *order))
+    first = F.col("_entry_level").cast("int")
     return joined.select(
         f"{key}.*",
         "timestamp_ms",
         "seq",
         "ratio",
         F.col("_eval").alias("evaluated"),
-        _name(F.coalesce(before, F.col("_entry_level").cast("int"))).alias("previous"),
-        _name(F.col("_level")).alias("level"),
+        _name(F.coalesce(F.element_at("_before", first + 1), first)).alias("previous"),
+        _name(F.element_at("_reached", first + 1)).alias("level"),
     )
 
 

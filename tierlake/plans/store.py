@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierlake.operators.rollup import run_cascade
 from tierlake.schemas import DAY_MS, TIER_ORDER
-from tierlake.session import scratch_path
+from tierlake.session import passing, scratch_path
 from tierlake.sources import demo
 from tierlake.sources.tagstore import write_tag_index
 from tierlake.sources.tiers import scan_tier, write_samples
@@ -90,13 +90,15 @@ def slices(spark: SparkSession, sf_dir: str, kind: str) -> str:
         step = (last - first) // SLICES + 1
         part = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor((F.col(order) - first) / step)))
         numbered = rows.withColumn("_slice", part.cast("int"))
-        for i in range(SLICES):
-            numbered.where(F.col("_slice") == i).drop("_slice").write.parquet(f"{root}/slice-{i}")
-        for i in range(SLICES, SLICES + 2 * (kind == "marked")):
-            marker = rows.where("valid and value_type = 'gauge'").limit(1).withColumns(
-                {"namespace": F.lit(MARKER), "timestamp_ms": F.lit(last + i * DAY_MS).cast("bigint")}
-            )
-            marker.write.parquet(f"{root}/slice-{i}")
+        # The samples are joined once, not for every slice.
+        with passing(spark, numbered, "numbered") as once:
+            for i in range(SLICES):
+                once.where(F.col("_slice") == i).drop("_slice").write.parquet(f"{root}/slice-{i}")
+            for i in range(SLICES, SLICES + 2 * (kind == "marked")):
+                marker = once.drop("_slice").where("valid and value_type = 'gauge'").limit(1).withColumns(
+                    {"namespace": F.lit(MARKER), "timestamp_ms": F.lit(last + i * DAY_MS).cast("bigint")}
+                )
+                marker.write.parquet(f"{root}/slice-{i}")
         return root
 
     return _once(spark, sf_dir, f"slices-{kind}", build)

@@ -196,14 +196,17 @@ def stream_levels(
     allowed = Keyed(f"{path}/cooldown", AllowedState, "starts array<bigint>, after array<bigint>")
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        steps = f"{path}/steps"
         levels = level_hysteresis(
             batch,
             rule=rule,
             cooldown_ms=cooldown_ms,
             enter_allowed=lambda runs: allowed.enter(runs, batch_id, "place"),
             enter_level=lambda exits: level.enter(exits, batch_id),
+            steps_path=steps,
         )
         _append(levels, f"{path}/levels", batch_id)
+        remove_path(batch.sparkSession, steps)
 
     return _each_batch(rows, work, checkpoint, interval)
 
