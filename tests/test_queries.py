@@ -7,7 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
-from tierlake.plans import catalog
+from tierlake.operators import rollup
+from tierlake.plans import catalog, store
 
 SF = "/root/testdata/sf0.001"
 # The operators of the blueprint, family by family.
@@ -61,3 +62,22 @@ def test_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     text, _, good = check.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert good and "types" not in text, text
+
+
+@pytest.mark.parametrize("name", ["scan_tier", "rollup_cascade"])
+def test_the_span_of_a_cascade_comes_from_the_stored_samples(spark, monkeypatch, name):
+    """The events are joined once, to be stored, and not a second time for their first and last time."""
+    wanted = store.span(spark, SF)
+    asked = []
+    real = rollup.run_cascade
+
+    def run(session, root, first, end):
+        asked.append((first, end - 1))
+        real(session, root, first, end)
+
+    monkeypatch.setattr(store, "_BUILT", {})
+    monkeypatch.setattr(store, "span", lambda *_: pytest.fail("joined again"))
+    monkeypatch.setattr(store, "run_cascade", run)
+    monkeypatch.setattr(rollup, "run_cascade", run)
+    entry.queries()[name](spark, SF)
+    assert asked == [wanted]

@@ -12,7 +12,7 @@ from tierlake.schemas import DAY_MS, TIER_ORDER
 from tierlake.session import passing, scratch_path
 from tierlake.sources import demo
 from tierlake.sources.tagstore import write_tag_index
-from tierlake.sources.tiers import scan_tier, write_samples
+from tierlake.sources.tiers import sample_span, scan_tier, write_samples
 
 _BUILT: dict[tuple[str, str, str], object] = {}
 
@@ -39,8 +39,9 @@ def tier_root(spark: SparkSession, sf_dir: str) -> str:
 
     def build():
         root = scratch_path(spark, "tiers")
-        first, last = span(spark, sf_dir)
         write_samples(demo.samples(spark, sf_dir, "nation"), root)
+        # From the stored samples: the events are joined once, not again for their span.
+        first, last = sample_span(spark, root)
         run_cascade(spark, root, first, last + 1)
         return root
 

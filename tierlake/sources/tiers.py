@@ -172,6 +172,12 @@ def scan_samples(
     return df
 
 
+def sample_span(spark: SparkSession, root: str) -> tuple[int | None, int | None]:
+    """First and last millisecond of the stored raw samples; reads their times only."""
+    row = scan_samples(spark, root).agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b")).first()
+    return row["a"], row["b"]
+
+
 def tier_stats(spark: SparkSession, root: str) -> DataFrame:
     """Rows, series, oldest and newest bucket, files and bytes per tier and date."""
     parts = []
