@@ -1,7 +1,9 @@
 import math
+import pickle
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tierlake.llm import catalog, forest
 
@@ -80,3 +82,44 @@ def test_queue_visits_near_cells_first():
     sizes = np.bincount(leaves, minlength=tree.leaves)
     order = forest.visit([tree], [sizes], points[0], 500)
     assert order[0] == (0, leaves[0]) and sorted(order) == [(0, k) for k in range(tree.leaves)]
+
+
+def test_driver_gets_trees_and_no_rows(spark, monkeypatch):
+    """2000 rows of 32 numbers are half a megabyte; three nodes of each tree and the sizes of the leaves are not."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(2500, 32)).tolist())]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sent, kind = [], type(df)
+    for name in ("collect", "toArrow", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): sent.append(f(self)) or sent[-1])
+    found = forest.search(df, df.where("vec_id % 50 = 0"), settings=forest.Settings(trees=2, leaf=1000, sample=2000, sample_leaf=300))
+    size = sum(len(pickle.dumps(x)) for x in sent)
+    monkeypatch.undo()
+    assert 0 < size < 50_000 and found.count() == 250
+
+
+@pytest.mark.parametrize("total", [800, 80_000])
+def test_trees_of_the_smallest_hashes(spark, total):
+    """Only rows below a bound on the hash are put in order; a bound that leaves too few of them is given up."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i * i, v) for i, v in enumerate(rng.normal(size=(800, 6)).tolist())], "id long, vector array<double>")
+    settings = forest.Settings(trees=3, leaf=50, sample=100, sample_leaf=4)
+    sample = df.orderBy(F.xxhash64("id"), "id").limit(settings.sample).collect()
+    units, rng = forest._units([r.vector for r in sample]), np.random.default_rng(settings.seed)
+    depth = max(math.ceil(math.log2(total / settings.leaf)), 5)
+    want = [forest.grow(units, depth, settings, rng) for _ in range(settings.trees)]
+    got = forest.fitted(df.repartition(5), total, settings)
+    assert [t.leaves for t in got] == [t.leaves for t in want]
+    for a, b in zip(got, want, strict=True):
+        assert a.children.tolist() == b.children.tolist() and a.normals == pytest.approx(b.normals) and a.offsets == pytest.approx(b.offsets)
+
+
+def test_visits_are_not_broadcast(spark):
+    """Their estimated size is that of the queries; each query is repeated for every leaf it visits."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(600, 4)).tolist())], SCHEMA)
+    found = forest.search(df, df.where("vec_id % 50 = 0"))
+    assert found.count() == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "tree#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

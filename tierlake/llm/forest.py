@@ -83,6 +83,43 @@ def grow(sample: np.ndarray, depth: int, settings: Settings, rng: np.random.Gene
     return Tree(np.array(normals), np.array(offsets), np.array(children), max(leaves, 1))
 
 
+def _grown(settings: Settings, depth: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The trees of the sample, which comes in one partition, and how many rows it has."""
+    found = [batch for batch in batches if len(batch)]
+    if not found:
+        return
+    sample = pd.concat(found, ignore_index=True).sort_values(["hash", "id"])
+    units = _units(sample["vector"])
+    rng = np.random.default_rng(settings.seed)
+    trees = [grow(units, depth, settings, rng) for _ in range(settings.trees)]
+    made = [(t.normals.tobytes(), t.offsets.tobytes(), t.children.astype(np.int64).tobytes(), t.leaves, len(units)) for t in trees]
+    yield pd.DataFrame(made, columns=["normals", "offsets", "children", "leaves", "rows"]).reset_index(names="tree")
+
+
+def fitted(rows: DataFrame, total: int, settings: Settings) -> list[Tree]:
+    """The trees, fitted by a task on the rows with the smallest hashes; the driver gets the trees and no rows.
+
+    A bound on the hash leaves few more rows than the sample takes, so that tasks do not hand on a sample each.
+    """
+    depth = max(math.ceil(math.log2(max(1, total / settings.leaf))), min(5, int(math.log2(max(1, total / 8)))))
+    hashed = rows.select(F.xxhash64("id").alias("hash"), "id", "vector")
+    wanted = min(settings.sample, total)
+    below = (wanted + 10 * math.sqrt(wanted)) / total
+    # Should ever fewer hashes than wanted lie below the bound, all rows are put in order.
+    for near in ([hashed.where(F.col("hash") < int(below * 2**64) - 2**63)] if below < 1 else []) + [hashed]:
+        sample = near.orderBy("hash", "id").limit(settings.sample).coalesce(1)
+        schema = "tree int, normals binary, offsets binary, children binary, leaves int, rows int"
+        found = sample.mapInPandas(functools.partial(_grown, settings, depth), schema).collect()
+        if found and found[0]["rows"] == wanted:
+            break
+    trees = []
+    for r in sorted(found, key=lambda r: r["tree"]):
+        offsets = np.frombuffer(r["offsets"])
+        normals, children = np.frombuffer(r["normals"]).reshape(len(offsets), -1), np.frombuffer(r["children"], dtype=np.int64).reshape(-1, 2)
+        trees.append(Tree(normals, offsets, children, r["leaves"]))
+    return trees
+
+
 def leaves_of(tree: Tree, vectors: np.ndarray) -> np.ndarray:
     """The leaf of every vector, level by level."""
     at = np.zeros(len(vectors), dtype=np.int64)
@@ -129,7 +166,7 @@ def _units(vectors) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _blocks(forest: Broadcast, settings: Settings, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(trees: Broadcast, settings: Settings, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of each leaf in blocks; a block holds its vectors as one array of bytes."""
     for batch in batches:
         if not len(batch):
@@ -137,7 +174,7 @@ def _blocks(forest: Broadcast, settings: Settings, batches: Iterator[pd.DataFram
         units = _units(batch["vector"])
         small = units.astype(np.float32)
         ids = batch["id"].to_numpy(dtype=np.int64)
-        for t, tree in enumerate(forest.value[0]):
+        for t, tree in enumerate(trees.value):
             leaves = leaves_of(tree, units)
             order = np.argsort(leaves, kind="stable")
             ends = np.flatnonzero(np.diff(leaves[order])) + 1
@@ -149,12 +186,13 @@ def _blocks(forest: Broadcast, settings: Settings, batches: Iterator[pd.DataFram
             yield pd.DataFrame(made, columns=["tree", "leaf", "size", "ids", "vectors"])
 
 
-def _visits(forest: Broadcast, wanted: int, settings: Settings, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _visits(
+    trees: Broadcast, sizes: Broadcast, wanted: int, settings: Settings, batches: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
     """The queries of each leaf they visit, in blocks."""
     for batch in batches:
         if not len(batch):
             continue
-        trees, sizes = forest.value
         units = _units(batch["vector"])
         small = units.astype(np.float32)
         ids = batch["id"].to_numpy(dtype=np.int64)
@@ -162,7 +200,7 @@ def _visits(forest: Broadcast, wanted: int, settings: Settings, batches: Iterato
         for at in range(0, len(units), settings.queries):
             by_leaf: dict[tuple[int, int], list[int]] = {}
             for row in range(at, min(at + settings.queries, len(units))):
-                for place in visit(trees, sizes, units[row], wanted):
+                for place in visit(trees.value, sizes.value, units[row], wanted):
                     by_leaf.setdefault(place, []).append(row)
             made = [(t, leaf, ids[rows].tobytes(), small[rows].tobytes()) for (t, leaf), rows in by_leaf.items()]
             yield pd.DataFrame(made, columns=["tree", "leaf", "q_ids", "q_vectors"])
@@ -248,27 +286,24 @@ def search(
 def _search(rows: DataFrame, asked: DataFrame, k: int, settings: Settings) -> DataFrame:
     spark = rows.sparkSession
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample).toArrow()
-    units = _units(sample["vector"].to_pylist())
-    depth = max(math.ceil(math.log2(max(1, total / settings.leaf))), min(5, int(math.log2(max(1, total / 8)))))
-    rng = np.random.default_rng(settings.seed)
-    trees = [grow(units, depth, settings, rng) for _ in range(settings.trees)]
-    plan = spark.sparkContext.broadcast((trees, []))
-    blocks = rows.mapInPandas(functools.partial(_blocks, plan, settings), "tree int, leaf int, size int, ids binary, vectors binary")
+    trees = fitted(rows, total, settings)
+    planes = spark.sparkContext.broadcast(trees)
+    blocks = rows.mapInPandas(functools.partial(_blocks, planes, settings), "tree int, leaf int, size int, ids binary, vectors binary")
     blocks = materialise(spark, blocks, "blocks")
     sizes = [np.zeros(t.leaves, dtype=np.int64) for t in trees]
     for t, leaf, size in blocks.groupBy("tree", "leaf").agg(F.sum("size")).collect():  # a row for each leaf of the sample's trees
         sizes[t][leaf] = size
     wanted = math.ceil(settings.share * total)
-    plan = spark.sparkContext.broadcast((trees, sizes))
-    visits = asked.mapInPandas(functools.partial(_visits, plan, wanted, settings), "tree int, leaf int, q_ids binary, q_vectors binary")
+    held = spark.sparkContext.broadcast(sizes)
+    visits = asked.mapInPandas(functools.partial(_visits, planes, held, wanted, settings), "tree int, leaf int, q_ids binary, q_vectors binary")
     # A leaf's queries meet its rows together, in parts of about `together` queries however many there are.
     parts = math.ceil(asked.count() / settings.together) or 1
     part = F.pmod(F.xxhash64("q_ids"), F.lit(parts))
     visits = visits.groupBy("tree", "leaf", part.alias("part")).agg(F.collect_list(F.struct("q_ids", "q_vectors")).alias("asked")).select(
         "tree", "leaf", F.transform("asked", lambda a: a["q_ids"]).alias("q_ids"), F.transform("asked", lambda a: a["q_vectors"]).alias("q_vectors")
     )
-    near = blocks.join(visits, ["tree", "leaf"]).select("ids", "vectors", "q_ids", "q_vectors")
+    # A query is repeated for each leaf, which the planner does not see: by its estimate it would send all visits to the driver.
+    near = blocks.join(visits.hint("merge"), ["tree", "leaf"]).select("ids", "vectors", "q_ids", "q_vectors")
     near = near.mapInPandas(functools.partial(_best, k), "query_id long, vec_id long, near double")
     # A row is found in several trees; its product may differ there in the last digits.
     near = near.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
