@@ -2,6 +2,7 @@ import math
 import pickle
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,14 @@ def test_visits_are_not_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "tree#" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_blocks_of_a_leaf_are_filled():
+    """Blocks of a leaf are joined to larger ones, over the ends of batches too; no row is lost and no leaf mixed."""
+    parts = [(0, 1, 3), (0, 1, 2), (0, 1, 4), (0, 2, 1), (0, 2, 1), (1, 2, 6), (1, 2, 1), (1, 3, 1)]
+    rows = [(t, leaf, n, bytes([k] * n), bytes([k] * 2 * n)) for k, (t, leaf, n) in enumerate(parts)]
+    frames = [pd.DataFrame(rows[a:b], columns=forest.BLOCK) for a, b in ((0, 2), (2, 2), (2, 5), (5, 8))]
+    full = pd.concat(forest._full(forest.Settings(block=5), iter(frames)))
+    assert list(zip(full["tree"], full["leaf"], full["size"])) == [(0, 1, 5), (0, 1, 4), (0, 2, 2), (1, 2, 6), (1, 2, 1), (1, 3, 1)]
+    assert b"".join(full["ids"]) == b"".join(r[3] for r in rows) and b"".join(full["vectors"]) == b"".join(r[4] for r in rows)
+    assert all(len(i) == n and len(v) == 2 * n for n, i, v in zip(full["size"], full["ids"], full["vectors"]))

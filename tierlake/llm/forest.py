@@ -19,6 +19,8 @@ from tierlake.session import materialise
 
 #: More than products of single-precision unit vectors are off.
 SLACK = 1e-5
+#: Columns of a block of rows of a leaf.
+BLOCK = ["tree", "leaf", "size", "ids", "vectors"]
 #: Candidates that a task holds at most before it merges them.
 MERGED = 500_000
 
@@ -30,6 +32,7 @@ class Settings:
     A search ends when the leaves it has visited hold `share` of the table's rows, counted in every tree; vectors
     without structure need the large default. Splits are fitted on the `sample` rows with the smallest hash of their
     id, and a leaf keeps at least `sample_leaf` of them; rows travel in blocks of `block` vectors, queries of `queries`.
+    A task finds the leaves of about `apart` queries; about `together` meet the rows of a leaf at a time.
     """
 
     trees: int = 8
@@ -40,6 +43,7 @@ class Settings:
     block: int = 256
     queries: int = 32
     together: int = 1024
+    apart: int = 256
     seed: int = 11
 
 
@@ -183,7 +187,27 @@ def _blocks(trees: Broadcast, settings: Settings, batches: Iterator[pd.DataFrame
                 for k in range(0, len(rows), settings.block):
                     part = rows[k : k + settings.block]
                     made.append((t, int(leaves[part[0]]), len(part), ids[part].tobytes(), small[part].tobytes()))
-            yield pd.DataFrame(made, columns=["tree", "leaf", "size", "ids", "vectors"])
+            yield pd.DataFrame(made, columns=BLOCK)
+
+
+def _full(settings: Settings, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks that follow one another in a leaf as blocks of at least `block` vectors, all but the last of a leaf."""
+    place, ids, vectors, size = None, [], [], 0
+
+    def block() -> list[tuple]:
+        return [(*place, size, b"".join(ids), b"".join(vectors))] if size else []
+
+    for batch in batches:
+        made = []
+        for t, leaf, n, some, values in zip(*(batch[c] for c in BLOCK)):
+            if (t, leaf) != place or size >= settings.block:
+                made += block()
+                place, ids, vectors, size = (t, leaf), [], [], 0
+            ids.append(some)
+            vectors.append(values)
+            size += n
+        yield pd.DataFrame(made, columns=BLOCK)
+    yield pd.DataFrame(block(), columns=BLOCK)
 
 
 def _visits(
@@ -288,16 +312,22 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, settings: Settings) -> Da
     total = rows.count()
     trees = fitted(rows, total, settings)
     planes = spark.sparkContext.broadcast(trees)
-    blocks = rows.mapInPandas(functools.partial(_blocks, planes, settings), "tree int, leaf int, size int, ids binary, vectors binary")
-    blocks = materialise(spark, blocks, "blocks")
+    schema = "tree int, leaf int, size int, ids binary, vectors binary"
+    blocks = rows.mapInPandas(functools.partial(_blocks, planes, settings), schema)
+    # A batch has few rows of each leaf. Their queries come along with every block, so blocks are filled up first.
+    blocks = blocks.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf")
+    blocks = materialise(spark, blocks.mapInPandas(functools.partial(_full, settings), schema), "blocks")
     sizes = [np.zeros(t.leaves, dtype=np.int64) for t in trees]
     for t, leaf, size in blocks.groupBy("tree", "leaf").agg(F.sum("size")).collect():  # a row for each leaf of the sample's trees
         sizes[t][leaf] = size
     wanted = math.ceil(settings.share * total)
     held = spark.sparkContext.broadcast(sizes)
-    visits = asked.mapInPandas(functools.partial(_visits, planes, held, wanted, settings), "tree int, leaf int, q_ids binary, q_vectors binary")
+    count = asked.count()
+    # Few files hold the queries, each of which makes a row for every leaf it visits.
+    spread = asked.repartition(math.ceil(count / settings.apart) or 1, "id")
+    visits = spread.mapInPandas(functools.partial(_visits, planes, held, wanted, settings), "tree int, leaf int, q_ids binary, q_vectors binary")
     # A leaf's queries meet its rows together, in parts of about `together` queries however many there are.
-    parts = math.ceil(asked.count() / settings.together) or 1
+    parts = math.ceil(count / settings.together) or 1
     part = F.pmod(F.xxhash64("q_ids"), F.lit(parts))
     visits = visits.groupBy("tree", "leaf", part.alias("part")).agg(F.collect_list(F.struct("q_ids", "q_vectors")).alias("asked")).select(
         "tree", "leaf", F.transform("asked", lambda a: a["q_ids"]).alias("q_ids"), F.transform("asked", lambda a: a["q_vectors"]).alias("q_vectors")
